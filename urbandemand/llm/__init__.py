@@ -1,0 +1 @@
+"""Operators for preparing language-model training text."""
