@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -81,3 +85,27 @@ def id_crc(doc_id: Column) -> Column:
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """The columns an operator reads, so that others can't clash with its own."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+
+
+def map_texts(rows: DataFrame, make: Callable[[list[str | None]], dict[str, list]], added: str, slice_rows: int = 256) -> DataFrame:
+    """``rows`` (whose last column is text) with text replaced by new columns.
+
+    ``make`` gets some texts and returns the columns named in ``added`` (a
+    schema string). Arrow batches are handled ``slice_rows`` rows at a time;
+    the other columns pass through unchanged, nulls included.
+    """
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    schema = StructType([*kept, *StructType.fromDDL(added).fields])
+    target = to_arrow_schema(schema)
+    names = [f.name for f in kept]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, slice_rows):
+                b = whole.slice(at, slice_rows)
+                new = make(b.column(b.schema.get_field_index("text")).to_pylist())
+                arrays = [b.column(b.schema.get_field_index(n)) for n in names]
+                arrays += [pa.array(new[f.name], type=target.field(f.name).type) for f in schema.fields[len(names) :]]
+                yield pa.RecordBatch.from_arrays([a.cast(t.type) if a.type != t.type else a for a, t in zip(arrays, target, strict=True)], names=target.names)
+
+    return rows.mapInArrow(mapped, schema)
