@@ -11,7 +11,10 @@ from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .language import fit_languages, identify_language
 from .mixing import mix_sources
+from .pii import find_personal_data
 from .quality import fit_quality, score_quality
+from .secret_scan import scan_secrets
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +22,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify_language(docs, fit_languages(docs))
@@ -37,12 +44,24 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_secret_scan": op3_secret_scan,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
+    "op9_personal_data": op9_personal_data,
+    "op10_toxicity": op10_toxicity,
 }
 
 _OP5_SQL = """
