@@ -5,14 +5,16 @@ boundary between grades has its own threshold, and
 ``P(grade >= k) = logistic(x . w - threshold_k)`` with rising thresholds. The
 severity put out is the expected grade.
 
-Features are the words of a text and the beginnings of words. The labels say
-only toxic or not: among toxic training texts, the grade is how densely the
-text uses the words that tell toxic texts from others, in equal shares.
+Features are the words of a text and the beginnings of words, and one for its
+length: what stands out in a short text can be chance in a long one. The labels say
+only toxic or not: among toxic training texts, the grade is how much the text
+uses the words that tell toxic texts from others, in equal shares.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -29,8 +31,12 @@ PREFIXES = (4, 5, 6, 7)
 PER_LABEL = 3000
 #: Features that are kept, and documents in which one must occur.
 MAX_FEATURES, MIN_DOCS = 6000, 3
-#: A text is flagged as toxic where P(grade >= 1) is at least this.
-FLAG = 0.5
+#: Share of flagged training texts that must be toxic, as the labels are mixed.
+PRECISION = 0.98
+#: Words that are judged together; the worst part of a longer text counts.
+PART_WORDS = 700
+#: The feature that counts all words; no word has its name.
+LENGTH = " length"
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -51,13 +57,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class OrdinalModel:
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=lambda: [8.0] * GRADES)
+    flag: float = 0.5
     by_word: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
-    def present(self, text: str) -> Counter:
-        """Kept features and how many of the text's words have them."""
+    def present(self, words: list[str]) -> Counter:
+        """Kept features and how many of the words have them."""
         out: Counter = Counter()
         known, weights = self.by_word, self.weights
-        for word, n in Counter(tokens(text)).items():
+        for word, n in Counter(words).items():
             own = known.get(word)
             if own is None:
                 own = tuple(f for f in word_features(word) if f in weights)
@@ -65,12 +72,35 @@ class OrdinalModel:
                     known[word] = own
             for f in own:
                 out[f] += n
+            out[LENGTH] += n
         return out
 
     def at_least(self, text: str) -> np.ndarray:
-        """P(grade >= k) for k = 1 to K."""
-        x = sum(self.weights[f] * math.log1p(n) for f, n in self.present(text).items())
-        return _sigmoid(x - np.array(self.thresholds))
+        """P(grade >= k) for k = 1 to K, of the text's worst part."""
+        words = tokens(text)
+        n_parts = max(1, -(-len(words) // PART_WORDS))
+        size = -(-len(words) // n_parts)
+        worst = max(self._linear(words[i * size : (i + 1) * size]) for i in range(n_parts))
+        return _sigmoid(worst - np.array(self.thresholds))
+
+    def _linear(self, words: list[str]) -> float:
+        return sum(self.weights.get(f, 0.0) * math.log1p(n) for f, n in self.present(words).items())
+
+
+def _unlike(samples: list[tuple[bool, list[str]]]) -> list[tuple[bool, list[str]]]:
+    """Samples without those that resemble an earlier one of their label.
+
+    Words that only copies share would pass for signs of their label.
+    """
+    seen: set[tuple] = set()
+    kept = []
+    for toxic, words in samples:
+        runs = [" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))]
+        marks = {(toxic, salt, min(zlib.crc32(r, salt) for r in runs)) for salt in (1, 77, 4242, 99991)}
+        if not marks & seen:
+            kept.append((toxic, words))
+        seen |= marks
+    return kept
 
 
 def _select(texts: list[tuple[bool, list[str]]]) -> list[str]:
@@ -94,18 +124,19 @@ def _select(texts: list[tuple[bool, list[str]]]) -> list[str]:
     return [f for _, f in sorted(scored)[:MAX_FEATURES]]
 
 
-def fit_ordinal(samples: list[tuple[bool, str]], grades: int = GRADES, steps: int = 400, seed: int = 10) -> OrdinalModel:
+def fit_ordinal(samples: list[tuple[bool, str]], grades: int = GRADES, steps: int = 600, seed: int = 10) -> OrdinalModel:
     """Weights and thresholds by Adam on the cumulative-link likelihood."""
-    split = [(toxic, tokens(text)) for toxic, text in samples]
+    split = _unlike([(toxic, tokens(text)) for toxic, text in samples])
     if not any(t for t, _ in split) or all(t for t, _ in split):
         return OrdinalModel(thresholds=[8.0] * grades)
-    kept = _select(split)
+    kept = [LENGTH, *_select(split)]
     model = OrdinalModel({f: 1.0 for f in kept})
     place = {f: i for i, f in enumerate(kept)}
-    sparse = [model.present(text) for _, text in samples]
-    density = [sum(c for f, c in x.items() if not f.endswith("*")) / (len(w) + 20) for x, (_, w) in zip(sparse, split, strict=True)]
-    bars = np.quantile([d for d, (t, _) in zip(density, split, strict=True) if t], np.linspace(0, 1, grades + 1)[1:-1])
-    y = np.array([1 + int(np.searchsorted(bars, d, "right")) if t else 0 for d, (t, _) in zip(density, split, strict=True)])
+    sparse = [model.present(words) for _, words in split]
+    amount = np.array([sum(math.log1p(c) for f, c in x.items() if f != LENGTH) for x in sparse])
+    toxic = np.array([t for t, _ in split])
+    bars = np.quantile(amount[toxic], np.linspace(0, 1, grades + 1)[1:-1])
+    y = np.where(toxic, 1 + np.searchsorted(bars, amount, "right"), 0)
     rows = np.concatenate([np.full(len(x), i) for i, x in enumerate(sparse)] or [np.zeros(0)]).astype(int)
     cols = np.array([place[f] for x in sparse for f in x], dtype=int)
     vals = np.array([math.log1p(c) for x in sparse for c in x.values()])
@@ -135,10 +166,10 @@ def fit_ordinal(samples: list[tuple[bool, str]], grades: int = GRADES, steps: in
         g = np.concatenate([gw, [gcut.sum()], ggap])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params + 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        params[: len(kept)] = np.maximum(params[: len(kept)], 0)  # a selected word never speaks for a text
+        params[1 : len(kept)] = np.maximum(params[1 : len(kept)], 0)  # a selected word never speaks for a text
     w, first, gaps = params[: len(kept)], params[len(kept)], params[len(kept) + 1 :]
     cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-    return OrdinalModel({f: float(a) for f, a in zip(kept, w, strict=True) if a > 1e-4}, [float(c) for c in cuts])
+    return OrdinalModel({f: float(a) for f, a in zip(kept, w, strict=True) if abs(a) > 1e-4}, [float(c) for c in cuts])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: int = 10) -> OrdinalModel:
@@ -152,21 +183,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
     if len(drawn) == 2:
         shift = math.log(n["0"] / n["1"]) - math.log(drawn["0"] / drawn["1"])
         model.thresholds = [t + shift for t in model.thresholds]
+        p = np.array([model.at_least(" ".join(parts))[0] for _, _, parts in sample])
+        toxic = np.array([label == "1" for _, label, _ in sample])
+        weight = np.where(toxic, n["1"] / drawn["1"], n["0"] / drawn["0"])
+        right = lambda t: (weight * toxic)[p >= t].sum() / weight[p >= t].sum()
+        model.flag = next((float(t) for t in np.unique(p[toxic]) if right(t) >= PRECISION), 0.5)
     return model
 
 
-def score_toxicity(docs: DataFrame, model: OrdinalModel, flag: float = FLAG) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: OrdinalModel, flag: float | None = None) -> DataFrame:
     """Per row: doc_id, severity, grade, p_toxic, toxic.
 
     ``severity`` is the expected grade, 0 to K; ``grade`` the likeliest;
-    ``toxic`` says P(grade >= 1) reaches ``flag``. Null and empty texts have
+    ``toxic`` says P(grade >= 1) reaches ``flag``, by default the lowest bar
+    that keeps the training texts' precision. Null and empty texts have
     no features. Whole texts are read; rows that repeat are scored each; an
     empty table gives an empty one.
     """
 
+    bar = model.flag if flag is None else flag
+
     def score(texts: list[str | None]) -> dict[str, list]:
         p = [model.at_least(t or "") for t in texts]
         likeliest = [int(np.argmax(-np.diff(np.concatenate([[1.0], q, [0.0]])))) for q in p]
-        return {"severity": [float(q.sum()) for q in p], "grade": likeliest, "p_toxic": [float(q[0]) for q in p], "toxic": [bool(q[0] >= flag) for q in p]}
+        return {"severity": [float(q.sum()) for q in p], "grade": likeliest, "p_toxic": [float(q[0]) for q in p], "toxic": [bool(q[0] >= bar) for q in p]}
 
     return map_texts(documents(docs), score, "severity double, grade int, p_toxic double, toxic boolean")
