@@ -11,6 +11,7 @@ from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
 from .language import fit_languages, identify_language
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .pii import find_personal_data
 from .quality import fit_quality, score_quality
 from .secret_scan import scan_secrets
@@ -22,6 +23,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_near_dedup": op2_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
@@ -103,8 +109,21 @@ SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN i ON dw.doc_id = i.doc_id
 """
 
+_OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i : i + 4] AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.v)::BIGINT AS component_id, w.doc_id = min(r.v) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.u = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _OP1_SQL,
+    "op2_near_dedup": _OP2_SQL,
     "op5_exact_dedup": _OP5_SQL,
     "op7_mixing": _OP7_SQL,
 }
