@@ -118,11 +118,11 @@ def _covered(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = 0) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, mark.
 
     A document word inside any occurrence of a window is hit; items are those
     with occurring windows, as strings in sorted order, and their sha256 is of
-    the comma-joined list. With ``slop`` an array ``near_items`` of items with
+    the comma-joined list; ``mark`` is the text's 64-bit hash. With ``slop`` an array ``near_items`` of items with
     proximity matches is added, which changes no other column.
 
     Null and empty texts have no words; items without words or without an id
@@ -157,7 +157,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: i
     n_hit = F.coalesce(_covered(F.flatten(F.transform("hit", lambda x: x["spans"]))), F.lit(0).cast("long"))
     out = one.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"),
-        F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), (F.size(found) > 0).alias("contaminated"), found.alias("items"),
+        F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), (F.size(found) > 0).alias("contaminated"), found.alias("items"), F.xxhash64("text").alias("mark"),
         *([F.coalesce(F.array_sort(F.array_distinct(F.transform(F.filter("lines", lambda x: F.size(_near_starts(F.col("doc_words"), x["item_words"], x["shift"], width, slop)) > 0), lambda x: x["item_id"]))), none).alias("near_items")] if slop else []),
     )
     return out
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` without the rows in which a window of an item occurs."""
+    hit = decontaminate(docs, items, width).filter("contaminated").select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("its_mark"))
+    return docs.join(small(stored(hit, "contaminated")), same, "left_anti")

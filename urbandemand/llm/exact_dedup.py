@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, stored
+from .common import documents, dropped, small, stored
 
 BLOCK_BYTES = 1024
 
@@ -121,3 +121,19 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     alone = one.filter("name is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     both = shared.select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(alone)
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with one row of each text: the one ``exact_dedup`` keeps.
+
+    Of rows that repeat a doc_id and text one stays; which, where their other
+    columns differ, is not defined.
+    """
+    found = exact_dedup(docs, block_bytes).filter("group_size > 1").select(F.col("doc_id").alias("its_id"), F.col("text_sha256").alias("its_sha"), "kept")
+    found = stored(found, "copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256) == F.col("its_sha"))
+    left = docs.join(small(stored(found.filter("not kept").select("its_id", "its_sha").distinct(), "leave")), same, "left_anti")
+    repeated = stored(found.filter("kept").groupBy("its_id", "its_sha").count().filter("count > 1").select("its_id", "its_sha"), "repeated")
+    if not repeated.limit(1).count():
+        return left
+    return left.join(small(repeated), same, "left_anti").unionByName(left.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))

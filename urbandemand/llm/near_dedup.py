@@ -311,3 +311,9 @@ def near_duplicates(docs: DataFrame, region_shingles: int = REGION_SHINGLES) ->
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """``docs`` with the document of each group that ``near_duplicates`` keeps."""
+    leave = near_duplicates(docs, region_shingles).filter("not kept").select(F.col("doc_id").alias("its_id")).distinct()
+    return docs.join(small(stored(leave, "leave")), F.col("doc_id").cast("long") == F.col("its_id"), "left_anti")

@@ -8,9 +8,11 @@ logistic curve fitted on other labelled rows turns that into a probability.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,3 +134,16 @@ def score_quality(docs: DataFrame, model: CompressionClassifier, threshold: floa
     rows = documents(docs).select("doc_id", (id_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "text")
     out = map_texts(rows, lambda texts: {"score": [model.score(t) for t in texts]}, "score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_rejected(docs: DataFrame, model: CompressionClassifier, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score below ``threshold``."""
+    place = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                yield b.filter(pa.array([model.score(t) >= threshold for t in b.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
