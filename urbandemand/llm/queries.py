@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .katz import score_katz
 from .language import fit_languages, identify_language
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -49,6 +50,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_katz(table(spark, sf_dir, "documents"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
 }
