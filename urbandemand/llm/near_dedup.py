@@ -11,10 +11,12 @@ A document's set holds its distinct 5-word shingles. Documents are linked where
 3. Neighbours are compared first, which joins most of each group.
 4. Then each region that still holds several components is searched in full:
    its classes' sets are brought together, and an inverted list of the region's
-   shingles gives the overlap of every pair between different components. A
-   region whose sets are too large together is first divided by deeper
-   prefixes, and one that stays too large at full depth is searched in pairs of
-   blocks, so no pair is left out.
+   shingles gives the overlap of every pair between different components. The
+   depth adapts: a region whose sets are too large together is first divided
+   by deeper prefixes, which joins most of it. What is then still open is
+   searched at the least depth in blocks: the region's largest component is
+   dealt out, and the classes outside it meet all of its blocks and each
+   other, so no pair is left out.
 
 Links are put out only as long as they join different components, so a group
 of n near copies gives in the order of n rows.
@@ -222,25 +224,53 @@ def _overlapping(comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, in
     return out
 
 
-def _across(forest: DataFrame, docs: DataFrame, comp: DataFrame, limit: int) -> DataFrame:
-    """Links (a, b) that join different components within a region."""
+def _open(forest: DataFrame, comp: DataFrame) -> DataFrame:
+    """The forest's rows in regions that hold several components."""
     at = forest.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     several = at.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("region")
-    open_ = stored(at.join(several, "region").select("region", "v1", "v2", "v3", "rep", "comp", "n"), "open")
-    # Adaptive depth: a region with too much in it is divided by its next values.
+    return stored(at.join(several, "region").select("region", "v1", "v2", "v3", "rep", "comp", "n"), "open")
+
+
+def _deeper(open_: DataFrame, limit: int) -> DataFrame | None:
+    """``region, rep, comp`` with too large regions divided by deeper prefixes; None if there is none.
+
+    What stays too large at full depth is cut into blocks.
+    """
+    divided = None
     for column in ("v1", "v2", "v3"):
         sizes = open_.groupBy("region").agg(F.sum("n").alias("held")).filter(F.col("held") > limit)
         if not sizes.limit(1).count():
             break
-        deeper = stored(open_.join(sizes, "region", "left").withColumn("region", F.when(F.col("held").isNotNull(), F.xxhash64("region", column)).otherwise(F.col("region"))).drop("held"), "open")
-        dropped(open_)
-        open_ = deeper
-    # What is still too large is cut into blocks, each met by each.
-    sizes = open_.groupBy("region").agg(F.sum("n").alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    sized = open_.join(sizes, "region").withColumn("blocks", F.ceil(F.col("held") / limit).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("region", F.least(k, own), F.greatest(k, own)))
-    placed = stored(sized.select(F.explode(met).alias("region"), "rep", "comp"), "placed")
+        divided = open_.join(sizes, "region", "left").withColumn("region", F.when(F.col("held").isNotNull(), F.xxhash64("region", column)).otherwise(F.col("region"))).drop("held")
+        open_ = divided = stored(divided, "open")
+    if divided is None:
+        return None
+    sizes = divided.groupBy("region").agg(F.sum("n").alias("held"), F.count("*").alias("m")).filter("m > 1")
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("held") / limit))
+    return divided.join(sizes, "region").select(F.when(F.col("held") > limit, F.xxhash64("region", block)).otherwise(F.col("region")).alias("region"), "rep", "comp")
+
+
+def _blocks(open_: DataFrame, limit: int) -> DataFrame:
+    """``region, rep, comp`` such that every two components of a region meet in full somewhere."""
+    per = open_.groupBy("region", "comp").agg(F.sum("n").alias("held"))
+    sizes = per.groupBy("region").agg(F.max_by("comp", "held").alias("main"), F.max("held").alias("of_main"), F.sum("held").alias("held"))
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(c / limit)).cast("int")
+    fits = F.col("held") <= limit
+    sized = open_.join(sizes, "region").withColumn("mains", F.when(fits, 1).otherwise(parts(F.col("of_main")))).withColumn("others", F.when(fits, 1).otherwise(parts(F.col("held") - F.col("of_main"))))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    main = F.transform(all_of("others"), lambda j: F.xxhash64("region", F.lit(0), place("mains"), j))
+    other = F.concat(
+        F.transform(all_of("mains"), lambda k: F.xxhash64("region", F.lit(0), k, place("others"))),
+        F.transform(all_of("others"), lambda j: F.xxhash64("region", F.lit(1), F.least(j, place("others")), F.greatest(j, place("others")))),
+    )
+    whole = F.array(F.col("region"))
+    return sized.select(F.explode(F.when(fits, whole).when(F.col("comp") == F.col("main"), main).otherwise(other)).alias("region"), "rep", "comp")
+
+
+def _across(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components, found within each region."""
+    placed = stored(placed, "placed")
     wanted = stored(placed.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
 
     def half(texts: list[str | None]) -> dict[str, list]:
@@ -271,6 +301,20 @@ def _across(forest: DataFrame, docs: DataFrame, comp: DataFrame, limit: int) ->
     return ordered.mapInArrow(search, "a long, b long").distinct()
 
 
+def _joined(comp: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Components with the links found, once these are confirmed on the full sets."""
+    pairs = stored(found.filter("a <> b").distinct(), "pairs")
+    if not pairs.limit(1).count():
+        return comp
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    more = stored(_confirmed(pairs, docs.join(small(wanted), "doc_id", "left_semi")), "links")
+    joined = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("to_a")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("to_b")), "b", "left")
+    lifted = components(joined.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")))
+    up = lifted.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+    old = comp.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"))
+    return stored(old.unionByName(lifted.join(comp, "node", "left_anti")), "labels")
+
+
 def near_duplicates(docs: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -296,15 +340,11 @@ def near_duplicates(docs: DataFrame, region_shingles: int = REGION_SHINGLES) ->
     twins = sig.filter("doc_id is not null and n > 0").join(classes.select("set_a", "set_b", "n", "rep"), ["set_a", "set_b", "n"]).select("doc_id", "rep")
     repeated = twins.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(classes.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b")
     comp = components(link.union(repeated))
-    pairs = stored(_across(forest, docs, comp, region_shingles).filter("a <> b"), "pairs")
-    if pairs.limit(1).count():
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-        more = stored(_confirmed(pairs, docs.join(small(wanted), "doc_id", "left_semi")), "links")
-        joined = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("to_a")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("to_b")), "b", "left")
-        lifted = components(joined.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")))
-        up = lifted.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        old = comp.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"))
-        comp = stored(old.unionByName(lifted.join(comp, "node", "left_anti")), "labels")
+    open_ = _open(forest, comp)
+    if (deeper := _deeper(open_, region_shingles)) is not None:
+        comp = _joined(comp, _across(deeper, docs), docs)
+        open_ = _open(forest, comp)
+    comp = _joined(comp, _across(_blocks(open_, region_shingles), docs), docs)
     own = twins.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     comp = comp.select(F.col("node").alias("rep"), "comp")
     named = own.join(comp, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
