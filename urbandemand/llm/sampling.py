@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small, stored
+
 PIECES, PIECE_CHARS = 4, 1000
 
 
@@ -22,12 +24,18 @@ def sample_labelled(docs: DataFrame, labelled: DataFrame, per_class: int, limit:
     """``(label, pieces)`` of at most ``per_class`` documents a class, ``limit`` in all.
 
     ``labelled`` has doc_id and label; which rows are taken depends only on
-    the seed and the ids. The ids are chosen first, so that only chosen texts
-    are moved.
+    the seed and the ids: those with the smallest hashes. The ids are chosen
+    first, so that only chosen texts are moved, and of a class only ids whose
+    hash lies below a bar that a few times ``per_class`` pass, so that what
+    meets in one task does not grow with the table.
     """
     order = F.xxhash64(F.lit(seed), "doc_id")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "doc_id"))
+    by_share = F.pmod(order, F.lit(1 << 40))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(by_share, order, "doc_id"))
     chosen = labelled.select("doc_id", "label").filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).distinct()
+    sizes = small(stored(chosen.groupBy("label").agg(F.count("*").alias("n")), "classes"))
+    share = by_share / F.lit(float(1 << 40))
+    chosen = chosen.join(sizes, "label").filter(share * F.col("n") <= 2.0 * per_class + 200).drop("n")
     chosen = chosen.withColumn("rank", rank).filter(F.col("rank") <= per_class).orderBy("rank", "label").limit(limit).select("doc_id", "label")
     ids = chosen.collect()
     if not ids:
