@@ -3,7 +3,9 @@
 Two zstandard dictionaries are built, one from good and one from bad labelled
 text. A text is compressed in blocks with each; the difference of the two
 sizes, divided by the text's own size, says which of them it resembles. A
-logistic curve fitted on other labelled rows turns that into a probability.
+logistic curve fitted on other labelled rows turns that into a probability;
+it also takes the smaller of the two sizes, as text that shrinks to next to
+nothing with either dictionary repeats itself, whatever it resembles.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from .sampling import sample_labelled
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 3
 BLOCK_BYTES = 2048
-#: Bytes added to a text's size, so that very short texts stay near the middle.
-PRIOR_BYTES = 48
+#: Bytes added to a text's size, so that very short texts stay near the middle,
+#: and what they are taken to shrink to.
+PRIOR_BYTES, PRIOR_RATIO = 48, 0.45
 THRESHOLD = 0.3
 #: Labelled documents read on the driver: for each dictionary, and for the curve.
 PER_DICTIONARY, FOR_CURVE = 600, 3000
@@ -40,11 +43,12 @@ def _dictionary(texts: list[str]) -> bytes:
 
 @dataclass
 class CompressionClassifier:
-    """Fitted dictionaries with the curve's slope and offset."""
+    """Fitted dictionaries with the curve's weights."""
 
     good: bytes
     bad: bytes
     slope: float = 40.0
+    by_ratio: float = 0.0
     offset: float = 0.0
 
     def __post_init__(self) -> None:
@@ -65,32 +69,37 @@ class CompressionClassifier:
                 self._made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         return self._made
 
-    def difference(self, text: str) -> float:
-        """Compressed size with the bad less with the good dictionary, by size."""
+    def sizes(self, text: str) -> tuple[float, float]:
+        """By the text's size: compressed size with the bad less with the good dictionary, and the smaller one."""
         raw = text.encode()
         good, bad = self._compressors()
-        total = 0
+        of_good = of_bad = 0
         for at in range(0, len(raw), BLOCK_BYTES):
             block = raw[at : at + BLOCK_BYTES]
-            total += len(bad.compress(block)) - len(good.compress(block))
-        return total / (len(raw) + PRIOR_BYTES)
+            of_good += len(good.compress(block))
+            of_bad += len(bad.compress(block))
+        size = len(raw) + PRIOR_BYTES
+        return (of_bad - of_good) / size, (min(of_good, of_bad) + PRIOR_BYTES * PRIOR_RATIO) / size - PRIOR_RATIO
 
     def score(self, text: str | None) -> float:
-        z = self.slope * self.difference(text or "") + self.offset
+        difference, ratio = self.sizes(text or "")
+        z = self.slope * difference + self.by_ratio * ratio + self.offset
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps with a weak prior."""
-    w, pull = np.zeros(2), np.diag([1e-4, 1e-3])
-    a = np.stack([x * 20, np.ones_like(x)], 1)
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights of both sizes and offset of a logistic curve, by Newton steps with a weak prior."""
+    scale = np.array([20.0, 5.0, 1.0])
+    a = np.column_stack([x, np.ones(len(x))]) * scale
+    w, pull = np.zeros(3), np.diag([1e-2, 1e-2, 1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull, a.T @ (y - p) - pull @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0] * 20, 1e-6)), float(w[1])
+    w = w * scale
+    return float(max(w[0], 1e-6)), float(w[1]), float(w[2])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, seed: int = 6, per_dictionary: int = PER_DICTIONARY, for_curve: int = FOR_CURVE) -> CompressionClassifier:
@@ -118,9 +127,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, seed: int = 6, per_dictionar
     few = min(sum(quality[i] == q for i, _ in fresh) for q in ("0", "1")) < 20
     rows = [(i, "".join(ps)) for i, _, ps in curve] if few else fresh
     if len({quality[i] for i, _ in rows}) == 2:
-        x = np.array([model.difference(t) for _, t in rows])
+        x = np.array([model.sizes(t) for _, t in rows])
         y = np.array([float(quality[i]) for i, _ in rows])
-        model.slope, model.offset = _curve(x, y)
+        model.slope, model.by_ratio, model.offset = _curve(x, y)
     return model
 
 
