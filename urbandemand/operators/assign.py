@@ -45,9 +45,9 @@ def nearest_site(buildings: DataFrame, sites: DataFrame, per_cell: float = PER_C
         cells = sites.join(around.select("city", "w", "s"), "city").select("city", F.floor((F.col("lon") - F.col("w")) / size).alias("cx"), F.floor((F.col("lat") - F.col("s")) / size).alias("cy"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), "site_ord", "place_id")
         near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         looks = rest.select(*own, *frame, F.floor((x - F.col("w")) / size).alias("ox"), F.floor((y - F.col("s")) / size).alias("oy"), F.explode(near).alias("o")).select(*own, *frame, "ox", "oy", (F.col("ox") + F.col("o.dx")).alias("cx"), (F.col("oy") + F.col("o.dy")).alias("cy"))
-        met = looks.join(cells, ["city", "cx", "cy"])
+        met = looks.join(cells, ["city", "cx", "cy"], "left")
         dx, dy = F.col("lon") - F.col("slon"), F.col("lat") - F.col("slat")
-        best = met.groupBy(*own, *frame, "ox", "oy").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), "site_ord", "place_id")).alias("m"))
+        best = met.groupBy(*own, *frame, "ox", "oy").agg(F.min(F.when(F.col("place_id").isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), "site_ord", "place_id"))).alias("m"))
         # How far the nine cells reach from the building on every side.
         west, south = F.col("w") + (F.col("ox") - 1) * size, F.col("s") + (F.col("oy") - 1) * size
         reach = F.least(F.col("lon") - west, west + 3 * size - F.col("lon"), F.col("lat") - south, south + 3 * size - F.col("lat"))
@@ -55,11 +55,10 @@ def nearest_site(buildings: DataFrame, sites: DataFrame, per_cell: float = PER_C
         if last:
             done = best.select(*own, F.col("m.place_id").alias("place_id"), F.col("m.d2").alias("d2"))
             return done if found is None else found.unionByName(done)
-        best = stored(best.withColumn("safe", safe), "nearest")
+        best = stored(best.withColumn("safe", F.coalesce(safe, F.lit(False))), "nearest")
         done = best.filter("safe").select(*own, F.col("m.place_id").alias("place_id"), F.col("m.d2").alias("d2"))
         found = done if found is None else found.unionByName(done)
-        key = ["city", "building_id"]
-        rest = stored(rest.join(best.filter("safe").select(*key), key, "left_anti"), "unassigned")
+        rest = best.filter("not safe").select(*own, *frame)
         if not rest.limit(1).count():
             return found
         size *= 4

@@ -36,7 +36,8 @@ def building_capacity(elements: DataFrame, params: Params = DEFAULTS) -> DataFra
     tags = F.col("tags")
     kind = F.nullif(tags["building"], F.lit(""))
     rows = elements.filter(kind.isNotNull() & (F.size("geometry") >= 3)).filter(use_of(kind).isNotNull())
-    residents, jobs = capacities(ring_area(closed(F.col("geometry"))), kind, tags["building:levels"], tags["aeroway"], params)
+    rows = rows.withColumn("ring", closed(F.col("geometry"))).withColumn("area", ring_area(F.col("ring")))
+    residents, jobs = capacities(F.col("area"), kind, tags["building:levels"], tags["aeroway"], params)
     out = rows.select(
         "city", F.col("id").alias("building_id"), use_of(kind).alias("use"), residents.alias("residents"), jobs.alias("jobs"),
         ((F.col("bounds.minlon") + F.col("bounds.maxlon")) / 2).alias("lon"), ((F.col("bounds.minlat") + F.col("bounds.maxlat")) / 2).alias("lat"), "ordinal",

@@ -31,10 +31,11 @@ def indexed_buildings(elements: DataFrame, params: Params = DEFAULTS) -> DataFra
     counts them densely; with ``compat_ordinals`` it is the raw ordinal.
     ``x`` and ``y`` are the cell of the centre of mass, null outside the grid.
     """
-    ring = closed(F.col("geometry"))
     depth_tag = F.nullif(F.col("tags")["building:levels:underground"], F.lit(""))
     depth = F.when(depth_tag.isNotNull(), number(depth_tag)).otherwise(F.lit(1.0))
-    rows = elements.filter(F.size("geometry") >= 3).select("city", "ordinal", box_of(F.col("geometry")).alias("b"), centroid(ring).alias("c"), depth.alias("depth"), ring.alias("polygon"))
+    # The ring is a column before functions go over it corner by corner.
+    rows = elements.filter(F.size("geometry") >= 3).select("city", "ordinal", box_of(F.col("geometry")).alias("b"), depth.alias("depth"), closed(F.col("geometry")).alias("polygon"))
+    rows = rows.withColumn("c", centroid(F.col("polygon")))
     dims = grid_dims(city_box(elements), params.building_cell).select("city", F.col("west").alias("w"), F.col("south").alias("s"), "cell_x", "cell_y", "columns", "rows")
     rows = rows.join(dims, "city")
     dense = F.row_number().over(Window.partitionBy("city").orderBy("ordinal")) - 1

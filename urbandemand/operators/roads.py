@@ -27,10 +27,10 @@ def runway_properties(elements: DataFrame) -> DataFrame:
     """Properties of runway features: lines have a z-order, areas their kind and size."""
     kind = F.col("tags")["aeroway"]
     line = kind.isin("runway", "taxiway")
-    rows = elements.filter((F.col("type") == "way") & kind.isin(*AEROWAYS))
+    rows = elements.filter((F.col("type") == "way") & kind.isin(*AEROWAYS)).withColumn("ring", closed(F.col("geometry")))
     return rows.select(
         "city", "id", F.lit("runway").alias("road_type"), F.when(line, F.lit(0)).alias("z_order"), F.when(~line, kind).alias("aeroway"), F.col("id").cast("string").alias("osm_way_id"),
-        F.when(line, F.lit(0.0)).otherwise(ring_area(closed(F.col("geometry")))).alias("area"), F.when(kind == "runway", F.lit(30.0)).when(kind == "taxiway", F.lit(10.0)).alias("buffer_m"), "geometry",
+        F.when(line, F.lit(0.0)).otherwise(ring_area(F.col("ring"))).alias("area"), F.when(kind == "runway", F.lit(30.0)).when(kind == "taxiway", F.lit(10.0)).alias("buffer_m"), "geometry",
     )
 
 
