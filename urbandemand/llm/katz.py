@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, dropped, id_crc, stored
 
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 #: Distinct keys that come together in one partition of the model.
-PARTITION_KEYS = 4_000_000
+PARTITION_KEYS = 1_500_000
 #: Largest count that is discounted.
 LARGEST = 5
 #: Names of the start and the end of a text; no word has a blank.
@@ -186,7 +186,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
     """Rows of each key, the first column, of batches sorted by it."""
     key, held = None, []
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
+        for i in range(b.num_rows):
+            row = tuple(b.column(k)[i].as_py() for k in range(b.num_columns))
             if row[0] != key:
                 if held:
                     yield key, held
