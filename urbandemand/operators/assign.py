@@ -28,6 +28,7 @@ def nearest_site(buildings: DataFrame, sites: DataFrame, per_cell: float = PER_C
     smallest ``site_ord`` is taken. A city without sites assigns none. A
     building is told apart by ``city`` and ``building_id``.
     """
+    sites = stored(sites.select("city", "lon", "lat", "site_ord", "place_id"), "sites")  # read once a look
     around = sites.groupBy("city").agg(F.count("*").alias("n"), F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n_edge"))
     shape = around.agg(F.max("n"), F.max(F.greatest(F.col("e") - F.col("w"), F.col("n_edge") - F.col("s")))).first()
     n, extent = shape[0] or 0, max(shape[1] or 0.0, 1e-6)
