@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: A side of a join is broadcast only when its written size is at most this.
-BROADCAST_BYTES = 32 << 20
+#: A side of a join is broadcast only when its written, compressed size is at most this.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
