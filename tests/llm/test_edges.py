@@ -92,6 +92,18 @@ def test_exact_groups(spark, docs):
     assert got[None, sha(ROWS[6][1])] == (None, 1, True)
 
 
+def test_exact_repeats_of_several_blocks(spark):
+    """Rows that repeat a doc_id and text are copies at every number of blocks, as in the SQL."""
+    texts = {n: "".join(f"{n}.{i} " for i in range(4000))[:n] for n in (1000, 1024, 1025, 2500, 9000)}
+    rows = [(n, t) for n, t in texts.items() for _ in range(2 if n < 9000 else 3)] + [(None, "no id " + texts[2500])] * 2 + [(5, "alone " + texts[9000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs).collect())
+    size = {i: sum(j == i for j, _ in rows) for i, _ in rows}
+    assert got == sorted((str(i), i, size[i], True) for i, _ in rows)
+    left = corpus_pipeline.exact_dedup(spark, docs, "")
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, size))
+
+
 def test_near_groups(spark, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
     assert got[1] == (16, 1, True)

@@ -11,8 +11,9 @@ Blocks are sorted by a 64-bit digest and then, where several blocks share a
 digest, by their bytes, so that only the digest has to travel with a document.
 Each block's bytes are read once, to prove which digests stand for one block.
 
-A document with a block or pair that occurs nowhere else has no copy, and
-leaves the recursion there.
+A row with a block or pair that occurs nowhere else has no copy, and leaves
+the recursion there. Rows that are equal in doc_id and text go through it as
+one, with their number, so that they are copies of each other at every level.
 """
 
 from __future__ import annotations
@@ -56,10 +57,10 @@ def _block_names(docs: DataFrame, blocks: Column) -> DataFrame:
 def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, sha`` of the texts that may have copies, with their identity.
 
-    ``docs`` has doc_id, sha (of the text) and raw (its bytes). Rows that are
-    equal in doc_id and text count as one. Returns doc_id, sha, level, name:
-    equal (level, name) exactly for equal texts. Texts not in the result have
-    no copy under another doc_id.
+    ``docs`` has doc_id, sha (of the text) and raw (its bytes). Returns
+    doc_id, sha, level, name, once for rows that are equal in doc_id and text:
+    equal (level, name) exactly for equal texts. Texts not in the result are
+    those of a single row.
     """
     raw = F.col("raw")
     n_blocks = F.greatest(F.lit(1), F.ceil(F.length(raw) / F.lit(float(block_bytes)))).cast("int")
@@ -76,11 +77,11 @@ def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
         at = at.select("doc_id", "sha", "place", F.xxhash64("block").alias("digest"))
         on = F.col("l.digest") == F.col("r.digest")
     level = 0
-    row = at.alias("l").join(names.alias("r"), on).select("l.doc_id", "l.sha", "l.place", "r.name", "r.n")
+    row = at.alias("l").join(names.alias("r"), on).groupBy("l.doc_id", "l.sha", "l.place", "r.name", "r.n").agg(F.count("*").alias("copies"))
     done: DataFrame | None = None
     spent: list[DataFrame] = [names]
     while True:
-        row = stored(row.distinct(), "level")
+        row = stored(row, "level")
         for x in spent:
             dropped(x)
         spent = [row]
@@ -93,10 +94,10 @@ def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
             dropped(row)
             return done
         part = row.join(longer, [row.doc_id.eqNullSafe(longer.doc_id), row.sha == longer.sha])
-        pair = part.groupBy(row.doc_id, row.sha, F.floor(F.col("place") / 2).cast("int").alias("half")).agg(F.max(F.when(F.col("place") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("place") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
+        pair = part.groupBy(row.doc_id, row.sha, F.floor(F.col("place") / 2).cast("int").alias("half")).agg(F.max(F.when(F.col("place") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("place") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"), F.max("copies").alias("copies"))
         pair = stored(pair.withColumnRenamed("half", "place"), "pairs")
-        names = _named(pair.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"])
-        row = pair.join(names, ["a", "b"]).select("doc_id", "sha", "place", "name", "n")
+        names = _named(pair.groupBy("a", "b").agg(F.sum("copies").alias("n")), ["a", "b"])
+        row = pair.join(names, ["a", "b"]).select("doc_id", "sha", "place", "name", "n", "copies")
         spent += [pair, names]
         level += 1
 
