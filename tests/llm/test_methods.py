@@ -159,6 +159,26 @@ def test_secret_scan_adds_random_tokens(spark):
     assert sum(got[i] for i in got if i % 2) >= 20 and not any(got[i] for i in got if not i % 2)
 
 
+def test_secret_candidates_are_all_long_tokens(spark):
+    rng = np.random.default_rng(7)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    value = draw(letters + digits, 40)
+    for before in ("AWS_SECRET_ACCESS_KEY=", "auth=", "?a=b&sig=", "x=="):
+        text = f"so {before}{value} end"
+        found = {text[s:e]: v for s, e, _, v in secret_scan.candidates(text)}
+        assert found[value] < 20, before
+    text = f"{value[:22]}== {value[:18]}== a={value[:19]} {'=' * 30}"
+    assert [text[s:e] for s, e, *_ in secret_scan.candidates(text)] == [value[:22] + "==", value[:18] + "=="]
+    for alphabet in (letters, letters[26:], letters[:26], digits):
+        levels = [c[3] for c in secret_scan.candidates(" ".join(draw(alphabet, 24) for _ in range(300)))]
+        assert len(levels) == 300 and np.median(levels) < 12
+    prose = "the quick brown fox jumps over the lazy dog and then runs away into the green forest " * 30
+    rows = [(i, prose + ("AWS_SECRET_ACCESS_KEY=" + draw(letters + digits, 40) if i % 2 else "")) for i in range(60)]
+    got = {r.doc_id: r.n_random for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert any(got[i] for i in got if i % 2) and not any(got[i] for i in got if not i % 2)
+
+
 def test_personal_data_base():
     text = "a.b@c.de 1.2.3.4 1.2.3.400 4111 1111 1111 1111 +1 (602) 555-9039 +12 34"
     assert collections.Counter(k for _, _, k in pii.base_spans(text)) == {"email": 1, "ip": 1, "card": 1, "phone": 1}

@@ -1,8 +1,8 @@
 """Secret scans: fixed formats, and a battery of randomness tests.
 
-Three base formats are found by pattern. Every other long token of the secret
-alphabet is put to a battery of tests for the encoding that its characters
-suggest: chi-squared uniformity over that alphabet, a runs test and a serial
+Three base formats are found by pattern. Every other token of 20 or more
+characters of the secret alphabet, with "=" as trailing padding only, is put to
+a battery of tests for the encoding that its characters suggest: chi-squared uniformity over that alphabet, a runs test and a serial
 correlation test, joined by Fisher's method. A secret passes as random; words
 do not. How random a token must be is settled for each length from the corpus:
 ordinary letters of the documents, strung together to tokens of that length,
@@ -30,7 +30,8 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: A token with its padding; an "=" before more of the alphabet ends it and may begin another.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{20})[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
 #: Shortest token of each length class, and classes of the joint p-value: -2 log2 p.
 LENGTHS = (20, 24, 32, 40, 64, 128)
 LEVELS = 64
@@ -39,6 +40,7 @@ RATE = 0.05
 #: Letters between the starts of two reference tokens of a text.
 STRIDE = 2000
 ALPHABETS = (
+    ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -113,14 +115,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """Long tokens of mixed characters: start, end, length class, level."""
-    out = []
-    for m in TOKEN.finditer(text):
-        t = m[0]
-        mixed = any(c.isdigit() for c in t) + any("a" <= c <= "z" for c in t) + any("A" <= c <= "Z" for c in t)
-        if mixed >= 2 and any(c.isdigit() for c in t):
-            out.append((m.start(), m.end(), length_class(len(t)), level(battery(t))))
-    return out
+    """Tokens of the least length or more: start, end, length class, level."""
+    return [(m.start(), m.end(), length_class(len(m[0])), level(battery(m[0]))) for m in TOKEN.finditer(text) if len(m[0]) >= LENGTHS[0]]
 
 
 _NOT_LETTERS = re.compile(r"[^A-Za-z]+")
