@@ -173,12 +173,27 @@ def test_secret_candidates_are_all_long_tokens(spark):
     for alphabet in (letters, letters[26:], letters[:26], digits):
         levels = [c[3] for c in secret_scan.candidates(" ".join(draw(alphabet, 24) for _ in range(300)))]
         assert len(levels) == 300 and np.median(levels) < 12
-    prose = "the quick brown fox jumps over the lazy dog and then runs away into the green forest " * 30
+    prose = "there is nothing in the matter that we need to settle before the meeting and it seems that the others agree with that " * 30
     rows = [(i, prose + ("AWS_SECRET_ACCESS_KEY=" + draw(letters + digits, 40) if i % 2 else "")) for i in range(60)]
     got = {r.doc_id: r.n_random for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert any(got[i] for i in got if i % 2) and not any(got[i] for i in got if not i % 2)
 
 
+def test_secret_references_are_all_letters():
+    rng = np.random.default_rng(8)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    prose = "The quick brown fox, 3 times; jumps over the LAZY dog - \u00e9t\u00e9. " * 40
+    texts = ["", "short", draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 700), draw("abcdef", 300), draw("ABCDEF", 300), "a" * 200, draw("abcdefghijklmnopqrstuvwxyz", 900), draw("abcXYZ", 150), prose]
+    want = collections.Counter()
+    for t in texts:
+        letters = "".join(c for c in t if c.isascii() and c.isalpha())
+        for k, n in enumerate(secret_scan.LENGTHS):
+            want.update(k * secret_scan.LEVELS + secret_scan.level(secret_scan.battery(letters[at : at + n])) for at in range(0, len(letters) - n + 1, n))
+    assert secret_scan.references(texts) == want
+    tokens = [draw("0123456789abcdef", 32) for _ in range(50)] + [draw("0123456789", 32) for _ in range(50)] + [draw("aZ9/-_", 32) for _ in range(50)]
+    assert secret_scan.levels(np.array([list(t.encode()) for t in tokens], dtype=np.uint8)).tolist() == [secret_scan.level(secret_scan.battery(t)) for t in tokens]
+
+
 def test_personal_data_base():
     text = "a.b@c.de 1.2.3.4 1.2.3.400 4111 1111 1111 1111 +1 (602) 555-9039 +12 34"
     assert collections.Counter(k for _, _, k in pii.base_spans(text)) == {"email": 1, "ip": 1, "card": 1, "phone": 1}

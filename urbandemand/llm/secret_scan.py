@@ -5,8 +5,8 @@ characters of the secret alphabet, with "=" as trailing padding only, is put to
 a battery of tests for the encoding that its characters suggest: chi-squared uniformity over that alphabet, a runs test and a serial
 correlation test, joined by Fisher's method. A secret passes as random; words
 do not. How random a token must be is settled for each length from the corpus:
-ordinary letters of the documents, strung together to tokens of that length,
-give the share of text that looks as random, and the bar is put where the
+all letters of every document, strung together to tokens of that length back
+to back, give the share of text that looks as random, and the bar is put where the
 expected share of such tokens among those reported stays below ``rate``.
 """
 
@@ -15,7 +15,9 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ LENGTHS = (20, 24, 32, 40, 64, 128)
 LEVELS = 64
 #: Expected share of ordinary text among the added spans.
 RATE = 0.05
-#: Letters between the starts of two reference tokens of a text.
-STRIDE = 2000
+#: Letters of reference tokens that are put to the battery at once.
+CHUNK = 1 << 17
 ALPHABETS = (
     ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
@@ -119,13 +121,75 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     return [(m.start(), m.end(), length_class(len(m[0])), level(battery(m[0]))) for m in TOKEN.finditer(text) if len(m[0]) >= LENGTHS[0]]
 
 
-_NOT_LETTERS = re.compile(r"[^A-Za-z]+")
+_NOT_LETTERS = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122))
+#: By byte: the alphabets it is in, as bits, and its place in each.
+_IN = np.array([sum((chr(c) in codes) << k for k, (_, codes, _) in enumerate(_CODES)) for c in range(256)], dtype=np.uint8)
+_PLACE = [np.array([codes.get(chr(c), 0) for c in range(256)], dtype=np.uint8) for _, codes, _ in _CODES]
 
 
-def references(text: str) -> list[int]:
-    """Class * LEVELS + level of ordinary letters strung to each length."""
-    letters = _NOT_LETTERS.sub("", text)
-    return [length_class(n) * LEVELS + level(battery(letters[at : at + n])) for at in range(0, len(letters), STRIDE) for n in LENGTHS if at + n <= len(letters)]
+def _log(p: float) -> float:
+    return math.log(max(p, 1e-300))
+
+
+@cache
+def _chi_logs(n: int, size: int) -> np.ndarray:
+    """Log p of the chi-squared test by the sum of squared counts."""
+    spread = math.sqrt(2 * (size - 1) * (n - 1) / n)
+    return np.array([_log(0.5 * math.erfc((q * size / n - n - (size - 1)) / spread / math.sqrt(2))) for q in range(n * n + 1)])
+
+
+@cache
+def _runs_logs(n: int) -> np.ndarray:
+    """Log p of the runs test by the number of high places and of changes."""
+    out = np.full((n + 1, n), _log(2.0 ** (1 - n)))
+    for n1 in range(1, n):
+        mean = 1 + 2 * (n - n1) * n1 / n
+        var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
+        out[n1] = [_log(_tail((1 + changes - mean) / math.sqrt(var))) for changes in range(n)]
+    return out
+
+
+def levels(tokens: np.ndarray) -> np.ndarray:
+    """``level(battery(token))`` of the tokens in the rows of a byte matrix, 8 or more bytes each."""
+    n = tokens.shape[1]
+    fits = np.bitwise_and.reduce(_IN[tokens], axis=1)
+    out = np.full(len(tokens), LEVELS - 1)
+    for k, (_, codes, size) in enumerate(_CODES):
+        at = np.flatnonzero(fits & -fits.astype(np.int16) == 1 << k)  # the lowest bit: the first alphabet that fits
+        if not len(at):
+            continue
+        x = np.ascontiguousarray(_PLACE[k][tokens[at]].T)
+        m = len(at)
+        counts = np.bincount((x + np.arange(m, dtype=np.int32) * len(codes)).ravel(), minlength=m * len(codes)).reshape(m, -1)
+        logs = _chi_logs(n, size)[np.einsum("ij,ij->i", counts, counts)]
+        high = x >= size / 2
+        logs += _runs_logs(n)[high.sum(axis=0), (high[1:] != high[:-1]).sum(axis=0)]
+        f = x.astype(np.float32)  # whole numbers below 2 ** 24, so sums are exact
+        total, square, serial = (v.astype(np.float64) for v in (f.sum(axis=0), (f * f).sum(axis=0), (f[1:] * f[:-1]).sum(axis=0)))
+        var = n * square - total * total
+        cov = n * serial - total * (2 * total - f[0] - f[-1]) + (n - 1) / n * total * total
+        z = np.abs(np.divide(cov, var, out=np.full(m, np.inf), where=var > 0)) * math.sqrt(n / 2)
+        logs += np.log(np.maximum(np.fromiter(map(math.erfc, z.tolist()), float, m), 1e-300))
+        p = np.exp(logs) * (1 - logs + logs * logs / 2)
+        out[at] = np.minimum(LEVELS - 1, (-2 * np.log2(np.maximum(p, 1e-30))).astype(int))
+    return out
+
+
+def references(texts: list[str]) -> dict[int, int]:
+    """Counts by class * LEVELS + level of the texts' letters strung to each length.
+
+    Tokens of one length follow each other without a gap and do not cross
+    texts; only letters too few for a last token are in none of that length.
+    """
+    letters = [t.encode("ascii", "ignore").translate(None, _NOT_LETTERS) for t in texts]
+    out: dict[int, int] = {}
+    for n in LENGTHS:
+        whole = np.frombuffer(b"".join(x[: len(x) // n * n] for x in letters), dtype=np.uint8).reshape(-1, n)
+        for at in range(0, len(whole), CHUNK // n):
+            for v, count in enumerate(np.bincount(levels(whole[at : at + CHUNK // n]), minlength=LEVELS).tolist()):
+                if count:
+                    out[length_class(n) * LEVELS + v] = out.get(length_class(n) * LEVELS + v, 0) + count
+    return out
 
 
 @dataclass
@@ -151,7 +215,7 @@ def bars(null: dict[int, int], seen: dict[int, int], rate: float = RATE) -> Bars
     return Bars(out)
 
 
-_SCANNED = "base array<struct<start:int,stop:int,kind:string>>, token array<struct<start:int,stop:int,length_class:int,level:int>>, reference array<int>"
+_SCANNED = "base array<struct<start:int,stop:int,kind:string>>, token array<struct<start:int,stop:int,length_class:int,level:int>>, reference array<struct<at:int,n:long>>"
 
 
 def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -169,16 +233,18 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
             t = t or ""
             out["base"].append([{"start": s, "stop": e, "kind": k} for s, e, k in base_spans(t)])
             out["token"].append([dict(zip(("start", "stop", "length_class", "level"), c)) for c in candidates(t)])
-            out["reference"].append(references(t))
+        null = [{"at": at, "n": n} for at, n in references([t or "" for t in texts]).items()]
+        out["reference"] = [null if k == 0 else [] for k in range(len(texts))]  # of the slice, at its first row
         return out
 
     found = stored(map_texts(documents(docs), scan, _SCANNED), "scanned")
 
     def counts(column) -> dict[int, int]:
-        rows = found.select(F.explode(column).alias("at")).groupBy("at").count().collect()  # at most LENGTHS x LEVELS rows
-        return {r["at"]: r["count"] for r in rows}
+        rows = found.select(F.explode(column).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).collect()  # at most LENGTHS x LEVELS rows
+        return {r["at"]: r["n"] for r in rows}
 
-    bar = bars(counts(F.col("reference")), counts(F.transform("token", lambda c: c["length_class"] * LEVELS + c["level"])), rate).highest
+    seen = F.transform("token", lambda c: F.struct((c["length_class"] * LEVELS + c["level"]).alias("at"), F.lit(1).cast("long").alias("n")))
+    bar = bars(counts(F.col("reference")), counts(seen), rate).highest
 
     def spans_of(base: list, token: list) -> tuple:
         own = [(b["start"], b["stop"], b["kind"]) for b in base]
