@@ -1,9 +1,10 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from urbandemand import driver_views
+from urbandemand import driver_views, queries
 from urbandemand.operators import assign, buildings, cities, coverage, demand, grid_index, roads, routing, sites
 from urbandemand.params import Params
 from urbandemand.plans import demand as plans
@@ -211,3 +212,16 @@ def test_routing(spark):
 
 def test_chained(spark):
     assert plans.chained(spark.range(4), [lambda d: d.filter("id > 0"), lambda d: d.filter("id < 3")]).count() == 2
+
+
+def test_pair_distance_takes_all_sites(spark, tmp_path):
+    keys = [1, 2, 199, 200, 201, 202, 5000]
+    spark.createDataFrame([(k, f"s{k}") for k in keys], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r.a, r.b): (r.metres, r.seconds) for r in queries.pair_distance(spark, str(tmp_path)).collect()}
+    assert set(got) == {(a, b) for a in keys for b in keys}
+    at = {k: (math.radians(-79.67 + k * 7919 % 10007 / 10007 * 0.44), math.radians(43.57 + k * 104729 % 10009 / 10009 * 0.21)) for k in keys}
+    for (a, b), (metres, seconds) in got.items():
+        (x, y), (u, v) = at[a], at[b]
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+        m = 2 * 6371008.8 * math.asin(math.sqrt(h))
+        assert abs(metres - m) <= 0.51 and abs(seconds - 0.12 * m) <= 0.51
