@@ -225,3 +225,17 @@ def test_pair_distance_takes_all_sites(spark, tmp_path):
         h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
         m = 2 * 6371008.8 * math.asin(math.sqrt(h))
         assert abs(metres - m) <= 0.51 and abs(seconds - 0.12 * m) <= 0.51
+
+
+def test_key_order_takes_all_orders(spark, tmp_path):
+    keys = range(1, 30)
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in queries.key_order(spark, str(tmp_path)).select("id", "class", "as_number", "as_placed").collect())
+    assert got == sorted((k, 0, k, None) if k % 2 == 0 else (k * 10_000_000_000, 1, None, -k) for k in keys)
+
+
+def test_line_buffer_takes_all_buildings(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.id: r.ring for r in queries.line_buffer(spark, sf).collect()}
+    assert set(got) == {r.id for r in driver_views.buildings(spark, sf).select("id").collect()}
+    assert all(got.values())

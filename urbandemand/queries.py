@@ -353,14 +353,13 @@ def last_wins(spark, sf):
 
 @query
 def key_order(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 7 = 0").select((F.col("o_orderkey") * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(10_000_000_000)).alias("id"), "o_orderkey")
+    o = spark.read.parquet(f"{sf}/orders.parquet").select((F.col("o_orderkey") * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(10_000_000_000)).alias("id"), "o_orderkey")
     first, second, third = sites.key_order(F.col("id"), -F.col("o_orderkey"))
     return o.select("id", first.alias("class"), second.alias("as_number"), third.alias("as_placed"))
 
 
 @query
 def line_buffer(spark, sf):
-    at = views.buildings(spark, sf).filter(F.col("id") % 4 < 2)
-    rows = at.withColumn("tags", F.create_map(F.lit("aeroway"), F.when(F.col("id") % 4 == 0, "runway").otherwise("taxiway")))
+    rows = views.buildings(spark, sf).withColumn("tags", F.create_map(F.lit("aeroway"), F.when(F.col("id") % 4 == 0, "runway").otherwise("taxiway")))
     features = roads.runway_properties(rows)
     return features.select("id", shapes.buffer_metres(F.to_json(roads.line_of(F.col("geometry"))), F.col("buffer_m")).alias("ring"))
