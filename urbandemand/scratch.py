@@ -9,17 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share.
+
+    A cluster names it in ``spark.checkpoint.dir`` and has to; only on a local
+    master, where it may be unset, a temporary folder is made and kept.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = getattr(spark, "_own_shared_dir", None)
-        if path is None:
-            path = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="urbandemand-")
+    if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master!r} share")
+        path = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="urbandemand-")
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, what: str = "table") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back.
+
+    Cuts the lineage without tying the rows to an executor's disk.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def _path(df: DataFrame):
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Remove what ``stored`` wrote, once nothing reads it any more."""
+    for df in frames:
+        path, system = _path(df)
+        system.delete(path, True)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``stored`` wrote."""
+    path, system = _path(df)
+    return system.getContentSummary(path).getLength()
