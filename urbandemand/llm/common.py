@@ -2,74 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
+
+from ..scratch import dropped, shared_dir, stored, stored_bytes  # noqa: F401 (the operators take them from here)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: A side of a join is broadcast only when its written, compressed size is at most this.
-BROADCAST_BYTES = 8 << 20
+#: A side of a join is broadcast only when its rows take at most this in memory.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) a temporary folder is made and recorded there.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_own_shared_dir", None)
-        if path is None:
-            path = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="urbandemand-")
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    Cuts the lineage without tying the rows to an executor's disk.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Remove what ``stored`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored_bytes(df: DataFrame) -> int:
-    """Bytes of the files that ``stored`` wrote."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory: 8 bytes a value, and texts and arrays by their lengths."""
+    size = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size += F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif isinstance(f.dataType, ArrayType):
+            each = F.transform(f"`{f.name}`", lambda x, t=f.dataType.elementType: (F.octet_length(x) if isinstance(t, StringType) else F.lit(0)) + 16)
+            size += F.coalesce(F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(16))), F.lit(0))
+    return size
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A stored table, marked for broadcast if its files are small enough.
+    """A stored table, marked for broadcast if its rows are few enough.
 
-    Beyond the limit the join that uses it shuffles both sides.
+    Files beyond the limit are too large in memory as well; of others the rows
+    are measured. Beyond the limit the join that uses it shuffles both sides.
     """
-    return F.broadcast(df) if stored_bytes(df) <= limit else df
+    if stored_bytes(df) > limit:
+        return df
+    held = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
 
 
 def ascii_lower(text: Column) -> Column:

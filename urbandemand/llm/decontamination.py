@@ -4,16 +4,16 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lowe
 case. A window is ``width`` consecutive words of a benchmark item, or all words
 of a shorter one.
 
-1. Corpus frequencies of the items' words are counted over all documents.
-2. In each window the two rarest places are chosen; the words at those places
-   are the index terms, and their postings (term, document, position) are
-   stored for the whole corpus.
-3. Postings are shifted by the term's place in the item. Postings of a window
-   that really occurs meet on one diagonal (document, item, shift), so only
-   diagonals with enough of the rarest terms stay.
-4. Along each of these the full words are compared, which makes the answer
-   exact; with a ``slop`` the words around it are searched for all terms of a
-   window in any order, which gives proximity matches.
+1. Every occurrence in the corpus of a word that some item uses is stored as a
+   posting (term, document, position), and so is each text's end, whose
+   position is the number of words. Texts are read and cut into words once.
+2. Terms are counted over the postings. In each window the two rarest places
+   are chosen, and the postings of their terms shifted by the place: postings
+   of a window that really occurs meet on one diagonal (document, item, shift).
+3. Along each diagonal that enough rare terms agree on, the offset-adjusted
+   postings of all the item's terms are intersected. Runs of places that meet
+   are exact phrases; with a ``slop`` a place also meets where its term stands
+   that many words off the diagonal, and runs of these are proximity matches.
 """
 
 from __future__ import annotations
@@ -22,12 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, documents, small, stored
+from .common import ascii_lower, documents, dropped, small, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word in a text that is not yet in lower case.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 10
+#: Words that a place may stand off its diagonal in a proximity match.
+SLOP = 1
+#: The term of a text's end; no word holds a blank.
+END = " "
+END_NO = -1
 
 
 def words(text: Column) -> Column:
@@ -36,135 +39,154 @@ def words(text: Column) -> Column:
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """``item_id`` (string), ``item_text_words``: items that have words, once each."""
+    """``item_id`` (string), ``item_words``: items that have words, once each."""
     one = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("item_words"))
     return one.filter(F.col("item_id").isNotNull() & (F.size("item_words") > 0)).distinct()
 
 
-def corpus_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, n``: how often each of ``terms`` (stored) occurs in ``docs``."""
-    at = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return at.join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+def item_places(item: DataFrame) -> DataFrame:
+    """``item_no, term, place, span, n_places``: every word of every item."""
+    n = F.size("item_words")
+    return item.select("item_no", F.posexplode("item_words").alias("place", "term"), F.least(n, F.col("width")).alias("span"), n.alias("n_places"))
 
 
-def index_terms(items: DataFrame, frequencies: DataFrame, width: int, rarest: int = 2) -> DataFrame:
-    """``term, item_no, place, need``: the rarest places of every window.
+def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``term_no, doc_id, mark, position`` of all occurrences of stored ``vocabulary``.
 
-    ``need`` is how many of an item's places a diagonal with a whole window
-    must meet.
+    ``mark`` is the text's hash, which tells apart rows that share a doc_id.
+    A text's end is a posting of ``END_NO`` at the number of its words.
     """
-    n = F.size("item_words")
-    span = F.least(n, F.lit(width))
-    at = items.select("item_no", span.alias("span"), F.posexplode("item_words").alias("place", "term"), F.least(span, F.lit(rarest)).alias("need"), n.alias("n_words"))
-    at = at.join(frequencies, "term", "left").na.fill({"n": 0})
-    first = F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("span") + 1), F.least(F.col("place"), F.col("n_words") - F.col("span")))
-    ranked = at.select("item_no", "place", "term", "need", "n", F.explode(first).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("item_no", "start").orderBy("n", "place"))
-    return ranked.withColumn("rank", rank).filter(F.col("rank") <= rarest).select("term", "item_no", "place", "need").distinct()
+    cut = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.split(ascii_lower(F.coalesce("text", F.lit(""))), SEPARATORS).alias("cut"))
+    # Only the first and the last part can be empty, where a text begins or ends with separators.
+    first, last = F.element_at("cut", 1) == "", (F.size("cut") > 1) & (F.element_at("cut", -1) == "")
+    cut = cut.select("doc_id", "mark", first.cast("int").alias("first"), last.cast("int").alias("last"), F.concat("cut", F.array(F.lit(END))).alias("cut"))
+    at = cut.select("doc_id", "mark", "first", "last", F.posexplode("cut").alias("part", "term"))
+    position = F.col("part") - F.col("first") - F.when(F.col("term_no") == END_NO, F.col("last")).otherwise(0)
+    return at.join(small(vocabulary), "term").select("term_no", "doc_id", "mark", position.alias("position"))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, doc_id, mark, position`` of all occurrences of stored ``terms``.
+def rarest_places(places: DataFrame, frequency: DataFrame, rarest: int = 2) -> DataFrame:
+    """``term_no, item_no, place, need``: the rarest places of every window.
 
-    ``mark`` is the text's hash, which tells apart rows that share a doc_id.
+    ``need`` is how many of an item's places a diagonal with a whole window
+    must meet.
     """
-    at = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(words(F.col("text"))).alias("position", "term"))
-    return at.join(small(terms), "term").select("term", "doc_id", "mark", "position")
+    at = places.join(frequency, "term_no", "left").na.fill({"n": 0})
+    first = F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("span") + 1), F.least(F.col("place"), F.col("n_places") - F.col("span")))
+    ranked = at.select("item_no", "place", "term_no", F.least("span", F.lit(rarest)).alias("need"), "n", F.explode(first).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("item_no", "start").orderBy("n", "place"))
+    return ranked.withColumn("rank", rank).filter(F.col("rank") <= rarest).select("term_no", "item_no", "place", "need").distinct()
 
 
-def diagonals(found: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame:
+def diagonals(index: DataFrame, chosen: DataFrame, slop: int = 0) -> DataFrame:
     """``doc_id, mark, item_no, shift`` where enough rare terms agree.
 
     With a slop, places may differ by that much: a posting then counts for
     every shift within reach.
     """
     shift = F.col("position") - F.col("place")
-    reach = F.array(shift) if slop == 0 else F.sequence(shift - slop, shift + slop)
-    met = found.join(small(terms), "term").select("doc_id", "mark", "item_no", "place", "need", F.explode(reach).alias("shift"))
+    met = index.join(small(chosen), "term_no").select("doc_id", "mark", "item_no", "place", "need", F.explode(_reach(shift, slop)).alias("shift"))
     if slop:
         met = met.distinct()
-    return met.groupBy("doc_id", "mark", "item_no", "shift").agg(F.count("*").alias("met"), F.max("need").alias("need")).filter("met >= need").select("doc_id", "mark", "item_no", "shift")
-
-
-def _window_starts(doc: Column, item: Column, shift: Column, width: int) -> Column:
-    """Places in the item at which a window occurs in full on this diagonal."""
-    span = F.least(F.size(item), F.lit(width))
-    starts = F.sequence(F.lit(0), F.size(item) - span)
-    return F.filter(starts, lambda s: (shift + s >= 0) & (shift + s + span <= F.size(doc)) & (F.slice(doc, F.greatest(shift + s, F.lit(0)) + 1, span) == F.slice(item, s + 1, span)))
-
-
-def _near_starts(doc: Column, item: Column, shift: Column, width: int, slop: int) -> Column:
-    """Places in the item whose window's terms all lie within slop of the diagonal."""
-    span = F.least(F.size(item), F.lit(width))
-    starts = F.sequence(F.lit(0), F.size(item) - span)
-
-    def near(s: Column) -> Column:
-        low = F.greatest(shift + s - slop, F.lit(0))
-        high = F.least(shift + s + span + slop, F.size(doc))
-        return (high > low) & (F.size(F.array_except(F.slice(item, s + 1, span), F.slice(doc, low + 1, F.greatest(high - low, F.lit(0))))) == 0)
-
-    return F.filter(starts, near)
-
-
-def _covered(spans: Column) -> Column:
-    """Places covered by ``[start, end)`` spans, each counted once."""
-    start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["upto"]))
-        return F.struct(F.greatest(acc["upto"], x["end"]).alias("upto"), (acc["n"] + new).alias("n"))
-
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["n"])
+    line = met.groupBy("doc_id", "mark", "item_no", "shift").agg(F.count("*").alias("met"), F.max("need").alias("need"))
+    return line.filter("met >= need").select("doc_id", "mark", "item_no", "shift")
+
+
+def _reach(at: Column, slop: int) -> Column:
+    return F.array(at) if slop == 0 else F.sequence(at - slop, at + slop)
+
+
+def _same(left: DataFrame, right: DataFrame, *more: str) -> Column:
+    """One document, whose doc_id may be null, and equal columns ``more``."""
+    both = left["doc_id"].eqNullSafe(right["doc_id"])
+    for c in ("mark", *more):
+        both &= left[c] == right[c]
+    return both
+
+
+def _starts(places: Column, span: Column) -> Column:
+    """Where ``span`` consecutive numbers begin in a sorted array of distinct ones."""
+    run = lambda i: F.get(places, i + span - 1) == F.get(places, i) + span - 1
+    first = F.sequence(F.lit(0), F.size(places) - span)
+    return F.when(F.size(places) >= span, F.transform(F.filter(first, run), lambda i: F.get(places, i))).otherwise(F.array().cast("array<int>"))
+
+
+def matches(index: DataFrame, line: DataFrame, places: DataFrame, slop: int = 0) -> DataFrame:
+    """``doc_id, mark, item_no, shift, exact, near``: starts of the windows met on stored lines."""
+    doc = line.select("doc_id", "mark").distinct()
+    doc = small(stored(doc, "lined"))
+    have = index.filter(F.col("term_no") != END_NO)
+    have = have.join(doc, _same(have, doc), "left_semi")
+    want = line.join(small(places), "item_no")
+    want = want.select("doc_id", "mark", "item_no", "shift", "place", "span", "term_no", F.explode(_reach(F.col("shift") + F.col("place"), slop)).alias("position")).filter("position >= 0")
+    met = want.join(have, _same(want, have, "term_no", "position")).select(want["doc_id"], want["mark"], "item_no", "shift", "span", "place", want["position"])
+    on_line = F.when(F.col("position") == F.col("shift") + F.col("place"), F.col("place"))
+    run = met.groupBy("doc_id", "mark", "item_no", "shift").agg(F.first("span").alias("span"), F.array_sort(F.collect_set(on_line)).alias("exact"), F.array_sort(F.collect_set("place")).alias("near"))
+    run = run.select("doc_id", "mark", "item_no", "shift", "span", _starts(F.col("exact"), F.col("span")).alias("exact"), _starts(F.col("near"), F.col("span")).alias("near"))
+    return run.filter(F.size("near") > 0)
+
+
+def _indexed(docs: DataFrame, items: DataFrame, width: int, slop: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored: the index, the items' ids by number, the windows met."""
+    item = stored(item_words(items).withColumn("item_no", F.monotonically_increasing_id()).withColumn("width", F.lit(width)), "items")
+    term = item.select(F.explode("item_words").alias("term")).distinct().withColumn("term_no", F.monotonically_increasing_id())
+    end = docs.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(END_NO).cast("long").alias("term_no"))
+    vocabulary = stored(term.unionByName(end), "vocabulary")
+    index = stored(postings(docs, vocabulary), "postings")
+    frequency = index.groupBy("term_no").agg(F.count("*").alias("n"))
+    places = stored(item_places(item).join(small(vocabulary), "term").drop("term"), "places")
+    chosen = stored(rarest_places(places, frequency), "chosen")
+    line = stored(diagonals(index, chosen, slop), "diagonals")
+    met = stored(matches(index, line, places, slop), "matches")
+    names = stored(item.select("item_no", "item_id"), "names")
+    dropped(item, vocabulary, places, chosen, line)
+    return index, names, met
+
+
+def _listed(met: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """doc_id, mark and the sorted item_ids that the documents' windows belong to."""
+    ids = met.select("doc_id", "mark", "item_no").distinct().join(small(names), "item_no")
+    return ids.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("item_id")).alias(name))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = 0) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, mark.
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, mark, near_items.
 
     A document word inside any occurrence of a window is hit; items are those
     with occurring windows, as strings in sorted order, and their sha256 is of
-    the comma-joined list; ``mark`` is the text's 64-bit hash. With ``slop`` an array ``near_items`` of items with
-    proximity matches is added, which changes no other column.
+    the comma-joined list; ``mark`` is the text's 64-bit hash. ``near_items``
+    are the items with a window each of whose words stands at most ``slop``
+    words off its place on one diagonal, exact ones among them; it changes no
+    other column.
 
     Null and empty texts have no words; items without words or without an id
-    take no part, and an item_id given more than once counts once. Rows that
-    repeat a doc_id are judged by their own texts. No documents or no items
-    give no hits. Other columns are not read.
+    take no part, and an item_id given more than once counts once for each of
+    its texts. Rows that repeat a doc_id are judged by their own texts. No
+    documents give no rows, no items no hits. Other columns are not read.
     """
-    docs = documents(docs)
-    item = item_words(items)
-    item = stored(item.withColumn("item_no", F.xxhash64("item_id", "item_words")), "items")
-    vocabulary = stored(item.select(F.explode("item_words").alias("term")).distinct(), "vocabulary")
-    frequency = stored(corpus_frequencies(docs, vocabulary), "frequencies")
-    chosen = stored(index_terms(item, frequency, width), "chosen")
-    index = stored(postings(docs, stored(chosen.select("term").distinct(), "terms")), "postings")
-    line = diagonals(index, chosen, slop).join(small(item), "item_no")
-    line = line.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "item_words", "shift")).alias("lines"))
-    line = stored(line.select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark"), "lines"), "diagonals")
-    one = docs.join(small(line), docs.doc_id.eqNullSafe(F.col("its_id")) & (F.xxhash64("text") == F.col("its_mark")), "left")
-    bare = F.col("lines").isNull()
-    doc_words = F.when(~bare, words(F.col("text")))
-    n_words = F.when(bare, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(RAW_WORD))).otherwise(F.size("doc_words"))
-    one = one.withColumn("doc_words", doc_words).withColumn("n_words", n_words.cast("long"))
-
-    def spans_of(x: Column) -> Column:
-        span = F.least(F.size(x["item_words"]), F.lit(width))
-        return F.transform(_window_starts(F.col("doc_words"), x["item_words"], x["shift"], width), lambda s: F.struct((x["shift"] + s).alias("start"), (x["shift"] + s + span).alias("end")))
-
-    hit = F.filter(F.transform("lines", lambda x: F.struct(x["item_id"].alias("item_id"), spans_of(x).alias("spans"))), lambda x: F.size(x["spans"]) > 0)
-    one = one.withColumn("hit", F.when(~bare, hit))
+    index, names, met = _indexed(documents(docs), items, width, slop)
+    exact = met.filter(F.size("exact") > 0)
+    covered = F.flatten(F.transform("exact", lambda s: F.sequence(s, s + F.col("span") - 1)))
+    hit = exact.select("doc_id", "mark", F.explode(F.array_distinct(covered)).alias("place"), "shift").select("doc_id", "mark", (F.col("shift") + F.col("place")).alias("position")).distinct()
+    hit = hit.groupBy("doc_id", "mark").agg(F.count("*").alias("n_hit"))
+    near = _listed(met, names, "near_items")
+    of_exact = _listed(exact, names, "items")
+    found = near.join(of_exact, _same(near, of_exact), "left").select(near["doc_id"], near["mark"], "near_items", "items")
+    found = found.join(hit, _same(found, hit), "left").select(found["doc_id"], found["mark"], "near_items", "items", "n_hit")
+    found = small(stored(found, "found"))
+    text = index.filter(F.col("term_no") == END_NO)
     none = F.array().cast("array<string>")
-    found = F.coalesce(F.array_sort(F.array_distinct(F.transform("hit", lambda x: x["item_id"]))), none)
-    n_hit = F.coalesce(_covered(F.flatten(F.transform("hit", lambda x: x["spans"]))), F.lit(0).cast("long"))
-    out = one.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"),
-        F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), (F.size(found) > 0).alias("contaminated"), found.alias("items"), F.xxhash64("text").alias("mark"),
-        *([F.coalesce(F.array_sort(F.array_distinct(F.transform(F.filter("lines", lambda x: F.size(_near_starts(F.col("doc_words"), x["item_words"], x["shift"], width, slop)) > 0), lambda x: x["item_id"]))), none).alias("near_items")] if slop else []),
+    own, close = F.coalesce("items", none), F.coalesce("near_items", none)
+    return text.join(found, _same(text, found), "left").select(
+        text["doc_id"], F.col("position").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(own).cast("long").alias("n_items"),
+        F.sha2(F.array_join(own, ","), 256).alias("items_sha256"), (F.size(own) > 0).alias("contaminated"), own.alias("items"), text["mark"], close.alias("near_items"),
     )
-    return out
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without the rows in which a window of an item occurs."""
-    hit = decontaminate(docs, items, width).filter("contaminated").select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).distinct()
+    index, names, met = _indexed(documents(docs), items, width, 0)
+    hit = stored(met.select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).distinct(), "contaminated")
+    dropped(index, names, met)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("its_mark"))
-    return docs.join(small(stored(hit, "contaminated")), same, "left_anti")
+    return docs.join(small(hit), same, "left_anti")

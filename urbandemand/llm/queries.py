@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
-from .decontamination import decontaminate
+from .decontamination import SLOP, decontaminate
 from .exact_dedup import exact_dedup
 from .katz import score_katz
 from .language import fit_languages, identify_language
@@ -20,8 +21,9 @@ from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+    near = F.size("near_items").cast("long").alias("n_near_items")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", near, F.array_join("near_items", ",").alias("near_items"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +111,18 @@ spans AS (SELECT DISTINCT span FROM win),
 dp AS (SELECT doc_id, s, span, ws[s : s + span - 1] AS w FROM (SELECT doc_id, ws, span, unnest(range(1, len(ws) - span + 2)) AS s FROM dw, spans)),
 h AS (SELECT dp.doc_id, dp.s, dp.span, win.item_id FROM dp JOIN win ON dp.w = win.w),
 n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + span)) AS place FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS q FROM dw),
+freq AS (SELECT term, count(*) AS n FROM tok GROUP BY term),
+wp AS (SELECT item_id, w, span, unnest(w) AS term, unnest(range(span)) AS j FROM win),
+anchor AS (SELECT item_id, w, span, arg_min(wp.term, (coalesce(n, 0), j)) AS term, arg_min(j, (coalesce(n, 0), j)) AS j FROM wp LEFT JOIN freq ON wp.term = freq.term GROUP BY ALL),
+cand AS (SELECT DISTINCT doc_id, item_id, w, span, q - j + e AS d FROM tok JOIN anchor ON tok.term = anchor.term, (VALUES (-1), (0), (1)) AS x (e)),
+nr AS (SELECT DISTINCT cand.doc_id, item_id::VARCHAR AS item_id FROM cand JOIN dw ON cand.doc_id = dw.doc_id
+       WHERE len(list_filter(range(span), lambda j: list_contains(ws[greatest(d + j, 1) : d + j + 2], w[j + 1]))) = span),
+ni AS (SELECT doc_id, count(*) AS n_near_items, string_agg(item_id, ',' ORDER BY item_id) AS near_items FROM nr GROUP BY doc_id)
 SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN i ON dw.doc_id = i.doc_id
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items, coalesce(near_items, '') AS near_items
+FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN i ON dw.doc_id = i.doc_id LEFT JOIN ni ON dw.doc_id = ni.doc_id
 """
 
 _OP2_SQL = r"""
