@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +38,40 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    made = _made.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
+#: Tables stored within the innermost ``scratch``.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Drops at its end the tables stored inside, but those given to the function it yields.
+
+    What is returned from inside may read kept tables only.
+    """
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._stored_path)
+        return df
+
+    token = _made.set(made)
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        dropped(*(df for df in made if df._stored_path not in kept))
+    outer = _made.get()
+    if outer is not None:
+        outer += [df for df in made if df._stored_path in kept]
+
+
 def _path(df: DataFrame):
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
