@@ -2,24 +2,35 @@
 
 Three base formats are found by pattern. Every other token of 20 or more
 characters of the secret alphabet, with "=" as trailing padding only, is put to
-a battery of tests for the encoding that its characters suggest: chi-squared uniformity over that alphabet, a runs test and a serial
-correlation test, joined by Fisher's method. A secret passes as random; words
-do not. How random a token must be is settled for each length from the corpus:
-all letters of every document, strung together to tokens of that length back
-to back, give the share of text that looks as random, and the bar is put where the
-expected share of such tokens among those reported stays below ``rate``.
+a battery of tests for the encoding that its characters suggest:
+
+- chi-squared uniformity, over classes of signs whose shares are known (cases,
+  digits, vowels, common consonants), as a short token has less than one draw a
+  sign, and over pairs of equal signs;
+- a runs test of these classes;
+- serial correlation of neighbours, and equal signs at every lag up to ``LAGS``.
+
+Fisher's method joins the three. A secret passes as random; words do not. How
+random a token must be is settled for each length from the corpus: all letters
+of every document, strung together to tokens of that length back to back, give
+the share of text that looks as random, and the bar is put where the expected
+share of such tokens among those reported stays below ``rate``.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import documents, map_texts, stored
 from .spans import Span, apart, digest, joined
@@ -41,65 +52,182 @@ LEVELS = 64
 RATE = 0.05
 #: Letters of reference tokens that are put to the battery at once.
 CHUNK = 1 << 17
-ALPHABETS = (
-    ("digits", "0123456789"),
-    ("hex", "0123456789abcdef"),
-    ("HEX", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("lower36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("upper36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
+#: Lags at which equal signs are counted, up to half a token.
+LAGS = 32
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_VOWELS, _COMMON = "aeiouAEIOU", "tnshrdlTNSHRDL"
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """An alphabet, its size, and the classes of its signs by name.
+
+    ``kinds`` are the classes of the chi-squared test, ``turns`` of the runs test.
+    """
+
+    signs: str
+    size: int
+    kinds: Callable[[str], str]
+    turns: Callable[[str], str]
+
+    def table(self, of: Callable[[str], str]) -> tuple[np.ndarray, np.ndarray]:
+        """By byte: number of its class; and each class's share of the alphabet."""
+        names = sorted({of(c) for c in self.signs})
+        number = np.zeros(256, np.uint8)
+        share = np.zeros(len(names))
+        for c in self.signs:
+            number[ord(c)] = names.index(of(c))
+            share[names.index(of(c))] += 1
+        return number, share / share.sum()
+
+
+def _letter(c: str) -> str:
+    return "vowel" if c in _VOWELS else "common" if c in _COMMON else "rare" if c.isalpha() else "digit"
+
+
+def _written(c: str) -> str:
+    return ("upper" if c.isupper() else "common" if c in _VOWELS + _COMMON else "rare") if c.isalpha() else "digit"
+
+
+def _case(c: str) -> str:
+    return ("upper" if c.isupper() else "lower") if c.isalpha() else "digit"
+
+
+def _vowel(c: str) -> str:
+    return "digit" if not c.isalpha() else "vowel" if c in _VOWELS else "other"
+
+
+#: Encodings from the narrowest; a token is taken to be of the first that holds it.
+ENCODINGS = (
+    Encoding(_DIGITS, 10, lambda c: str(int(c) // 2), lambda c: "high" if c >= "5" else "low"),
+    Encoding(_DIGITS + "abcdef", 16, lambda c: str(int(c, 16) // 4), lambda c: "letter" if c.isalpha() else "digit"),
+    Encoding(_DIGITS + "ABCDEF", 16, lambda c: str(int(c, 16) // 4), lambda c: "letter" if c.isalpha() else "digit"),
+    Encoding(_LOWER, 26, _letter, _vowel),
+    Encoding(_UPPER, 26, _letter, _vowel),
+    Encoding(_UPPER + "234567", 32, _letter, _vowel),
+    Encoding(_DIGITS + _LOWER, 36, _letter, _vowel),
+    Encoding(_DIGITS + _UPPER, 36, _letter, _vowel),
+    Encoding(_LOWER + _UPPER, 52, _written, _case),
+    Encoding(_LOWER + _UPPER + _DIGITS + "+/-_", 64, _written, _case),
 )
-_CODES = [(name, {c: i for i, c in enumerate(a)}, 64 if name == "base64" else len(a)) for name, a in ALPHABETS]
+_IN = np.array([sum((chr(c) in e.signs) << k for k, e in enumerate(ENCODINGS)) for c in range(256)], dtype=np.uint16)
+_PLACE = [np.array([max(0, e.signs.find(chr(c))) for c in range(256)], dtype=np.uint8) for e in ENCODINGS]
+_KIND = [e.table(e.kinds) for e in ENCODINGS]
+_TURN = [e.table(e.turns)[0] for e in ENCODINGS]
+_LEAST_LOG = math.log(1e-300)
+
+#: Log P(|N(0,1)| >= z) by z * STEPS.
+STEPS = 256
+_NORMAL = np.log(np.maximum([math.erfc(z / STEPS / math.sqrt(2)) for z in range(37 * STEPS)], 1e-300))
+
 
+def _two_sided(z: np.ndarray) -> np.ndarray:
+    return _NORMAL[np.minimum(np.abs(z) * STEPS, len(_NORMAL) - 1).astype(np.int64)]
 
-def _tail(z: float) -> float:
-    """P(|N(0,1)| >= |z|)."""
-    return math.erfc(abs(z) / math.sqrt(2))
+
+def _chi_log(x: np.ndarray, free: int) -> np.ndarray:
+    """Log of the chi-squared tail with 1 to 4 degrees of freedom."""
+    half = np.minimum(x / 2, 650.0)
+    if free == 1:
+        return _two_sided(np.sqrt(x))
+    if free == 2:
+        return -half
+    if free == 3:
+        return np.log(np.exp(_two_sided(np.sqrt(x))) + np.sqrt(4 * half / math.pi) * np.exp(-half))
+    return -half + np.log1p(half)
+
+
+@cache
+def _poisson_logs(mean: float) -> np.ndarray:
+    """Log P(N >= k) for k from 0 far into the tail of a Poisson distribution."""
+    last = int(mean + 40 * math.sqrt(mean) + 40)
+    each = np.array([k * math.log(mean) - mean - math.lgamma(k + 1) for k in range(last + 1)])
+    return np.maximum(np.logaddexp.accumulate(each[::-1])[::-1], _LEAST_LOG)
+
+
+def _at_least(k: np.ndarray, mean: float) -> np.ndarray:
+    """Log P(N >= k); of large means by the normal distribution, which needs no table."""
+    if mean > 1000:
+        return np.where(k > mean, _two_sided((k - mean) / math.sqrt(mean)) - math.log(2), 0.0)
+    logs = _poisson_logs(mean)
+    return np.minimum(0.0, logs[np.minimum(k, len(logs) - 1)])
+
+
+def _either(*logs: np.ndarray) -> np.ndarray:
+    """Log p of the least of several tests, for their number."""
+    return np.minimum(0.0, np.minimum.reduce(logs) + math.log(len(logs)))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of true values down the columns."""
+    return x.view(np.uint8).sum(axis=0, dtype=np.int64 if len(x) > 65_000 else np.uint16).astype(np.int64)
+
+
+def _battery_logs(tokens: np.ndarray, k: int) -> np.ndarray:
+    """Log of the joint p of tokens of encoding ``k``, the columns of a byte matrix."""
+    n, m = tokens.shape
+    size = ENCODINGS[k].size
+    kinds, shares = _KIND[k]
+    kind = kinds[tokens]
+    chi = sum((_sums(kind == c) - n * share) ** 2 / (n * share) for c, share in enumerate(shares))
+    x = _PLACE[k][tokens]
+    wide = len(ENCODINGS[k].signs)
+    counts = np.bincount((x + np.arange(m, dtype=np.int64) * wide).ravel(), minlength=m * wide).reshape(m, wide)
+    pairs = np.einsum("ij,ij->i", counts, counts) - n >> 1
+    uneven = _either(_chi_log(chi, len(shares) - 1), _at_least(pairs, n * (n - 1) / 2 / size))
+    # Changes of class, against their mean and variance when the signs are put in any order.
+    turn = _TURN[k][tokens]
+    of = np.stack([_sums(turn == c) for c in range(int(_TURN[k].max()) + 1)]).astype(float)
+    square, cube = (of**2).sum(axis=0), (of**3).sum(axis=0)
+    mean = (n * n - square) / n
+    var = (square * (square + n * (n + 1.0)) - 2.0 * n * cube - float(n) ** 3) / (float(n) * n * (n - 1))
+    changes = _sums(turn[1:] != turn[:-1])
+    several = mean > 1e-9
+    z = np.divide(np.maximum(np.abs(changes - mean) - 0.5, 0.0), np.sqrt(np.maximum(var, 1e-9)), out=np.zeros(m), where=several)
+    runs = np.where(several, _two_sided(z), 0.0)  # one class only: the chi-squared test has said so
+    f = x.astype(np.float32 if n <= 4096 else np.float64)  # whole numbers below 2 ** 24, so sums are exact
+    total, both, serial = (v.astype(np.float64) for v in (f.sum(axis=0), (f * f).sum(axis=0), (f[1:] * f[:-1]).sum(axis=0)))
+    spread = n * both - total * total
+    cov = n * serial - total * (2 * total - f[0] - f[-1]) + (n - 1) / n * total * total
+    z = np.divide(cov, spread, out=np.full(m, math.inf), where=spread > 0) * math.sqrt(n)
+    lags = range(1, min(LAGS, n // 2) + 1)
+    again = [_at_least(_sums(x[lag:] == x[:-lag]), (n - lag) / size) for lag in lags]
+    beside = _either(_two_sided(z), _either(*again))
+    logs = np.maximum(uneven + runs + beside, -690.0)
+    return logs + np.log(1 - logs + logs * logs / 2)  # Fisher: chi-squared with six degrees of freedom
+
+
+def joint_logs(tokens: np.ndarray) -> np.ndarray:
+    """Log p of "uniformly random in its encoding" of the tokens in the rows of a byte matrix."""
+    fits = np.bitwise_and.reduce(_IN[tokens], axis=1)
+    out = np.full(len(tokens), _LEAST_LOG)
+    if tokens.shape[1] < 8:
+        return out
+    first = fits & -fits.astype(np.int32)  # the lowest bit: the narrowest encoding that fits
+    for k in range(len(ENCODINGS)):
+        at = np.flatnonzero(first == 1 << k)
+        if len(at):
+            out[at] = _battery_logs(np.ascontiguousarray(tokens[at].T), k)
+    return out
 
 
 def battery(token: str) -> float:
     """Joint p-value of a token under "uniformly random in its encoding"."""
-    body = token.rstrip("=")
-    for _, codes, size in _CODES:
-        if all(c in codes for c in body):
-            break
-    else:
-        return 0.0
-    x = [codes[c] for c in body]
-    n = len(x)
-    if n < 8:
-        return 0.0
-    # Pearson's statistic, with the mean and variance it has for n draws.
-    counts: dict[int, int] = {}
-    for v in x:
-        counts[v] = counts.get(v, 0) + 1
-    chi = sum(v * v for v in counts.values()) * size / n - n
-    spread = math.sqrt(2 * (size - 1) * (n - 1) / n)
-    p_chi = 0.5 * math.erfc((chi - (size - 1)) / spread / math.sqrt(2))
-    middle = size / 2
-    high = [v >= middle for v in x]
-    n1 = sum(high)
-    n0 = n - n1
-    if n0 and n1:
-        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
-        mean = 1 + 2 * n0 * n1 / n
-        var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
-        p_runs = _tail((runs - mean) / math.sqrt(var))
-    else:
-        p_runs = 2.0 ** (1 - n)
-    m = sum(x) / n
-    var = sum((v - m) ** 2 for v in x)
-    p_serial = _tail(sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / var * math.sqrt(n)) if var else 0.0
-    fisher = -2 * sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
-    half = fisher / 2  # chi-squared with six degrees of freedom
-    return math.exp(-half) * (1 + half + half * half / 2)
+    body = token.rstrip("=").encode("ascii", "replace")
+    return float(np.exp(min(0.0, joint_logs(np.frombuffer(body, np.uint8).reshape(1, -1))[0]))) if body else 0.0
 
 
 def level(p: float) -> int:
+    """Class of a joint p-value: -2 log2 p, at most the last."""
     return min(LEVELS - 1, int(-2 * math.log2(max(p, 1e-30))))
 
 
+def levels(tokens: np.ndarray) -> np.ndarray:
+    """``level(battery(token))`` of the tokens in the rows of a byte matrix."""
+    p = np.exp(np.minimum(joint_logs(tokens), 0.0))
+    return np.minimum(LEVELS - 1, (-2 * np.log2(np.maximum(p, 1e-30))).astype(int))
+
+
 def length_class(n: int) -> int:
     return max(0, sum(n >= x for x in LENGTHS) - 1)
 
@@ -116,63 +244,35 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def tokens_of(text: str) -> list[tuple[int, int]]:
+    """Where tokens of the least length or more are."""
+    return [m.span() for m in TOKEN.finditer(text) if m.end() - m.start() >= LENGTHS[0]]
+
+
+def judged(tokens: list[str]) -> list[int]:
+    """The level of each token; those of one length are put to the battery together."""
+    bodies = [t.rstrip("=").encode() for t in tokens]
+    by_length: dict[int, list[int]] = {}
+    for i, b in enumerate(bodies):
+        by_length.setdefault(len(b), []).append(i)
+    out = [LEVELS - 1] * len(tokens)
+    for n, of in by_length.items():
+        step = max(1, CHUNK // max(1, n))
+        for at in range(0, len(of), step):
+            part = of[at : at + step]
+            rows = np.frombuffer(b"".join(bodies[i] for i in part), np.uint8).reshape(len(part), n)
+            for i, v in zip(part, levels(rows).tolist()):
+                out[i] = v
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
     """Tokens of the least length or more: start, end, length class, level."""
-    return [(m.start(), m.end(), length_class(len(m[0])), level(battery(m[0]))) for m in TOKEN.finditer(text) if len(m[0]) >= LENGTHS[0]]
+    at = tokens_of(text)
+    return [(s, e, length_class(e - s), v) for (s, e), v in zip(at, judged([text[s:e] for s, e in at]))]
 
 
 _NOT_LETTERS = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122))
-#: By byte: the alphabets it is in, as bits, and its place in each.
-_IN = np.array([sum((chr(c) in codes) << k for k, (_, codes, _) in enumerate(_CODES)) for c in range(256)], dtype=np.uint8)
-_PLACE = [np.array([codes.get(chr(c), 0) for c in range(256)], dtype=np.uint8) for _, codes, _ in _CODES]
-
-
-def _log(p: float) -> float:
-    return math.log(max(p, 1e-300))
-
-
-@cache
-def _chi_logs(n: int, size: int) -> np.ndarray:
-    """Log p of the chi-squared test by the sum of squared counts."""
-    spread = math.sqrt(2 * (size - 1) * (n - 1) / n)
-    return np.array([_log(0.5 * math.erfc((q * size / n - n - (size - 1)) / spread / math.sqrt(2))) for q in range(n * n + 1)])
-
-
-@cache
-def _runs_logs(n: int) -> np.ndarray:
-    """Log p of the runs test by the number of high places and of changes."""
-    out = np.full((n + 1, n), _log(2.0 ** (1 - n)))
-    for n1 in range(1, n):
-        mean = 1 + 2 * (n - n1) * n1 / n
-        var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
-        out[n1] = [_log(_tail((1 + changes - mean) / math.sqrt(var))) for changes in range(n)]
-    return out
-
-
-def levels(tokens: np.ndarray) -> np.ndarray:
-    """``level(battery(token))`` of the tokens in the rows of a byte matrix, 8 or more bytes each."""
-    n = tokens.shape[1]
-    fits = np.bitwise_and.reduce(_IN[tokens], axis=1)
-    out = np.full(len(tokens), LEVELS - 1)
-    for k, (_, codes, size) in enumerate(_CODES):
-        at = np.flatnonzero(fits & -fits.astype(np.int16) == 1 << k)  # the lowest bit: the first alphabet that fits
-        if not len(at):
-            continue
-        x = np.ascontiguousarray(_PLACE[k][tokens[at]].T)
-        m = len(at)
-        counts = np.bincount((x + np.arange(m, dtype=np.int32) * len(codes)).ravel(), minlength=m * len(codes)).reshape(m, -1)
-        logs = _chi_logs(n, size)[np.einsum("ij,ij->i", counts, counts)]
-        high = x >= size / 2
-        logs += _runs_logs(n)[high.sum(axis=0), (high[1:] != high[:-1]).sum(axis=0)]
-        f = x.astype(np.float32)  # whole numbers below 2 ** 24, so sums are exact
-        total, square, serial = (v.astype(np.float64) for v in (f.sum(axis=0), (f * f).sum(axis=0), (f[1:] * f[:-1]).sum(axis=0)))
-        var = n * square - total * total
-        cov = n * serial - total * (2 * total - f[0] - f[-1]) + (n - 1) / n * total * total
-        z = np.abs(np.divide(cov, var, out=np.full(m, np.inf), where=var > 0)) * math.sqrt(n / 2)
-        logs += np.log(np.maximum(np.fromiter(map(math.erfc, z.tolist()), float, m), 1e-300))
-        p = np.exp(logs) * (1 - logs + logs * logs / 2)
-        out[at] = np.minimum(LEVELS - 1, (-2 * np.log2(np.maximum(p, 1e-30))).astype(int))
-    return out
 
 
 def references(texts: list[str]) -> dict[int, int]:
@@ -229,11 +329,13 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
     def scan(texts: list[str | None]) -> dict[str, list]:
         out: dict[str, list] = {"base": [], "token": [], "reference": []}
-        for t in texts:
-            t = t or ""
+        texts = [t or "" for t in texts]
+        at = [tokens_of(t) for t in texts]
+        found = iter(judged([t[s:e] for t, of in zip(texts, at) for s, e in of]))
+        for t, of in zip(texts, at):
             out["base"].append([{"start": s, "stop": e, "kind": k} for s, e, k in base_spans(t)])
-            out["token"].append([dict(zip(("start", "stop", "length_class", "level"), c)) for c in candidates(t)])
-        null = [{"at": at, "n": n} for at, n in references([t or "" for t in texts]).items()]
+            out["token"].append([{"start": s, "stop": e, "length_class": length_class(e - s), "level": next(found)} for s, e in of])
+        null = [{"at": at, "n": n} for at, n in references(texts).items()]
         out["reference"] = [null if k == 0 else [] for k in range(len(texts))]  # of the slice, at its first row
         return out
 
@@ -252,11 +354,14 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
         n = [sum(k == kind for _, _, k in own) for kind in ("assign", "access", "hex")]
         return *n, digest(joined(own, KINDS)), joined(own + more, KINDS), len(more)
 
-    schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
+    target = to_arrow_schema(StructType.fromDDL(schema))
     empty = spans_of([], [])
 
-    def finish(base: list, token: list) -> tuple:
-        return spans_of(base, token) if base or token else empty
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [spans_of(base, token) if base or token else empty for base, token in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            columns = list(zip(*rows)) if rows else [()] * len(empty)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t.type) for c, t in zip(columns, list(target)[1:]))], schema=target)
 
-    done = F.udf(finish, f"struct<{schema.replace(' ', ':').replace(',:', ',')}>", useArrow=True)
-    return found.select("doc_id", done("base", "token").alias("s")).select("doc_id", "s.*")
+    return found.select("doc_id", "base", "token").mapInArrow(finish, schema)
