@@ -1,11 +1,10 @@
 """Quality classifier by compression against labelled dictionaries.
 
 Two zstandard dictionaries are built, one from good and one from bad labelled
-text. A text is compressed in blocks with each; the difference of the two
-sizes, divided by the text's own size, says which of them it resembles. A
-logistic curve fitted on other labelled rows turns that into a probability;
-it also takes the smaller of the two sizes, as text that shrinks to next to
-nothing with either dictionary repeats itself, whatever it resembles.
+text. A text is compressed in short blocks with each; the difference of the two
+sizes, divided by the text's own size, says which of them it resembles. A rising
+curve, fitted on other labelled rows, turns it into a probability; how much the
+text says against the labels' base rate grows with its size.
 """
 
 from __future__ import annotations
@@ -22,12 +21,11 @@ from pyspark.sql import functions as F
 from .common import documents, id_crc, map_texts
 from .sampling import sample_labelled
 
-DICTIONARY_BYTES = 110 << 10
+DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
-BLOCK_BYTES = 2048
-#: Bytes added to a text's size, so that very short texts stay near the middle,
-#: and what they are taken to shrink to.
-PRIOR_BYTES, PRIOR_RATIO = 48, 0.45
+BLOCK_BYTES = 512
+#: Size of a text that counts as much as the labels' base rate.
+PRIOR_BYTES = 48
 THRESHOLD = 0.3
 #: Labelled documents read on the driver: for each dictionary, and for the curve.
 PER_DICTIONARY, FOR_CURVE = 600, 3000
@@ -43,13 +41,13 @@ def _dictionary(texts: list[str]) -> bytes:
 
 @dataclass
 class CompressionClassifier:
-    """Fitted dictionaries with the curve's weights."""
+    """Fitted dictionaries, the curve's points and the base rate."""
 
     good: bytes
     bad: bytes
-    slope: float = 40.0
-    by_ratio: float = 0.0
-    offset: float = 0.0
+    at: tuple[float, ...] = (-0.05, 0.05)
+    rate: tuple[float, ...] = (0.05, 0.95)
+    base: float = 0.5
 
     def __post_init__(self) -> None:
         self._made = None
@@ -69,75 +67,73 @@ class CompressionClassifier:
                 self._made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         return self._made
 
-    def sizes(self, text: str) -> tuple[float, float]:
-        """By the text's size: compressed size with the bad less with the good dictionary, and the smaller one."""
+    def difference(self, text: str) -> float:
+        """Compressed size with the bad less that with the good dictionary, by the text's size."""
         raw = text.encode()
         good, bad = self._compressors()
-        of_good = of_bad = 0
+        more = 0
         for at in range(0, len(raw), BLOCK_BYTES):
             block = raw[at : at + BLOCK_BYTES]
-            of_good += len(good.compress(block))
-            of_bad += len(bad.compress(block))
-        size = len(raw) + PRIOR_BYTES
-        return (of_bad - of_good) / size, (min(of_good, of_bad) + PRIOR_BYTES * PRIOR_RATIO) / size - PRIOR_RATIO
+            more += len(bad.compress(block)) - len(good.compress(block))
+        return more / max(1, len(raw))
 
     def score(self, text: str | None) -> float:
-        difference, ratio = self.sizes(text or "")
-        z = self.slope * difference + self.by_ratio * ratio + self.offset
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
-
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Weights of both sizes and offset of a logistic curve, by Newton steps with a weak prior."""
-    scale = np.array([20.0, 5.0, 1.0])
-    a = np.column_stack([x, np.ones(len(x))]) * scale
-    w, pull = np.zeros(3), np.diag([1e-2, 1e-2, 1e-3])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull, a.T @ (y - p) - pull @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    w = w * scale
-    return float(max(w[0], 1e-6)), float(w[1]), float(w[2])
+        text = text or ""
+        size = len(text.encode())
+        rate = float(np.interp(self.difference(text), self.at, self.rate))
+        return min(1.0, (size * rate + PRIOR_BYTES * self.base) / (size + PRIOR_BYTES))
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """The rising step function nearest to y, by pooling neighbours that fall, through its steps' middles.
+
+    Each step counts one more row of the base rate, so that none is quite sure.
+    """
+    order = np.argsort(x, kind="stable")
+    steps: list[list[float]] = []  # rows, sum of y, sum of x
+    at = 0
+    while at < len(order):  # equal differences belong to one step
+        same = order[at : at + np.searchsorted(x[order[at:]], x[order[at]], "right")]
+        steps.append([len(same), y[same].sum(), x[same].sum()])
+        at += len(same)
+        while len(steps) > 1 and steps[-2][1] / steps[-2][0] >= steps[-1][1] / steps[-1][0]:
+            last = steps.pop()
+            steps[-1] = [a + b for a, b in zip(steps[-1], last)]
+    base = y.mean()
+    rate = np.maximum.accumulate([(good + base) / (n + 1) for n, good, _ in steps])
+    return tuple(total / n for n, _, total in steps), tuple(float(r) for r in rate)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, seed: int = 6, per_dictionary: int = PER_DICTIONARY, for_curve: int = FOR_CURVE) -> CompressionClassifier:
-    """Fit on at most 2 * per_dictionary + for_curve labelled documents.
+    """Fit on at most 2 * per_dictionary + for_curve labelled documents, read whole.
 
-    Only labels of documents whose crc32(doc_id) mod 5 is not 0 are read; a
-    null label is none. With a class missing every text scores the same.
+    Only labels of documents whose crc32(doc_id) mod 5 is not 0 are read: 1
+    and 2 make the dictionaries, 3 and 4 the curve. A null label is none. With
+    a class missing every text scores by the difference alone.
     """
-    usable = labels.filter(id_crc(F.col("doc_id")) % 5 != 0)
-    labelled = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("string").alias("label")).filter(F.col("label").isin("0", "1"))
+    rest = id_crc(F.col("doc_id")) % 5
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("string").alias("label"), rest.alias("rest")).filter(F.col("label").isin("0", "1"))
     docs = documents(docs)
-    for_dict = sample_labelled(docs, labelled, per_dictionary, 2 * per_dictionary, seed)
-    good = [p for _, q, ps in for_dict if q == "1" for p in ps]
-    bad = [p for _, q, ps in for_dict if q == "0" for p in ps]
+    for_dict = sample_labelled(docs, labelled.filter("rest in (1, 2)"), per_dictionary, 2 * per_dictionary, seed)
+    good = [t for _, q, t in for_dict if q == "1"]
+    bad = [t for _, q, t in for_dict if q == "0"]
     model = CompressionClassifier(_dictionary(good), _dictionary(bad))
-    taken = {i for i, _, _ in for_dict}
-    # The curve needs the classes as they are mixed in the labels.
-    drawn = labelled.withColumn("quality", F.col("label")).withColumn("label", F.lit("any")).select("doc_id", "label", "quality")
-    quality = {}
-    picked = drawn.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").limit(for_curve).collect()
-    for r in picked:
-        quality.setdefault(r["doc_id"], r["quality"])
-    curve = sample_labelled(docs, docs.sparkSession.createDataFrame([(k, "any") for k in quality], "doc_id long, label string"), for_curve, for_curve, seed) if quality else []
-    fresh = [(i, "".join(ps)) for i, _, ps in curve if i not in taken]
-    few = min(sum(quality[i] == q for i, _ in fresh) for q in ("0", "1")) < 20
-    rows = [(i, "".join(ps)) for i, _, ps in curve] if few else fresh
-    if len({quality[i] for i, _ in rows}) == 2:
-        x = np.array([model.sizes(t) for _, t in rows])
-        y = np.array([float(quality[i]) for i, _ in rows])
-        model.slope, model.by_ratio, model.offset = _curve(x, y)
+    # The curve needs the classes as they are mixed in the labels: all are one class to the sample.
+    drawn = labelled.filter("rest in (3, 4)").select("doc_id", F.lit("any").alias("label"), F.col("label").alias("quality"))
+    curve = sample_labelled(docs, drawn, for_curve, for_curve, seed)
+    ids = docs.sparkSession.createDataFrame([(i,) for i, _, _ in curve], "doc_id long")
+    quality = {r["doc_id"]: float(r["quality"]) for r in drawn.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality")).collect()}
+    if len(set(quality.values())) == 2:
+        y = np.array([quality[i] for i, _, _ in curve])
+        model.base = float(y.mean())
+        model.at, model.rate = _curve(np.array([model.difference(t) for _, _, t in curve]), y)
     return model
 
 
 def score_quality(docs: DataFrame, model: CompressionClassifier, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold``).
 
-    Null and empty texts have no difference and score where the curve crosses
-    it; whole texts are compressed, however long. Rows that repeat are scored
+    Null and empty texts score the labels' base rate; whole texts are compressed, however long. Rows that repeat are scored
     each. Other columns are not read; an empty table gives an empty one.
     """
     rows = documents(docs).select("doc_id", (id_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "text")
