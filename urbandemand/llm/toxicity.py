@@ -6,9 +6,10 @@ boundary between grades has its own threshold, and
 severity put out is the expected grade.
 
 Features are the words of a text and the beginnings of words, and one for its
-length: what stands out in a short text can be chance in a long one. The labels say
-only toxic or not: among toxic training texts, the grade is how much the text
-uses the words that tell toxic texts from others, in equal shares.
+length: what stands out in a short text can be chance in a long one. The labels
+say only toxic or not. The training texts are halved, and the grade of a toxic
+one is how much it uses words that tell toxic texts from others in the other
+half, in equal shares; so no text's grade is made of what it teaches itself.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import documents, id_crc, map_texts
 from .sampling import sample_labelled
 
 GRADES = 3
@@ -33,8 +34,6 @@ PER_LABEL = 3000
 MAX_FEATURES, MIN_DOCS = 6000, 3
 #: Share of flagged training texts that must be toxic, as the labels are mixed.
 PRECISION = 0.98
-#: Words that are judged together; the worst part of a longer text counts.
-PART_WORDS = 700
 #: The feature that counts all words; no word has its name.
 LENGTH = " length"
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -76,15 +75,9 @@ class OrdinalModel:
         return out
 
     def at_least(self, text: str) -> np.ndarray:
-        """P(grade >= k) for k = 1 to K, of the text's worst part."""
-        words = tokens(text)
-        n_parts = max(1, -(-len(words) // PART_WORDS))
-        size = -(-len(words) // n_parts)
-        worst = max(self._linear(words[i * size : (i + 1) * size]) for i in range(n_parts))
-        return _sigmoid(worst - np.array(self.thresholds))
-
-    def _linear(self, words: list[str]) -> float:
-        return sum(self.weights.get(f, 0.0) * math.log1p(n) for f, n in self.present(words).items())
+        """P(grade >= k) for k = 1 to K, of the whole text."""
+        x = sum(self.weights.get(f, 0.0) * math.log1p(n) for f, n in self.present(tokens(text)).items())
+        return _sigmoid(x - np.array(self.thresholds))
 
 
 def _unlike(samples: list[tuple[bool, list[str]]]) -> list[tuple[bool, list[str]]]:
@@ -124,19 +117,35 @@ def _select(texts: list[tuple[bool, list[str]]]) -> list[str]:
     return [f for _, f in sorted(scored)[:MAX_FEATURES]]
 
 
+def _grades(split: list[tuple[bool, list[str]]], grades: int) -> np.ndarray:
+    """0 for texts that aren't toxic; 1 to ``grades`` by their use of the other half's toxic words."""
+    toxic = np.array([t for t, _ in split])
+    half = np.cumsum(toxic) % 2  # so that both halves have toxic texts, if there are two
+    amount = np.zeros(len(split))
+    for own in (0, 1):
+        other = [x for x, h in zip(split, half) if h != own]
+        if any(t for t, _ in other) and not all(t for t, _ in other):
+            judge = OrdinalModel({f: 1.0 for f in _select(other)})
+            for i in np.flatnonzero((half == own) & toxic):
+                amount[i] = sum(math.log1p(c) for f, c in judge.present(split[i][1]).items() if f != LENGTH)
+    bars = np.quantile(amount[toxic], np.linspace(0, 1, grades + 1)[1:-1])
+    return np.where(toxic, 1 + np.searchsorted(bars, amount, "right"), 0)
+
+
 def fit_ordinal(samples: list[tuple[bool, str]], grades: int = GRADES, steps: int = 600, seed: int = 10) -> OrdinalModel:
-    """Weights and thresholds by Adam on the cumulative-link likelihood."""
+    """Weights and thresholds by Adam on the cumulative-link likelihood.
+
+    With texts of one sort only there is nothing to tell: no feature has a
+    weight, and all texts have the same, low, severity.
+    """
     split = _unlike([(toxic, tokens(text)) for toxic, text in samples])
     if not any(t for t, _ in split) or all(t for t, _ in split):
         return OrdinalModel(thresholds=[8.0] * grades)
+    y = _grades(split, grades)
     kept = [LENGTH, *_select(split)]
     model = OrdinalModel({f: 1.0 for f in kept})
     place = {f: i for i, f in enumerate(kept)}
     sparse = [model.present(words) for _, words in split]
-    amount = np.array([sum(math.log1p(c) for f, c in x.items() if f != LENGTH) for x in sparse])
-    toxic = np.array([t for t, _ in split])
-    bars = np.quantile(amount[toxic], np.linspace(0, 1, grades + 1)[1:-1])
-    y = np.where(toxic, 1 + np.searchsorted(bars, amount, "right"), 0)
     rows = np.concatenate([np.full(len(x), i) for i, x in enumerate(sparse)] or [np.zeros(0)]).astype(int)
     cols = np.array([place[f] for x in sparse for f in x], dtype=int)
     vals = np.array([math.log1p(c) for x in sparse for c in x.values()])
@@ -166,25 +175,33 @@ def fit_ordinal(samples: list[tuple[bool, str]], grades: int = GRADES, steps: in
         g = np.concatenate([gw, [gcut.sum()], ggap])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params + 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        params[1 : len(kept)] = np.maximum(params[1 : len(kept)], 0)  # a selected word never speaks for a text
     w, first, gaps = params[: len(kept)], params[len(kept)], params[len(kept) + 1 :]
     cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
     return OrdinalModel({f: float(a) for f, a in zip(kept, w, strict=True) if abs(a) > 1e-4}, [float(c) for c in cuts])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: int = 10) -> OrdinalModel:
-    """Fit on at most ``per_label`` documents of each label; null labels are none."""
-    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("string").alias("label")).filter(F.col("label").isin("0", "1"))
+    """Fit on at most ``per_label`` whole documents of each label; null labels are none.
+
+    Documents whose crc32(doc_id) mod 5 is 0 teach nothing; those where it is 1
+    set the flag's bar, the others the weights. Labels of one value only leave
+    a model without weights.
+    """
+    rest = id_crc(F.col("doc_id")) % 5
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("string").alias("label")).filter(F.col("label").isin("0", "1") & (rest != 0))
     sample = sample_labelled(documents(docs), labelled, per_label, 2 * per_label, seed)
-    model = fit_ordinal([(label == "1", " ".join(parts)) for _, label, parts in sample])
+    bars = {i for i, _, _ in sample if zlib.crc32(str(i).encode()) % 5 == 1}
+    teach = [(label == "1", text) for i, label, text in sample if i not in bars]
+    model = fit_ordinal(teach)
     # The sample has the labels in other shares than the table.
     n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     drawn = Counter(label for _, label, _ in sample)
-    if len(drawn) == 2:
-        shift = math.log(n["0"] / n["1"]) - math.log(drawn["0"] / drawn["1"])
+    taught = Counter(toxic for toxic, _ in teach)
+    if len(taught) == 2 and len(drawn) == 2:
+        shift = math.log(n["0"] / n["1"]) - math.log(taught[False] / taught[True])
         model.thresholds = [t + shift for t in model.thresholds]
-        p = np.array([model.at_least(" ".join(parts))[0] for _, _, parts in sample])
-        toxic = np.array([label == "1" for _, label, _ in sample])
+        judged = [(label == "1", model.at_least(text)[0]) for i, label, text in sample if i in bars]
+        toxic, p = np.array([t for t, _ in judged], bool), np.array([q for _, q in judged])
         weight = np.where(toxic, n["1"] / drawn["1"], n["0"] / drawn["0"])
         right = lambda t: (weight * toxic)[p >= t].sum() / weight[p >= t].sum()
         model.flag = next((float(t) for t in np.unique(p[toxic]) if right(t) >= PRECISION), 0.5)
@@ -192,12 +209,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, flag: float | None = None) -> DataFrame:
-    """Per row: doc_id, severity, grade, p_toxic, toxic.
+    """Per row: doc_id, held_out, severity, grade, p_toxic, toxic.
 
     ``severity`` is the expected grade, 0 to K; ``grade`` the likeliest;
     ``toxic`` says P(grade >= 1) reaches ``flag``, by default the lowest bar
-    that keeps the training texts' precision. Null and empty texts have
-    no features. Whole texts are read; rows that repeat are scored each; an
+    that keeps the precision on texts kept for it. ``held_out`` says that
+    crc32(doc_id) mod 5 is 0. Of equally likely grades the lowest is taken.
+    Null and empty texts have no features. Whole texts are read; rows that repeat are scored each; an
     empty table gives an empty one.
     """
 
@@ -208,4 +226,5 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, flag: float | None = No
         likeliest = [int(np.argmax(-np.diff(np.concatenate([[1.0], q, [0.0]])))) for q in p]
         return {"severity": [float(q.sum()) for q in p], "grade": likeliest, "p_toxic": [float(q[0]) for q in p], "toxic": [bool(q[0] >= bar) for q in p]}
 
-    return map_texts(documents(docs), score, "severity double, grade int, p_toxic double, toxic boolean")
+    rows = documents(docs).select("doc_id", (id_crc(F.col("doc_id")) % 5 == 0).alias("held_out"), "text")
+    return map_texts(rows, score, "severity double, grade int, p_toxic double, toxic boolean")
