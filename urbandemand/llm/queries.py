@@ -49,7 +49,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +97,9 @@ v AS (SELECT doc_id, source, part, ('0x' || substr(md5('7:' || coalesce(doc_id::
 c AS (SELECT v.doc_id, v.source, sum(len(list_filter(a.upto, lambda y: y <= v.x)))::INT AS n_copies
       FROM v JOIN a ON v.source IS NOT DISTINCT FROM a.source GROUP BY v.doc_id, v.source),
 e AS (SELECT doc_id, source, n_copies, unnest(range(1, n_copies + 1))::INT AS copy_no FROM c)
-SELECT doc_id, source, n_copies, copy_no,
-       ('0x' || substr(md5('order7:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no), 1, 15))::BIGINT AS shuffle_key
-FROM e
+SELECT d.*, n_copies, copy_no,
+       ('0x' || substr(md5('order7:' || d.doc_id || ':' || copy_no), 1, 15))::BIGINT AS shuffle_key
+FROM e JOIN documents d ON d.doc_id = e.doc_id
 """
 
 _OP1_SQL = r"""
