@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
-from ..scratch import dropped, shared_dir, stored, stored_bytes  # noqa: F401 (the operators take them from here)
+from ..scratch import dropped, scratch, shared_dir, stored, stored_bytes  # noqa: F401 (the operators take them from here)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

@@ -18,11 +18,13 @@ of a shorter one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, documents, dropped, small, stored
+from .common import ascii_lower, documents, scratch, small, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
@@ -139,7 +141,6 @@ def _indexed(docs: DataFrame, items: DataFrame, width: int, slop: int) -> tuple[
     line = stored(diagonals(index, chosen, slop), "diagonals")
     met = stored(matches(index, line, places, slop), "matches")
     names = stored(item.select("item_no", "item_id"), "names")
-    dropped(item, vocabulary, places, chosen, line)
     return index, names, met
 
 
@@ -164,6 +165,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: i
     its texts. Rows that repeat a doc_id are judged by their own texts. No
     documents give no rows, no items no hits. Other columns are not read.
     """
+    with scratch() as keep:
+        return _judged(docs, items, width, slop, keep)
+
+
+def _judged(docs: DataFrame, items: DataFrame, width: int, slop: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     index, names, met = _indexed(documents(docs), items, width, slop)
     exact = met.filter(F.size("exact") > 0)
     covered = F.flatten(F.transform("exact", lambda s: F.sequence(s, s + F.col("span") - 1)))
@@ -173,8 +179,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: i
     of_exact = _listed(exact, names, "items")
     found = near.join(of_exact, _same(near, of_exact), "left").select(near["doc_id"], near["mark"], "near_items", "items")
     found = found.join(hit, _same(found, hit), "left").select(found["doc_id"], found["mark"], "near_items", "items", "n_hit")
-    found = small(stored(found, "found"))
-    text = index.filter(F.col("term_no") == END_NO)
+    found = small(keep(stored(found, "found")))
+    text = keep(stored(index.filter(F.col("term_no") == END_NO).select("doc_id", "mark", "position"), "ends"))
     none = F.array().cast("array<string>")
     own, close = F.coalesce("items", none), F.coalesce("near_items", none)
     return text.join(found, _same(text, found), "left").select(
@@ -185,8 +191,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, slop: i
 
 def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without the rows in which a window of an item occurs."""
-    index, names, met = _indexed(documents(docs), items, width, 0)
-    hit = stored(met.select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).distinct(), "contaminated")
-    dropped(index, names, met)
+    with scratch() as keep:
+        _, _, met = _indexed(documents(docs), items, width, 0)
+        hit = keep(stored(met.select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).distinct(), "contaminated"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("its_mark"))
     return docs.join(small(hit), same, "left_anti")

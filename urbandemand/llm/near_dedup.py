@@ -24,16 +24,15 @@ of n near copies gives in the order of n rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import documents, dropped, map_texts, small, stored
+from .common import documents, dropped, map_texts, scratch, small, stored
 
 SHINGLE = 5
 SIMILAR = (75, 100)
@@ -120,7 +119,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
 def _forest(classes: DataFrame) -> DataFrame:
     """Each class in each order: region, deeper values two by two, rep.
 
-    Written so that one order's region is never another's.
+    One order's region is never another's. The rows are sorted as a whole,
+    over all tasks, so that no region has to be held in one.
     """
     salt = (np.arange(ORDERS, dtype=np.uint64) * _MIX)[None, :]
 
@@ -138,9 +138,47 @@ def _forest(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", "turn", "v1", "v2", "v3", "rep", "n"])
 
     rows = classes.select("rep", "sig", "n").mapInArrow(orders, "region long, turn int, v1 long, v2 long, v3 long, rep long, n long")
-    by = Window.partitionBy("region")
-    line = by.orderBy("v1", "v2", "v3", "rep")
-    return rows.withColumn("size", F.count("*").over(by)).withColumn("before", F.lag("rep").over(line)).filter("size > 1")
+    by = ("region", "v1", "v2", "v3", "rep")
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_beside, "region long, turn int, v1 long, v2 long, v3 long, rep long, n long, before long")
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a sorted stretch with the one before in their region (else themselves).
+
+    Rows that are alone in their region are left out, but where the stretch
+    begins or ends, as the region may go on in the stretch beside it. A pair of
+    neighbours parted there is not lost: its region is searched later.
+    """
+    names = ["region", "turn", "v1", "v2", "v3", "rep", "n", "before"]
+    held: list[np.ndarray] | None = None  # the last row, until the one after it is known
+    ahead: tuple[int, int] | None = None  # region and rep of the row before it
+
+    def row(columns: list[np.ndarray], keep: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in [*columns, before]], names=names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [np.array(b.column(k)) for k in range(7)]
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+        region, rep = columns[0], columns[5]
+        first = ahead is None
+        earlier = np.concatenate([[0 if first else ahead[0]], region[:-1]])
+        same = region == earlier
+        if first:
+            same[0] = False
+        before = np.where(same, np.concatenate([[0 if first else ahead[1]], rep[:-1]]), rep)
+        keep = same[:-1] | same[1:]
+        if first and len(keep):
+            keep[0] = True
+        yield row([c[:-1] for c in columns], keep, before[:-1])
+        held = [c[-1:] for c in columns]
+        if len(region) > 1:
+            ahead = int(region[-2]), int(rep[-2])
+    if held is not None:
+        joined = ahead is not None and ahead[0] == held[0][0]
+        yield row(held, np.array([True]), np.array([ahead[1]]) if joined else held[5])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -273,11 +311,11 @@ def _across(placed: DataFrame, docs: DataFrame) -> DataFrame:
     placed = stored(placed, "placed")
     wanted = stored(placed.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
 
-    def half(texts: list[str | None]) -> dict[str, list]:
+    def whole(texts: list[str | None]) -> dict[str, list]:
         words = _Words()
-        return {"half": [np.unique((shingles(t, words) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts]}
+        return {"own": [shingles(t, words).tobytes() for t in texts]}
 
-    sets = map_texts(docs.join(small(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), half, "half binary")
+    sets = map_texts(docs.join(small(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text"), whole, "own binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -285,7 +323,7 @@ def _across(placed: DataFrame, docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             comp = np.array([c for _, c, _ in held])
             if len(held) > 1 and not (comp == comp[0]).all():
-                found = _overlapping(comp, [np.frombuffer(s, np.uint32) for _, _, s in held])
+                found = _overlapping(comp, [np.frombuffer(s, np.uint64) for _, _, s in held])
                 a, b = np.array([held[i][0] for i, _ in found], np.int64), np.array([held[j][0] for _, j in found], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -297,7 +335,7 @@ def _across(placed: DataFrame, docs: DataFrame) -> DataFrame:
                 held.append((r, c, x))
         yield from flush()
 
-    ordered = placed.join(sets, "rep").select("region", "rep", "comp", "half").repartition("region").sortWithinPartitions("region")
+    ordered = placed.join(sets, "rep").select("region", "rep", "comp", "own").repartition("region").sortWithinPartitions("region")
     return ordered.mapInArrow(search, "a long, b long").distinct()
 
 
@@ -323,13 +361,17 @@ def near_duplicates(docs: DataFrame, region_shingles: int = REGION_SHINGLES) ->
     doc_id is linked with nothing: its component is null, and it is kept.
     Whole texts are read, however long; an empty table gives an empty one.
     """
-    docs = documents(docs)
+    with scratch() as keep:
+        return _grouped(documents(docs), region_shingles, keep)
+
+
+def _grouped(docs: DataFrame, region_shingles: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     sig = stored(_signatures(docs), "signatures")
     known = sig.filter("n > 0 and doc_id is not null")
     sets = known.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc_id", "sig")).alias("one"))
     classes = stored(sets.select("set_a", "set_b", "n", F.col("one.doc_id").alias("rep"), F.col("one.sig").alias("sig")), "classes")
     forest = stored(_forest(classes), "forest")
-    beside = forest.filter("before is not null and before <> rep").select(F.least("rep", "before").alias("a"), F.greatest("rep", "before").alias("b"), "turn")
+    beside = forest.filter("before <> rep").select(F.least("rep", "before").alias("a"), F.greatest("rep", "before").alias("b"), "turn")
     beside = beside.groupBy("a", "b").agg(F.count("*").alias("orders"), F.min("turn").alias("first"))
     # Each class with the neighbour it meets in most orders, and whole chains.
     ends = beside.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "orders", "first")
@@ -348,12 +390,16 @@ def near_duplicates(docs: DataFrame, region_shingles: int = REGION_SHINGLES) ->
     own = twins.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     comp = comp.select(F.col("node").alias("rep"), "comp")
     named = own.join(comp, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
-    out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
+    named = small(keep(stored(named.filter("component_id <> doc_id"), "named")))
+    sizes = keep(stored(sig.select("doc_id", F.col("n").alias("n_shingles")), "sizes"))
+    out = sizes.join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """``docs`` with the document of each group that ``near_duplicates`` keeps."""
-    leave = near_duplicates(docs, region_shingles).filter("not kept").select(F.col("doc_id").alias("its_id")).distinct()
-    return docs.join(small(stored(leave, "leave")), F.col("doc_id").cast("long") == F.col("its_id"), "left_anti")
+    with scratch() as keep:
+        leave = near_duplicates(docs, region_shingles).filter("not kept").select(F.col("doc_id").alias("its_id")).distinct()
+        leave = keep(stored(leave, "leave"))
+    return docs.join(small(leave), F.col("doc_id").cast("long") == F.col("its_id"), "left_anti")
