@@ -28,6 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_REMOVE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what runs inside go as soon as it is done."""
+    before = spark.conf.get(_REMOVE, None)
+    spark.conf.set(_REMOVE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_REMOVE) if before is None else spark.conf.set(_REMOVE, before)
+
+
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
@@ -35,7 +49,8 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     made = _made.get()
