@@ -24,41 +24,62 @@ def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_tokens": 3000, "partition_keys": 20_000}])
+@pytest.mark.parametrize(
+    "sizes",
+    [{}, {"order": 1}, {"order": 2, "chunk_tokens": 3000}, {"chunk_tokens": 3000, "partition_keys": 20_000}, {"order": 4, "chunk_tokens": 20_000}, {"chunk_tokens": 2000, "partition_keys": 15_000, "fan_bits": 2}],
+)
 def test_katz_against_brute_force(docs, sizes):
+    _check_katz(docs, sizes)
+
+
+def test_katz_against_brute_force_on_more_texts(spark):
+    _check_katz(spark.read.parquet(f"{SF01}/documents.parquet"), {"chunk_tokens": 60_000, "partition_keys": 200_000})
+
+
+def _check_katz(docs, sizes):
+    order = sizes.get("order", katz.ORDER)
     got = {r.doc_id: r for r in katz.score_katz(docs, **sizes).collect()}
     text = {r.doc_id: (r.text or "").encode().lower().split() + [b" E"] for r in docs.collect()}
     train = {d for d in text if zlib.crc32(str(d).encode()) % 5 != 1}
-    c1 = collections.Counter(w for d in train for w in text[d])
-    c2 = collections.Counter(b for d in train for b in zip([b" S"] + text[d], text[d]))
-    cv = collections.Counter()
-    for (v, _), n in c2.items():
-        cv[v] += n
-    total, distinct = sum(c1.values()), len(c1)
-    spectrum = lambda c: np.array([sum(x == r for x in c.values()) for r in range(1, 7)])
-    d1, d2 = katz.discounts(spectrum(c1)), katz.discounts(spectrum(c2))
-    lost = 1 - sum(d1[min(c, 6) - 1] * c for c in c1.values()) / total
+
+    def grams(own, k):
+        padded = [b" S"] * (k - 1) + own
+        return [tuple(padded[i : i + k]) for i in range(len(own))]
+
+    c = {k: collections.Counter(g for d in train for g in grams(text[d], k)) for k in range(1, order + 1)}
+    of = {k: collections.Counter() for k in range(2, order + 1)}  # counts of histories
+    for k in of:
+        for g, n in c[k].items():
+            of[k][g[:-1]] += n
+    total, distinct = sum(c[1].values()), len(c[1])
+    d = {k: katz.discounts(np.array([sum(x == r for x in c[k].values()) for r in range(1, 7)])) for k in c}
+    lost = 1 - sum(d[1][min(n, 6) - 1] * n for n in c[1].values()) / total
     unseen = max(lost, 1 / (total + 1))
-    word = lambda w: d1[min(c1[w], 6) - 1] * c1[w] / total * (1 - unseen) / (1 - lost) if c1[w] else unseen
-    kept, followers = collections.defaultdict(float), collections.defaultdict(float)
-    for (v, w), c in c2.items():
-        kept[v] += d2[min(c, 6) - 1] * c / cv[v]
-        followers[v] += word(w)
-
-    def p(v, w):
-        if not cv[v]:
-            return word(w)
-        left = max(1 - kept[v], 1 / (cv[v] + 1))
-        c = c2[v, w]
-        return d2[min(c, 6) - 1] * c / cv[v] * (1 - left) / kept[v] if c else left / (1 - followers[v]) * word(w)
-
-    for v in [b" S", *list(cv)[:5]]:
-        assert sum(p(v, w) for w in c1) + p(v, b" never") == pytest.approx(1, abs=1e-9)
-    for d, own in text.items():
-        r = got[d]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(own), sum(c1[w] > 0 for w in own), total, d not in train)
-        assert r.base_score == pytest.approx(sum(math.log10((c1[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own))
-        assert r.score == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip([b" S"] + own, own)))
+    kept, lower = collections.defaultdict(float), collections.defaultdict(float)
+
+    def p(g):
+        k = len(g)
+        if k == 1:
+            return d[1][min(c[1][g], 6) - 1] * c[1][g] / total * (1 - unseen) / (1 - lost) if c[1][g] else unseen
+        h = g[:-1]
+        if not of[k][h]:
+            return p(g[1:])
+        left = max(1 - kept[h], 1 / (of[k][h] + 1))
+        n = c[k][g]
+        return d[k][min(n, 6) - 1] * n / of[k][h] * (1 - left) / kept[h] if n else left / (1 - lower[h]) * p(g[1:])
+
+    for k in of:  # a history's sums need the order below
+        for g, n in c[k].items():
+            kept[g[:-1]] += d[k][min(n, 6) - 1] * n / of[k][g[:-1]]
+            lower[g[:-1]] += p(g[1:])
+    for k in of:
+        for h in [(b" S",) * (k - 1), *list(of[k])[:3]]:
+            assert sum(p((*h, w[0])) for w in c[1]) + p((*h, b" never")) == pytest.approx(1, abs=1e-9)
+    for i, own in text.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(own), sum(c[1][w,] > 0 for w in own), total, i not in train)
+        assert r.base_score == pytest.approx(sum(math.log10((c[1][w,] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own))
+        assert r.score == pytest.approx(sum(math.log10(p(g)) for g in grams(own, order)))
 
 
 def _components(texts):

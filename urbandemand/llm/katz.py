@@ -1,32 +1,40 @@
-"""Language-model scoring by a Katz backoff bigram model.
+"""Language-model scoring by Katz backoff.
 
-    P(w | v) = d(c) * c(v w) / c(v) * f(v)   where c = c(v w) > 0
-             = a(v) * P(w)                   otherwise
+    P(w | h) = d(c) * c(h w) / c(h) * f(h)   where c = c(h w) > 0
+             = a(h) * P(w | h')              otherwise, h' being h without its first word
 
 c counts the training documents; d is the Good-Turing discount of counts up to
-``LARGEST``; P(w) is the discounted unigram model, with what the discount leaves
-for all words not in training together; a(v) makes each history sum to one
-exactly. f(v) is 1 but for histories whose discount leaves next to nothing,
-where it is lowered so that a(v) stays above zero.
+``LARGEST``, for each order; P(w) is the discounted unigram model, with what the
+discount leaves for all words not in training together; a(h) makes each history
+sum to one exactly. f(h) is 1 but for histories whose discount leaves next to
+nothing, where it is lowered so that a(h) stays above zero.
 
-All tables are partitioned and packed: a chunk of documents holds its tokens as
-places in its own sorted list of word hashes, and what travels between chunks
-and the partitions of the model are sorted arrays of distinct keys, one for
-each chunk and partition.
+All tables are partitioned and packed. A chunk of documents holds its tokens as
+places in its own sorted list of word hashes. Its distinct grams of each order
+are sorted by a hash, and go in stretches of it, so no gram is hot: a chunk
+sends each partition every gram once, with its count.
 
 1. ``chunks``: tokens of some documents, about ``CHUNK_TOKENS`` together.
-2. ``by word``: each chunk's distinct bigrams go to the partition of their last
-   word, which sums their counts, and with them the word's own. It answers each
-   chunk with the counts, and sends each history what it has of it.
-3. ``by history``: sums these, and answers each chunk with its words' c and a.
-4. Each chunk looks every token up, from bigram to unigram.
+2. Counts: partitions of the grams' hashes sum them up and answer each chunk,
+   name one chunk the owner of each gram in training, and say which grams
+   several chunks have.
+3. Weights, order by order: what a history's seen followers lose to the
+   discount, and what the lower order gives them, is summed over the owned
+   grams. A history that occurs in one chunk only is summed there; others go by
+   way of the partitions of the histories' hashes.
+4. Each chunk looks its grams up, from the lowest order to the highest.
+
+A chunk sends 2 ** ``FAN_BITS`` messages at most. Where that makes partitions too
+large, messages of one stretch are merged in groups of bounded size, which send
+on like chunks, and answers come back the same way; so messages grow with the
+input, not with its square.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +44,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, id_crc, stored
+from .common import documents, id_crc, scratch, small, stored
 
-CHUNK_TOKENS = 2_000_000
-#: Distinct keys that come together in one partition of the model.
-PARTITION_KEYS = 1_500_000
+ORDER = 3
+CHUNK_TOKENS = 1_500_000
+#: Keys that come together in one partition, before equal ones are merged.
+PARTITION_KEYS = 1_200_000
+#: Partitions that one chunk, or group of messages, sends to: two to this power.
+FAN_BITS = 8
 #: Largest count that is discounted.
 LARGEST = 5
-#: Names of the start and the end of a text; no word has a blank.
-START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))
+#: The name of a text's end; no word has a blank.
+END = xxhash.xxh3_64_intdigest(b" end")
+#: Low bits of a gram's name, which hold its order.
+ORDER_BITS = 3
+_MASK = np.uint64((1 << ORDER_BITS) - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Hashes of the history before a text's first word, by its length.
+_BEFORE = [np.uint64(xxhash.xxh3_64_intdigest(b" before %d" % k)) for k in range(1 << ORDER_BITS)]
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -55,17 +72,27 @@ def _unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
-def _sorted_packed(x: np.ndarray) -> bytes:
-    """A sorted array of 64-bit keys, by the bytes of its differences."""
+def _keys_packed(x: np.ndarray) -> bytes:
+    """64-bit keys in rising stretches, by the bytes of their differences."""
     step = np.diff(x, prepend=x.dtype.type(0))
     return _packed(step.view(np.uint8).reshape(-1, 8).T)
 
 
-def _sorted_unpacked(raw: bytes) -> np.ndarray:
+def _keys_unpacked(raw: bytes) -> np.ndarray:
     step = np.ascontiguousarray(_unpacked(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
     return np.cumsum(step, dtype=np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _named(h: np.ndarray, order: int) -> np.ndarray:
+    return (h & ~_MASK) | np.uint64(order)
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -75,7 +102,7 @@ class _Words(dict):
 
 
 def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
-    """chunk, ids, held, lengths, words (sorted hashes), codes (places in words)."""
+    """chunk, held, lengths, words (sorted hashes), codes (places in words), ids, and sizes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part, n = _Words(), TaskContext.get().partitionId(), 0
@@ -84,9 +111,12 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             words, codes = np.unique(np.concatenate(arrays), return_inverse=True)
             lengths = np.array([len(a) for a in arrays], np.int32)
-            row = [[(part << 33) + n], [ids], [_packed(np.array(held, np.bool_))], [_packed(lengths)], [_sorted_packed(words)], [_packed(codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T)], [len(words)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["chunk", "ids", "held", "lengths", "words", "codes", "n_words"])
+            row = [
+                [(part << 33) + n], [_packed(np.array(held, np.bool_))], [_packed(lengths)], [_keys_packed(words)],
+                [_packed(codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T)], [ids], [len(words)], [len(codes)], [len(held) - sum(held)],
+            ]
+            kinds = [pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), *[pa.int64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["chunk", "held", "lengths", "words", "codes", "ids", "n_words", "n_tokens", "n_train"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -107,50 +137,70 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             yield flush()
 
     rows = docs.select("doc_id", (id_crc(F.col("doc_id")) % 5 == 1).alias("held_out"), "text")
-    return rows.mapInArrow(make, "chunk long, ids array<long>, held binary, lengths binary, words binary, codes binary, n_words long")
+    return rows.mapInArrow(make, "chunk long, held binary, lengths binary, words binary, codes binary, ids array<long>, n_words long, n_tokens long, n_train long")
 
 
 @dataclass
-class _Chunk:
-    """A chunk's tokens with its distinct bigrams, in the order they travel in."""
-
-    held: np.ndarray
-    lengths: np.ndarray
-    words: np.ndarray
-    codes: np.ndarray
+class _Grams:
+    """The distinct k-grams of a chunk, sorted by name.
 
-    @classmethod
-    def of(cls, held: bytes, lengths: bytes, words: bytes, codes: bytes) -> _Chunk:
-        flat = np.ascontiguousarray(_unpacked(codes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-        return cls(_unpacked(held, np.bool_), _unpacked(lengths, np.int32), _sorted_unpacked(words), flat)
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place of the last word, hash of the history, training count, and each token's bigram.
+    ``count`` is their training count here; ``of`` is each token's gram, the
+    one that ends with it; ``lower`` is a gram without its first word, and
+    ``before`` its history, as places among the (k-1)-grams; a place past the
+    end is the history before a text's first word.
+    """
 
-        Sorted by last word and then by history.
-        """
-        firsts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        before = np.empty(len(self.codes), np.int64)
-        before[1:] = self.codes[:-1]
-        before[firsts] = len(self.words)  # the start of a text
-        names = np.append(self.words, np.uint64(START))
-        # Places rise with the hashes, but for the start, which is put in its place.
-        rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
-        key = self.codes.astype(np.int64) * (len(self.words) + 1) + rank[before]
-        distinct, inverse = np.unique(key, return_inverse=True)
-        last, ranked = np.divmod(distinct, len(self.words) + 1)
-        train = np.repeat(~self.held, self.lengths)
-        count = np.bincount(inverse[train], minlength=len(distinct))
-        return last, np.sort(names)[ranked], count, inverse
+    names: np.ndarray
+    of: np.ndarray
+    count: np.ndarray
+    lower: np.ndarray
+    before: np.ndarray
 
-    def histories(self) -> np.ndarray:
-        return np.sort(np.append(self.words, np.uint64(START)))
 
+class _Chunk:
+    """A chunk's tokens and grams up to an order."""
 
-def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of each partition's keys in a sorted array of hashes."""
-    edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    def __init__(self, held: bytes, lengths: bytes, words: bytes, codes: bytes, order: int) -> None:
+        self.held, self.lengths = _unpacked(held, np.bool_), _unpacked(lengths, np.int32)
+        flat = np.ascontiguousarray(_unpacked(codes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        train = np.repeat(~self.held, self.lengths)
+        word = _mixed(_keys_unpacked(words))[flat]
+        first = np.zeros(len(flat), bool)
+        first[self.starts] = True
+        self.grams: list[_Grams] = []
+        whole = word
+        for k in range(1, order + 1):
+            if k > 1:  # the history's hash and the word's
+                history = np.empty_like(whole)
+                history[1:] = whole[:-1]
+                history[self.starts] = _BEFORE[k - 1]
+                whole = _mixed(history * _ODD + word)
+            names = _named(whole, k)
+            turn = np.argsort(names)
+            ordered = names[turn]
+            new = np.ones(len(ordered), bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            of = np.empty(len(ordered), np.int32)
+            of[turn] = np.cumsum(new, dtype=np.int32) - 1
+            example, distinct = turn[new], ordered[new]
+            del turn, ordered, names
+            count = np.bincount(of[train], minlength=len(distinct))
+            if k == 1:
+                lower = before = np.zeros(0, np.int64)
+            else:
+                below = self.grams[-1]
+                lower = below.of[example]
+                before = np.where(first[example], len(below.names), below.of[example - 1])
+            self.grams.append(_Grams(distinct, of, count, lower, before))
+
+
+def _cut(keys: np.ndarray, bits: int, skip: int = 0) -> np.ndarray:
+    """Bounds of the stretches of sorted keys that share their bits from ``skip`` on, ``bits`` of them."""
+    if not bits:
+        return np.array([0, len(keys)])
+    place = (keys << np.uint64(skip)) >> np.uint64(64 - bits) if skip else keys >> np.uint64(64 - bits)
+    return np.searchsorted(place, np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -158,30 +208,6 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("runs", pa.binary()), ("others", pa.binary()), ("counts", pa.binary())])
-_SENT_SQL = "part int, chunk long, words binary, runs binary, others binary, counts binary"
-#: kind 0: to a chunk; 1: to a history's partition; 2: sums for the driver.
-_SAID = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_SAID_SQL = "kind int, part int, chunk long, a binary, b binary, c binary"
-
-
-def _send_bigrams(chunks: DataFrame, parts: int) -> DataFrame:
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, *fields in zip(*(b.column(k).to_pylist() for k in range(5))):
-                c = _Chunk.of(*fields)
-                last, history, count, _ = c.bigrams()
-                word_at = _cut(c.words, parts)
-                pair_at = np.searchsorted(last, word_at)
-                runs = np.bincount(last, minlength=len(c.words)).astype(np.int32)
-                for k in range(parts):
-                    w, p = slice(word_at[k], word_at[k + 1]), slice(pair_at[k], pair_at[k + 1])
-                    if p.stop > p.start:
-                        yield _batch([(k, chunk, _sorted_packed(c.words[w]), _packed(runs[w]), _packed(history[p].view(np.uint8).reshape(-1, 8).T), _packed(count[p].astype(np.int64)))], _SENT)
-
-    return chunks.select("chunk", "held", "lengths", "words", "codes").mapInArrow(send, _SENT_SQL)
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows of each key, the first column, of batches sorted by it."""
     key, held = None, []
@@ -198,61 +224,148 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
 
 
 def _dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
-    return df.repartition(parts, key).sortWithinPartitions(key)
+    return df.repartition(max(1, min(parts, 200_000)), key).sortWithinPartitions(key)
 
 
-def _spectrum(counts: np.ndarray) -> np.ndarray:
-    """How many keys have the counts 1 to LARGEST + 1."""
-    return np.bincount(np.minimum(counts, LARGEST + 2), minlength=LARGEST + 3)[1 : LARGEST + 2]
+#: part: the stretch of keys, by its leading bits; sender: who wants the answer; n: keys.
+_SENT = pa.schema([("part", pa.int64()), ("sender", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+_SENT_SQL = "part long, sender long, n long, keys binary, a binary, b binary"
+#: An answer has the keys' places in a message, in order. Without a sender: a class of counts, and n.
+_SAID = pa.schema([("sender", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+_SAID_SQL = "sender long, part long, n long, a binary, b binary"
+#: Marks of a sender's key: it owns it; other senders have it too.
+OWNED, SHARED = np.uint8(1), np.uint8(2)
+#: Classes of counts, for each order: keys with counts 1 to LARGEST + 1, all keys, and the sum of counts.
+_CLASSES = LARGEST + 3
 
 
-def _count_words(sent: DataFrame, parts: int) -> DataFrame:
-    """By last word: counts for each chunk; the words' spectra for the driver.
-
-    a: training count of each bigram sent; b: of each word sent.
-    """
+@dataclass
+class _Merged:
+    """Messages of one stretch with equal keys put together."""
+
+    rows: list[tuple]  # sender, n, keys, a, b
+    counting: bool
+    keys: np.ndarray = field(init=False)
+    place: np.ndarray = field(init=False)
+    sums: list[np.ndarray] = field(init=False)
+    owner: np.ndarray | None = field(init=False, default=None)
+
+    def __post_init__(self) -> None:
+        every = np.concatenate([_keys_unpacked(r[2]) for r in self.rows])
+        self.keys, self.place = np.unique(every, return_inverse=True)
+        kind = np.int64 if self.counting else np.float64
+        self.sums = []
+        for k in (3,) if self.counting else (3, 4):
+            values = np.concatenate([_unpacked(r[k], kind) for r in self.rows])
+            self.sums.append(np.bincount(self.place, values, minlength=len(self.keys)).astype(kind))
+            if self.counting:  # the first message with an occurrence in training owns the key
+                seen = np.flatnonzero(values > 0)[::-1]
+                self.owner = np.full(len(self.keys), -1)
+                self.owner[self.place[seen]] = seen
+
+    def answers(self, part: int, totals: list[np.ndarray], marks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """To each sender the totals of its keys; with counts the marks OWNED and SHARED.
+
+        ``marks`` are those that these messages together have from above.
+        """
+        at = 0
+        shared = (np.bincount(self.place, minlength=len(self.keys)) > 1).astype(np.uint8) * SHARED
+        for sender, n, *_ in self.rows:
+            place = self.place[at : at + n]
+            if self.counting:
+                own = (self.owner[place] == np.arange(at, at + n)).astype(np.uint8) * OWNED
+                if marks is not None:
+                    own &= marks[place]
+                    shared |= marks & SHARED
+                b = _packed(own | shared[place])
+            else:
+                b = _packed(totals[1][place])
+            yield _batch([(sender, part, n, _packed(totals[0][place]), b)], _SAID)
+            at += n
+
+
+def _spectrum(keys: np.ndarray, totals: np.ndarray) -> list[tuple]:
+    """Numbers of keys by order and count, in rows without a sender."""
+    out = []
+    for order in np.unique(keys & _MASK).tolist():
+        own = totals[((keys & _MASK) == np.uint64(order)) & (totals > 0)]
+        numbers = [*np.bincount(np.minimum(own, LARGEST + 2), minlength=LARGEST + 3)[1 : LARGEST + 2], len(own), own.sum()]
+        out += [(None, int(order) * _CLASSES + i, int(n), None, None) for i, n in enumerate(numbers)]
+    return out
+
+
+def _answered(sent: DataFrame, counting: bool, done: int, needed: int, fan_bits: int, partition_keys: int) -> DataFrame:
+    """Answers to messages whose stretches share ``done`` leading bits of ``needed``."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _grouped(batches):
-            words = [_sorted_unpacked(r[1]) for r in rows]
-            runs = [_unpacked(r[2], np.int32) for r in rows]
-            history = np.concatenate([np.ascontiguousarray(_unpacked(r[3], np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for r in rows])
-            count = np.concatenate([_unpacked(r[4], np.int64) for r in rows])
-            all_words, place = np.unique(np.concatenate(words), return_inverse=True)
-            owner = np.repeat(place, np.concatenate(runs))
-            order = np.lexsort((history, owner))
-            new = np.ones(len(order), bool)
-            new[1:] = (owner[order][1:] != owner[order][:-1]) | (history[order][1:] != history[order][:-1])
-            group = np.empty(len(order), np.int64)
-            group[order] = np.cumsum(new) - 1
-            total = np.bincount(group, count).astype(np.int64)
-            word_total = np.bincount(owner, count, minlength=len(all_words)).astype(np.int64)
-            at_pair = at_word = 0
-            for r, w, n in zip(rows, words, runs):
-                pairs = int(n.sum())
-                yield _batch([(0, part, r[0], _packed(total[group[at_pair : at_pair + pairs]]), _packed(word_total[place[at_word : at_word + len(w)]]), None)], _SAID)
-                at_pair, at_word = at_pair + pairs, at_word + len(w)
-            seen = total > 0
-            yield _batch([(2, part, None, _packed(np.concatenate([[word_total.sum(), (word_total > 0).sum()], _spectrum(word_total[word_total > 0])])), _packed(_spectrum(total[seen])), None)], _SAID)
-            # What each history has here: its distinct followers' counts, one by one.
-            first = order[new]
-            h, o, t = history[first][seen], owner[first][seen], total[seen]
-            by = np.argsort(h, kind="stable")
-            names, start = np.unique(h[by], return_index=True)
-            # Sums by the follower's count (1 to LARGEST, or more), and of followers' own counts by class.
-            cls = np.minimum(t[by], LARGEST + 1) - 1
-            own = np.repeat(np.arange(len(names)), np.diff(np.append(start, len(by))))
-            tally = np.bincount(own * (LARGEST + 1) + cls, t[by], minlength=len(names) * (LARGEST + 1)).astype(np.int64)
-            wt = word_total[o[by]]
-            low = np.bincount(own * (LARGEST + 1) + np.minimum(wt, LARGEST + 1) - 1, wt, minlength=len(names) * (LARGEST + 1)).astype(np.int64)
-            at = _cut(names, parts)
-            for k in range(parts):
-                s = slice(at[k], at[k + 1])
-                if s.stop > s.start:
-                    wide = slice(s.start * (LARGEST + 1), s.stop * (LARGEST + 1))
-                    yield _batch([(1, k, None, _sorted_packed(names[s]), _packed(tally[wide]), _packed(low[wide]))], _SAID)
-
-    return _dealt(sent, "part", parts).mapInArrow(merge, _SAID_SQL)
+            m = _Merged(rows, counting)
+            yield from m.answers(part, m.sums)
+            if counting:
+                yield _batch(_spectrum(m.keys, m.sums[0]), _SAID)
+
+    if done >= needed:
+        return _dealt(sent, "part", 1 << done).mapInArrow(merge, _SAID_SQL)
+
+    # Too much for one partition each: groups of messages are merged and send on.
+    bits = min(fan_bits, needed - done)
+    sent = stored(sent, "messages")
+    groups = stored(sent.groupBy("part").agg(F.ceil(F.sum("n") / partition_keys).alias("groups")), "groups")
+    number = F.pmod(F.xxhash64("sender"), F.col("groups"))
+    grouped = sent.join(small(groups), "part").select(F.xxhash64("part", number).alias("middle"), "sender", "n", "keys", "a", "b", "part")
+    n_groups = int(groups.agg(F.sum("groups")).first()[0] or 1)
+
+    def send_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for middle, rows in _grouped(batches):
+            m, part = _Merged(rows, counting), rows[0][5]
+            yield from _messages(middle, [m.keys], m.sums, bits, done, part)
+
+    onward = _dealt(grouped, "middle", n_groups).mapInArrow(send_on, _SENT_SQL)
+    above = stored(_answered(onward, counting, done + bits, needed, fan_bits, partition_keys), "answers")
+    own = grouped.select("middle", F.lit(0).alias("kind"), "sender", "part", "n", "keys", "a", "b")
+    back = above.filter("sender is not null").select(F.col("sender").alias("middle"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("sender"), "part", "n", F.lit(None).cast("binary").alias("keys"), "a", "b")
+
+    def pass_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            mine = [r for r in rows if r[0] == 0]
+            m = _Merged([(r[1], *r[3:7]) for r in mine], counting)
+            said = sorted((r for r in rows if r[0] == 1), key=lambda r: r[2])
+            kind = np.int64 if counting else np.float64
+            totals = [np.concatenate([_unpacked(r[5], kind) for r in said])]
+            second = np.concatenate([_unpacked(r[6], np.uint8 if counting else np.float64) for r in said])
+            if counting:
+                yield from m.answers(mine[0][2], totals, second)
+            else:
+                yield from m.answers(mine[0][2], [*totals, second])
+
+    down = _dealt(own.unionByName(back), "middle", n_groups).mapInArrow(pass_down, _SAID_SQL)
+    return down.unionByName(above.filter("sender is null"))
+
+
+def _messages(sender: int, keys: list[np.ndarray], sums: list[np.ndarray], bits: int, skip: int = 0, part: int = 0) -> Iterator[pa.RecordBatch]:
+    """Sorted arrays of keys with one array of values for all, cut into stretches."""
+    at = [_cut(k, bits, skip) for k in keys]
+    first = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    for i in range(1 << bits):
+        cuts = [slice(a[i], a[i + 1]) for a in at]
+        n = sum(s.stop - s.start for s in cuts)
+        if n:
+            value = [_packed(np.concatenate([v[f + s.start : f + s.stop] for f, s in zip(first, cuts)])) for v in sums]
+            yield _batch([((part << bits) | i, sender, n, _keys_packed(np.concatenate([k[s] for k, s in zip(keys, cuts)])), value[0], value[1] if len(value) > 1 else None)], _SENT)
+
+
+def _collated(rows: list[tuple], keys: list[np.ndarray], bits: int, kinds: tuple[type, type]) -> list[list[np.ndarray]]:
+    """Both arrays of a chunk's answers (part, a, b), for each of its arrays of keys."""
+    at = [_cut(k, bits) for k in keys]
+    out = [[np.zeros(len(k), kind) for k in keys] for kind in kinds]
+    for part, *raw in rows:
+        for into, data, kind in zip(out, raw, kinds):
+            values, done = _unpacked(data, kind), 0
+            for array, a in zip(into, at):
+                n = a[part + 1] - a[part]
+                array[a[part] : a[part + 1]] = values[done : done + n]
+                done += n
+    return out
 
 
 def discounts(spectrum: np.ndarray) -> np.ndarray:
@@ -275,79 +388,83 @@ def discounts(spectrum: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What all partitions share: a few numbers."""
+    """What all partitions share: a few numbers. Lists are by order, from 1."""
 
     total: int
     distinct: int
-    word_discount: np.ndarray
-    pair_discount: np.ndarray
+    texts: int
+    discount: list[np.ndarray]
+    unseen: float
+    seen_scale: float
+
+    @classmethod
+    def of(cls, spectra: list[np.ndarray], texts: int) -> Model:
+        words, distinct, total = spectra[0][: LARGEST + 1], int(spectra[0][LARGEST + 1]), int(spectra[0][LARGEST + 2])
+        discount = [discounts(s[: LARGEST + 1]) for s in spectra]
+        r = np.arange(1, LARGEST + 1)
+        lost = float(((1 - discount[0][:-1]) * r * words[:LARGEST]).sum()) / max(total, 1)
+        unseen = max(lost, 1 / (total + 1))  # at least one in total + 1
+        return cls(total, distinct, texts, discount, unseen, (1 - unseen) / (1 - lost) if lost < 1 else 1.0)
+
+    def kept(self, order: int, count: np.ndarray) -> np.ndarray:
+        """The discounted count."""
+        return self.discount[order - 1][np.minimum(np.maximum(count, 1), LARGEST + 1) - 1] * count
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """P of a word with this training count; of 0: of all unseen words together."""
         if not self.total:
             return np.ones(len(count))
-        d = self.word_discount[np.minimum(count, LARGEST + 1) - 1]
-        return np.where(count > 0, d * count * self.seen_scale / self.total, self.unseen)
+        return np.where(count > 0, self.kept(1, count) * self.seen_scale / self.total, self.unseen)
 
-    def finish(self, spectrum: np.ndarray) -> Model:
-        """Set what unseen words get: what the discount leaves, at least 1 in total + 1."""
-        r = np.arange(1, LARGEST + 1)
-        lost = float(((1 - self.word_discount[:-1]) * r * spectrum[:LARGEST]).sum()) / max(self.total, 1)
-        self.unseen = max(lost, 1 / (self.total + 1))
-        self.seen_scale = (1 - self.unseen) / (1 - lost) if lost < 1 else 1.0
-        return self
-
-    def histories(self, tally: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """c(v), f(v) and a(v) from the sums of ``_count_words``."""
-        c = tally.sum(1).astype(float)
+    def weights(self, c: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """f and a of histories: their counts, and of their seen followers the discounted counts and the lower order's P."""
         safe = np.maximum(c, 1)
-        kept = (tally * self.pair_discount).sum(1) / safe
-        left = np.maximum(1 - kept, 1 / (safe + 1))
-        scale = np.where(kept > 0, (1 - left) / np.where(kept > 0, kept, 1), 1.0)
-        followers = (low * self.word_discount).sum(1) * self.seen_scale / max(self.total, 1)
-        rest = np.maximum(1 - followers, 1e-300)
-        return c, np.where(c > 0, scale, 1.0), np.where(c > 0, left / rest, 1.0)
-
-
-def _weigh_histories(said: DataFrame, chunks: DataFrame, model: Model, parts: int) -> DataFrame:
-    """By history: c, f and a of each chunk's words (and the start), in their order."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                names = np.sort(np.append(_sorted_unpacked(words), np.uint64(START)))
-                at = _cut(names, parts)
-                yield _batch([(0, k, chunk, _sorted_packed(names[at[k] : at[k + 1]]), None, None) for k in range(parts) if at[k + 1] > at[k]], _SAID)
-
-    asked = chunks.select("chunk", "words").mapInArrow(ask, _SAID_SQL)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _grouped(batches):
-            have = [r for r in rows if r[0] == 1]
-            names = [_sorted_unpacked(r[2]) for r in have]
-            all_names, place = np.unique(np.concatenate([*names, np.zeros(0, np.uint64)]), return_inverse=True)
-            tally, low = np.zeros((len(all_names), LARGEST + 1)), np.zeros((len(all_names), LARGEST + 1))
-            for k in range(LARGEST + 1):
-                for into, field in ((tally, 3), (low, 4)):
-                    if have:
-                        into[:, k] = np.bincount(place, np.concatenate([_unpacked(r[field], np.int64)[k :: LARGEST + 1] for r in have]), minlength=len(all_names))
-            c, scale, back = model.histories(tally, low)
-            c, scale, back = np.append(c, 0.0), np.append(scale, 1.0), np.append(back, 1.0)  # last: unknown
-            for r in rows:
-                if r[0] == 0:
-                    want = _sorted_unpacked(r[2])
-                    at = np.searchsorted(all_names, want)
-                    found = np.zeros(len(want), bool)
-                    inside = at < len(all_names)
-                    found[inside] = all_names[at[inside]] == want[inside]
-                    at = np.where(found, at, len(all_names))
-                    yield _batch([(3, part, r[1], _packed(c[at].astype(np.int64)), _packed(scale[at]), _packed(back[at]))], _SAID)
-
-    both = said.filter("kind = 1").unionByName(asked).select("part", "kind", "chunk", "a", "b", "c")
-    return _dealt(both, "part", parts).mapInArrow(weigh, _SAID_SQL)
-
-
-def score_katz(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, partition_keys: int = PARTITION_KEYS) -> DataFrame:
+        share = kept / safe
+        left = np.maximum(1 - share, 1 / (safe + 1))
+        scale = np.where(share > 0, (1 - left) / np.where(share > 0, share, 1), 1.0)
+        rest = np.maximum(1 - lower, 1e-300)
+        return np.where(c > 0, scale, 1.0), np.where(c > 0, left / rest, 1.0)
+
+
+class _Scorer:
+    """A chunk with the answers it has so far; probabilities rise order by order."""
+
+    def __init__(self, chunk: _Chunk, model: Model, counts: list[tuple], bits: int, partial: dict[int, list[tuple]]) -> None:
+        self.chunk, self.model, self.bits, self.partial = chunk, model, bits, partial
+        self.total, self.marks = _collated(counts, [g.names for g in chunk.grams], bits, (np.int64, np.uint8))
+        self.p = model.unigram(self.total[0])
+
+    def shared(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Histories of the k-grams that other chunks have too, by place, and their names; all counts; sums here."""
+        g, below = self.chunk.grams[k - 1], self.chunk.grams[k - 2]
+        names = np.append(below.names, _named(_BEFORE[k - 1][None], 0))
+        count = np.append(self.total[k - 2], self.model.texts)
+        elsewhere = np.append(self.marks[k - 2] & SHARED, SHARED)  # other chunks have texts, too
+        used = np.zeros(len(names), bool)
+        used[g.before] = True
+        at = np.flatnonzero(used & (count > 0) & (elsewhere > 0))
+        at = at[np.argsort(names[at], kind="stable")]
+        mine = (self.marks[k - 1] & OWNED) > 0
+        kept = np.bincount(g.before[mine], self.model.kept(k, self.total[k - 1][mine]), minlength=len(names))
+        lower = np.bincount(g.before[mine], self.p[g.lower[mine]], minlength=len(names))
+        return at, names[at], count, [kept, lower]
+
+    def raise_to(self, k: int) -> None:
+        """Go on from P of the (k-1)-grams to P of the k-grams."""
+        g = self.chunk.grams[k - 1]
+        at, names, count, sums = self.shared(k)
+        for mine, theirs in zip(sums, _collated(self.partial.get(k, []), [names], self.bits, (np.float64, np.float64))):
+            mine[at] = theirs[0]
+        f, a = self.model.weights(count.astype(float), *sums)
+        total = self.total[k - 1]
+        seen = self.model.kept(k, total) / np.maximum(count[g.before], 1) * f[g.before]
+        self.p = np.where(total > 0, seen, a[g.before] * self.p[g.lower])
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score_katz(docs: DataFrame, order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS, partition_keys: int = PARTITION_KEYS, fan_bits: int = FAN_BITS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32(doc_id) mod 5 is 1 are scored only, the others are
@@ -356,45 +473,77 @@ def score_katz(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, partition_keys
     scored each. Without training text every token has probability 1 in the
     model, and an empty table gives an empty one.
     """
-    chunks = stored(_chunks(documents(docs), chunk_tokens), "chunks")
-    keys = chunks.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(1, math.ceil(keys * 6 / partition_keys))  # a word brings about six bigrams
-    said = stored(_count_words(_send_bigrams(chunks, parts), parts), "counts")
-    sums, spectrum = np.zeros(LARGEST + 3, np.int64), np.zeros(LARGEST + 1, np.int64)
-    for r in said.filter("kind = 2").select("a", "b").toLocalIterator():  # one short row for each partition
-        sums += _unpacked(r["a"], np.int64)
-        spectrum += _unpacked(r["b"], np.int64)
-    model = Model(int(sums[0]), int(sums[1]), discounts(sums[2:]), discounts(spectrum)).finish(sums[2:])
-    docs.sparkSession._jvm.System.gc()  # lets go of the finished shuffle's files
-    weighed = stored(_weigh_histories(said, chunks, model, parts), "histories")
-    answers = said.filter("kind = 0").select("chunk", "kind", "part", "a", "b", "c").unionByName(weighed.select("chunk", "kind", "part", "a", "b", "c"))
-    own = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(0).alias("part"), F.col("held").alias("a"), F.col("lengths").alias("b"), F.col("words").alias("c"), "codes", "ids")
-    empty = [F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("array<long>").alias("ids")]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches):
-            head = next(r for r in rows if r[0] == -1)
-            c = _Chunk.of(head[2], head[3], head[4], head[5])
-            said = sorted((r for r in rows if r[0] == 0), key=lambda r: r[1])
-            back = sorted((r for r in rows if r[0] == 3), key=lambda r: r[1])
-            pair_count = np.concatenate([_unpacked(r[2], np.int64) for r in said])
-            word_count = np.concatenate([_unpacked(r[3], np.int64) for r in said])
-            names = c.histories()
-            cv, scale, a = (np.concatenate([_unpacked(r[k], kind) for r in back]) for k, kind in ((2, np.int64), (3, float), (4, float)))
-            last, history, _, inverse = c.bigrams()
-            at = np.searchsorted(names, history)
-            p_word = model.unigram(word_count)
-            d = model.pair_discount[np.minimum(pair_count, LARGEST + 1) - 1]
-            p = np.where(pair_count > 0, d * pair_count / np.maximum(cv[at], 1) * scale[at], a[at] * p_word[last])
-            log_p = np.log10(np.maximum(p, 1e-300))[inverse]
-            base = np.log10((word_count + 0.5) / (model.total + 0.5 * (model.distinct + 1)))[c.codes]
-            known = (word_count > 0)[c.codes]
-            first = np.concatenate([[0], np.cumsum(c.lengths)[:-1]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(head[6], pa.int64()), pa.array(c.held), pa.array(c.lengths.astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.full(len(first), model.total, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(log_p, first))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    every = own.unionByName(answers.select("*", *empty))
-    n = max(1, chunks.count())
-    return _dealt(every, "chunk", min(n, 200_000)).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with scratch() as keep:
+        return keep(stored(_scored(documents(docs), order, chunk_tokens, partition_keys, fan_bits), "scores"))
+
+
+def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int, fan_bits: int) -> DataFrame:
+    chunks = stored(_chunks(docs, chunk_tokens), "chunks")
+    n_chunks, words, tokens, texts = (x or 0 for x in chunks.agg(F.count("*"), F.sum("n_words"), F.sum("n_tokens"), F.sum("n_train")).first())
+    needed = max(0, math.ceil(math.log2(max(1, (words + (order - 1) * tokens) / partition_keys))))
+    bits = min(fan_bits, needed)
+
+    def answers(sent: DataFrame, counting: bool, what: str) -> DataFrame:
+        return stored(_answered(sent, counting, bits, needed, fan_bits, partition_keys), what)
+
+    def chunk_of(row: tuple) -> _Chunk:
+        return _Chunk(*row, order)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                c = chunk_of(tuple(b.column(k)[i].as_py() for k in range(1, 5)))
+                yield from _messages(b.column(0)[i].as_py(), [g.names for g in c.grams], [np.concatenate([g.count for g in c.grams])], bits)
+
+    blob = ("held", "lengths", "words", "codes")
+    counts = answers(chunks.select("chunk", *blob).mapInArrow(count, _SENT_SQL), True, "counts")
+    spectra = [np.zeros(_CLASSES, np.int64) for _ in range(order)]
+    for r in counts.filter("sender is null").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most _CLASSES rows an order
+        spectra[r["part"] // _CLASSES - 1][r["part"] % _CLASSES] = r["n"]
+    model = Model.of(spectra, texts)
+
+    own = chunks.select("chunk", F.lit(-1).alias("turn"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), *blob, "ids")
+    empty = [F.lit(None).cast("binary").alias(c) for c in blob] + [F.lit(None).cast("array<long>").alias("ids")]
+    said = {1: counts}
+
+    def with_chunks(work: Callable[[int, tuple, _Scorer], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """``work`` on each chunk with all the answers to it."""
+        every = own
+        for turn, frame in said.items():
+            every = every.unionByName(frame.filter("sender is not null").select(F.col("sender").alias("chunk"), F.lit(turn).alias("turn"), "part", "a", "b", *empty))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, rows in _grouped(batches):
+                head = next(r for r in rows if r[0] == -1)
+                of = {turn: [r[1:4] for r in rows if r[0] == turn] for turn in {r[0] for r in rows} if turn > 0}
+                yield from work(chunk, head, _Scorer(chunk_of(head[4:8]), model, of.get(1, []), bits, of))
+
+        return _dealt(every, "chunk", n_chunks).mapInArrow(run, schema)
+
+    for k in range(2, order + 1):
+
+        def weigh(chunk: int, _: tuple, s: _Scorer, k: int = k) -> Iterator[pa.RecordBatch]:
+            for lower in range(2, k):
+                s.raise_to(lower)
+            at, names, _, sums = s.shared(k)
+            yield from _messages(chunk, [names], [x[at] for x in sums], bits)
+
+        said[k] = answers(with_chunks(weigh, _SENT_SQL), False, f"weights{k}")
+
+    def score(_: int, head: tuple, s: _Scorer) -> Iterator[pa.RecordBatch]:
+        for k in range(2, order + 1):
+            s.raise_to(k)
+        c, first = s.chunk, s.chunk.starts
+        log_p = np.log10(np.maximum(s.p, 1e-300))[c.grams[-1].of]
+        words = c.grams[0].of
+        base = np.log10((s.total[0] + 0.5) / (model.total + 0.5 * (model.distinct + 1)))[words]
+        known = (s.total[0] > 0)[words]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(head[8], pa.int64()), pa.array(c.held), pa.array(c.lengths.astype(np.int64)), pa.array(np.add.reduceat(known.astype(np.int64), first)),
+                pa.array(np.full(len(first), model.total, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(log_p, first)),
+            ],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return with_chunks(score, _SCORES)
