@@ -64,7 +64,7 @@ def _check_katz(docs, sizes):
         h = g[:-1]
         if not of[k][h]:
             return p(g[1:])
-        left = max(1 - kept[h], 1 / (of[k][h] + 1))
+        left = 1 - kept[h] if kept[h] < 1 - 1e-12 else 1 / (of[k][h] + 1)
         n = c[k][g]
         return d[k][min(n, 6) - 1] * n / of[k][h] * (1 - left) / kept[h] if n else left / (1 - lower[h]) * p(g[1:])
 

@@ -6,22 +6,26 @@
 c counts the training documents; d is the Good-Turing discount of counts up to
 ``LARGEST``, for each order; P(w) is the discounted unigram model, with what the
 discount leaves for all words not in training together; a(h) makes each history
-sum to one exactly. f(h) is 1 but for histories whose discount leaves next to
-nothing, where it is lowered so that a(h) stays above zero.
+sum to one exactly. f(h) is 1 but for histories all of whose followers are too
+frequent to be discounted, where it is c(h) / (c(h) + 1), so that a(h) stays
+above zero.
 
 All tables are partitioned and packed. A chunk of documents holds its tokens as
-places in its own sorted list of word hashes. Its distinct grams of each order
+places in its own list of word hashes. Its distinct grams of each order
 are sorted by a hash, and go in stretches of it, so no gram is hot: a chunk
 sends each partition every gram once, with its count.
 
 1. ``chunks``: tokens of some documents, about ``CHUNK_TOKENS`` together.
 2. Counts: partitions of the grams' hashes sum them up and answer each chunk,
    name one chunk the owner of each gram in training, and say which grams
-   several chunks have.
-3. Weights, order by order: what a history's seen followers lose to the
-   discount, and what the lower order gives them, is summed over the owned
-   grams. A history that occurs in one chunk only is summed there; others go by
-   way of the partitions of the histories' hashes.
+   several chunks have, and which a document outside training has.
+3. Weights: what is kept of a history's seen followers after the discount, and
+   what the lower order gives them, is summed over the owned grams. As the
+   lower order's f is the same for all followers of a history, this needs the
+   counts alone, for all orders at once. A history that occurs in one chunk is
+   summed there; others go by way of the partitions of the histories' hashes,
+   if any chunk has to know: for a follower that training has not, or one that
+   is not discounted.
 4. Each chunk looks its grams up, from the lowest order to the highest.
 
 A chunk sends 2 ** ``FAN_BITS`` messages at most. Where that makes partitions too
@@ -54,8 +58,8 @@ PARTITION_KEYS = 1_200_000
 FAN_BITS = 8
 #: Largest count that is discounted.
 LARGEST = 5
-#: The name of a text's end; no word has a blank.
-END = xxhash.xxh3_64_intdigest(b" end")
+#: A text's end; no word has a blank.
+END = b" end"
 #: Low bits of a gram's name, which hold its order.
 ORDER_BITS = 3
 _MASK = np.uint64((1 << ORDER_BITS) - 1)
@@ -93,27 +97,28 @@ def _named(h: np.ndarray, order: int) -> np.ndarray:
     return (h & ~_MASK) | np.uint64(order)
 
 
-class _Words(dict):
+class _Codes(dict):
+    """Each word's place among the distinct words, as they come."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        self[word] = n = len(self)
+        return n
 
 
 def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
-    """chunk, held, lengths, words (sorted hashes), codes (places in words), ids, and sizes."""
+    """chunk, held, lengths, words (hashes), codes (places in words), ids, and sizes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, part, n = _Words(), TaskContext.get().partitionId(), 0
-        ids, held, arrays, size = [], [], [], 0
+        part, n = TaskContext.get().partitionId(), 0
+        code, ids, held, arrays, size = _Codes(), [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            words, codes = np.unique(np.concatenate(arrays), return_inverse=True)
+            words = np.fromiter(map(xxhash.xxh3_64_intdigest, code), np.uint64, len(code))
+            codes = np.concatenate(arrays)
             lengths = np.array([len(a) for a in arrays], np.int32)
             row = [
-                [(part << 33) + n], [_packed(np.array(held, np.bool_))], [_packed(lengths)], [_keys_packed(words)],
-                [_packed(codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T)], [ids], [len(words)], [len(codes)], [len(held) - sum(held)],
+                [(part << 33) + n], [_packed(np.array(held, np.bool_))], [_packed(lengths)], [words.tobytes()],
+                [_packed(codes.view(np.uint8).reshape(-1, 4).T)], [ids], [len(words)], [len(codes)], [len(held) - sum(held)],
             ]
             kinds = [pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), *[pa.int64()] * 3]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["chunk", "held", "lengths", "words", "codes", "ids", "n_words", "n_tokens", "n_train"])
@@ -123,16 +128,14 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
                 b = whole.slice(at, 256)
                 for i, h, t in zip(*(b.column(k).to_pylist() for k in range(3))):
                     own = (t or "").encode().lower().split()
-                    tokens = np.empty(len(own) + 1, np.uint64)
-                    tokens[:-1] = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
-                    tokens[-1] = END
+                    own.append(END)
                     ids.append(i)
                     held.append(h)
-                    arrays.append(tokens)
-                    size += len(tokens)
+                    arrays.append(np.fromiter(map(code.__getitem__, own), np.int32, len(own)))
+                    size += len(own)
                     if size >= chunk_tokens:
                         yield flush()
-                        n, ids, held, arrays, size = n + 1, [], [], [], 0
+                        code, n, ids, held, arrays, size = _Codes(), n + 1, [], [], [], 0
         if arrays:
             yield flush()
 
@@ -144,7 +147,8 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
 class _Grams:
     """The distinct k-grams of a chunk, sorted by name.
 
-    ``count`` is their training count here; ``of`` is each token's gram, the
+    ``count`` is their training count here, ``sought`` whether a text outside
+    training has them; ``of`` is each token's gram, the
     one that ends with it; ``lower`` is a gram without its first word, and
     ``before`` its history, as places among the (k-1)-grams; a place past the
     end is the history before a text's first word.
@@ -153,6 +157,7 @@ class _Grams:
     names: np.ndarray
     of: np.ndarray
     count: np.ndarray
+    sought: np.ndarray
     lower: np.ndarray
     before: np.ndarray
 
@@ -164,35 +169,40 @@ class _Chunk:
         self.held, self.lengths = _unpacked(held, np.bool_), _unpacked(lengths, np.int32)
         flat = np.ascontiguousarray(_unpacked(codes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        train = np.repeat(~self.held, self.lengths)
-        word = _mixed(_keys_unpacked(words))[flat]
+        held = np.repeat(self.held, self.lengths)
+        train = ~held
         first = np.zeros(len(flat), bool)
         first[self.starts] = True
         self.grams: list[_Grams] = []
-        whole = word
         for k in range(1, order + 1):
-            if k > 1:  # the history's hash and the word's
+            if k == 1:
+                hashes = _mixed(np.frombuffer(words, np.uint64))
+                whole = word = hashes[flat]
+                names = _named(hashes, 1)
+                turn = np.argsort(names)
+                place = np.empty(len(turn), np.int32)
+                place[turn] = np.arange(len(turn), dtype=np.int32)
+                distinct, of = names[turn], place[flat]
+                lower = before = np.zeros(0, np.int64)
+            else:  # the history's hash and the word's
                 history = np.empty_like(whole)
                 history[1:] = whole[:-1]
                 history[self.starts] = _BEFORE[k - 1]
                 whole = _mixed(history * _ODD + word)
-            names = _named(whole, k)
-            turn = np.argsort(names)
-            ordered = names[turn]
-            new = np.ones(len(ordered), bool)
-            new[1:] = ordered[1:] != ordered[:-1]
-            of = np.empty(len(ordered), np.int32)
-            of[turn] = np.cumsum(new, dtype=np.int32) - 1
-            example, distinct = turn[new], ordered[new]
-            del turn, ordered, names
-            count = np.bincount(of[train], minlength=len(distinct))
-            if k == 1:
-                lower = before = np.zeros(0, np.int64)
-            else:
+                names = _named(whole, k)
+                turn = np.argsort(names)
+                ordered = names[turn]
+                new = np.ones(len(ordered), bool)
+                np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+                of = np.empty(len(ordered), np.int32)
+                of[turn] = np.cumsum(new, dtype=np.int32) - 1
+                example, distinct = turn[new], ordered[new]
                 below = self.grams[-1]
                 lower = below.of[example]
                 before = np.where(first[example], len(below.names), below.of[example - 1])
-            self.grams.append(_Grams(distinct, of, count, lower, before))
+            sought = np.zeros(len(distinct), np.uint8)
+            sought[of[held]] = 1
+            self.grams.append(_Grams(distinct, of, np.bincount(of[train], minlength=len(distinct)), sought, lower, before))
 
 
 def _cut(keys: np.ndarray, bits: int, skip: int = 0) -> np.ndarray:
@@ -228,59 +238,80 @@ def _dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
 
 
 #: part: the stretch of keys, by its leading bits; sender: who wants the answer; n: keys.
-_SENT = pa.schema([("part", pa.int64()), ("sender", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-_SENT_SQL = "part long, sender long, n long, keys binary, a binary, b binary"
-#: An answer has the keys' places in a message, in order. Without a sender: a class of counts, and n.
+#: a, b: training counts and whether sought; or sums of weights, and c: whether an answer is wanted.
+_SENT = pa.schema([("part", pa.int64()), ("sender", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_SENT_SQL = "part long, sender long, n long, keys binary, a binary, b binary, c binary"
+#: An answer is in the order of a message's keys. Without a sender: a class of counts, and n.
 _SAID = pa.schema([("sender", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _SAID_SQL = "sender long, part long, n long, a binary, b binary"
-#: Marks of a sender's key: it owns it; other senders have it too.
-OWNED, SHARED = np.uint8(1), np.uint8(2)
+#: Marks of a sender's key: it owns it; other senders have it too; some text outside training has it.
+OWNED, SHARED, SOUGHT = np.uint8(1), np.uint8(2), np.uint8(4)
 #: Classes of counts, for each order: keys with counts 1 to LARGEST + 1, all keys, and the sum of counts.
 _CLASSES = LARGEST + 3
 
 
+def _values_packed(x: np.ndarray) -> bytes:
+    """Numbers by their bytes, as most of them are small or alike."""
+    return _packed(x.view(np.uint8).reshape(-1, x.itemsize).T)
+
+
+def _values_unpacked(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(_unpacked(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 @dataclass
 class _Merged:
     """Messages of one stretch with equal keys put together."""
 
-    rows: list[tuple]  # sender, n, keys, a, b
+    rows: list[tuple]  # sender, n, keys, a, b, c
     counting: bool
     keys: np.ndarray = field(init=False)
     place: np.ndarray = field(init=False)
     sums: list[np.ndarray] = field(init=False)
     owner: np.ndarray | None = field(init=False, default=None)
+    asked: np.ndarray | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
         every = np.concatenate([_keys_unpacked(r[2]) for r in self.rows])
         self.keys, self.place = np.unique(every, return_inverse=True)
-        kind = np.int64 if self.counting else np.float64
-        self.sums = []
-        for k in (3,) if self.counting else (3, 4):
-            values = np.concatenate([_unpacked(r[k], kind) for r in self.rows])
-            self.sums.append(np.bincount(self.place, values, minlength=len(self.keys)).astype(kind))
-            if self.counting:  # the first message with an occurrence in training owns the key
-                seen = np.flatnonzero(values > 0)[::-1]
-                self.owner = np.full(len(self.keys), -1)
-                self.owner[self.place[seen]] = seen
+        kinds = (np.int64, np.uint8) if self.counting else (np.float64, np.float64)
+        values = [np.concatenate([_values_unpacked(r[3 + k], kind) for r in self.rows]) for k, kind in enumerate(kinds)]
+        self.sums = [np.bincount(self.place, v, minlength=len(self.keys)) for v in values]
+        if self.counting:
+            self.sums = [self.sums[0].astype(np.int64), (self.sums[1] > 0).astype(np.uint8)]
+            seen = np.flatnonzero(values[0] > 0)[::-1]  # the first message with an occurrence in training owns the key
+            self.owner = np.full(len(self.keys), -1)
+            self.owner[self.place[seen]] = seen
+        else:
+            self.asked = np.concatenate([_values_unpacked(r[5], np.uint8) for r in self.rows])
+
+    def onward(self) -> list[np.ndarray]:
+        """What goes on for the merged keys: their sums, and whether any sender wants an answer."""
+        if self.counting:
+            return self.sums
+        return [*self.sums, (np.bincount(self.place, self.asked, minlength=len(self.keys)) > 0).astype(np.uint8)]
 
     def answers(self, part: int, totals: list[np.ndarray], marks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """To each sender the totals of its keys; with counts the marks OWNED and SHARED.
+        """To each sender the totals of the keys it asks for; with counts the marks.
 
         ``marks`` are those that these messages together have from above.
         """
         at = 0
-        shared = (np.bincount(self.place, minlength=len(self.keys)) > 1).astype(np.uint8) * SHARED
+        if self.counting:
+            all_of = (np.bincount(self.place, minlength=len(self.keys)) > 1) * SHARED
+            all_of |= totals[1] * SOUGHT if marks is None else marks & (SHARED | SOUGHT)
         for sender, n, *_ in self.rows:
             place = self.place[at : at + n]
             if self.counting:
-                own = (self.owner[place] == np.arange(at, at + n)).astype(np.uint8) * OWNED
+                own = (self.owner[place] == np.arange(at, at + n)) * OWNED
                 if marks is not None:
                     own &= marks[place]
-                    shared |= marks & SHARED
-                b = _packed(own | shared[place])
+                yield _batch([(sender, part, n, _values_packed(totals[0][place]), _values_packed(own | all_of[place]))], _SAID)
             else:
-                b = _packed(totals[1][place])
-            yield _batch([(sender, part, n, _packed(totals[0][place]), b)], _SAID)
+                place = place[self.asked[at : at + n] > 0]
+                if len(place):
+                    yield _batch([(sender, part, len(place), _values_packed(totals[0][place]), _values_packed(totals[1][place]))], _SAID)
             at += n
 
 
@@ -312,46 +343,49 @@ def _answered(sent: DataFrame, counting: bool, done: int, needed: int, fan_bits:
     sent = stored(sent, "messages")
     groups = stored(sent.groupBy("part").agg(F.ceil(F.sum("n") / partition_keys).alias("groups")), "groups")
     number = F.pmod(F.xxhash64("sender"), F.col("groups"))
-    grouped = sent.join(small(groups), "part").select(F.xxhash64("part", number).alias("middle"), "sender", "n", "keys", "a", "b", "part")
+    grouped = sent.join(small(groups), "part").select(F.xxhash64("part", number).alias("middle"), "sender", "n", "keys", "a", "b", "c", "part")
     n_groups = int(groups.agg(F.sum("groups")).first()[0] or 1)
 
     def send_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for middle, rows in _grouped(batches):
-            m, part = _Merged(rows, counting), rows[0][5]
-            yield from _messages(middle, [m.keys], m.sums, bits, done, part)
+            m, part = _Merged(rows, counting), rows[0][6]
+            yield from _messages(middle, [m.keys], m.onward(), bits, done, part)
 
     onward = _dealt(grouped, "middle", n_groups).mapInArrow(send_on, _SENT_SQL)
     above = stored(_answered(onward, counting, done + bits, needed, fan_bits, partition_keys), "answers")
-    own = grouped.select("middle", F.lit(0).alias("kind"), "sender", "part", "n", "keys", "a", "b")
-    back = above.filter("sender is not null").select(F.col("sender").alias("middle"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("sender"), "part", "n", F.lit(None).cast("binary").alias("keys"), "a", "b")
+    own = grouped.select("middle", F.lit(0).alias("kind"), "sender", "part", "n", "keys", "a", "b", "c")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("keys", "c")]
+    back = above.filter("sender is not null").select(F.col("sender").alias("middle"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("sender"), "part", "n", none[0], "a", "b", none[1])
 
     def pass_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.uint8) if counting else (np.float64, np.float64)
         for _, rows in _grouped(batches):
             mine = [r for r in rows if r[0] == 0]
-            m = _Merged([(r[1], *r[3:7]) for r in mine], counting)
+            m = _Merged([(r[1], *r[3:8]) for r in mine], counting)
             said = sorted((r for r in rows if r[0] == 1), key=lambda r: r[2])
-            kind = np.int64 if counting else np.float64
-            totals = [np.concatenate([_unpacked(r[5], kind) for r in said])]
-            second = np.concatenate([_unpacked(r[6], np.uint8 if counting else np.float64) for r in said])
+            first, second = (np.concatenate([np.zeros(0, kind), *(_values_unpacked(r[k], kind) for r in said)]) for k, kind in zip((5, 6), kinds))
             if counting:
-                yield from m.answers(mine[0][2], totals, second)
-            else:
-                yield from m.answers(mine[0][2], [*totals, second])
+                yield from m.answers(mine[0][2], [first], second)
+            else:  # answers to the keys that were asked for
+                totals = [np.zeros(len(m.keys)), np.zeros(len(m.keys))]
+                wanted = m.onward()[2] > 0
+                totals[0][wanted], totals[1][wanted] = first, second
+                yield from m.answers(mine[0][2], totals)
 
     down = _dealt(own.unionByName(back), "middle", n_groups).mapInArrow(pass_down, _SAID_SQL)
     return down.unionByName(above.filter("sender is null"))
 
 
 def _messages(sender: int, keys: list[np.ndarray], sums: list[np.ndarray], bits: int, skip: int = 0, part: int = 0) -> Iterator[pa.RecordBatch]:
-    """Sorted arrays of keys with one array of values for all, cut into stretches."""
+    """Sorted arrays of keys with arrays of values for all of them together, cut into stretches."""
     at = [_cut(k, bits, skip) for k in keys]
     first = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     for i in range(1 << bits):
         cuts = [slice(a[i], a[i + 1]) for a in at]
         n = sum(s.stop - s.start for s in cuts)
         if n:
-            value = [_packed(np.concatenate([v[f + s.start : f + s.stop] for f, s in zip(first, cuts)])) for v in sums]
-            yield _batch([((part << bits) | i, sender, n, _keys_packed(np.concatenate([k[s] for k, s in zip(keys, cuts)])), value[0], value[1] if len(value) > 1 else None)], _SENT)
+            value = [_values_packed(np.concatenate([v[f + s.start : f + s.stop] for f, s in zip(first, cuts)])) for v in sums]
+            yield _batch([((part << bits) | i, sender, n, _keys_packed(np.concatenate([k[s] for k, s in zip(keys, cuts)])), value[0], value[1], value[2] if len(value) > 2 else None)], _SENT)
 
 
 def _collated(rows: list[tuple], keys: list[np.ndarray], bits: int, kinds: tuple[type, type]) -> list[list[np.ndarray]]:
@@ -360,7 +394,7 @@ def _collated(rows: list[tuple], keys: list[np.ndarray], bits: int, kinds: tuple
     out = [[np.zeros(len(k), kind) for k in keys] for kind in kinds]
     for part, *raw in rows:
         for into, data, kind in zip(out, raw, kinds):
-            values, done = _unpacked(data, kind), 0
+            values, done = _values_unpacked(data, kind), 0
             for array, a in zip(into, at):
                 n = a[part + 1] - a[part]
                 array[a[part] : a[part + 1]] = values[done : done + n]
@@ -420,45 +454,85 @@ class Model:
         """f and a of histories: their counts, and of their seen followers the discounted counts and the lower order's P."""
         safe = np.maximum(c, 1)
         share = kept / safe
-        left = np.maximum(1 - share, 1 / (safe + 1))
-        scale = np.where(share > 0, (1 - left) / np.where(share > 0, share, 1), 1.0)
-        rest = np.maximum(1 - lower, 1e-300)
-        return np.where(c > 0, scale, 1.0), np.where(c > 0, left / rest, 1.0)
+        none_left = share > 1 - 1e-12
+        f = np.where(none_left, safe / (safe + 1), 1.0)
+        left = np.where(none_left, 1 / (safe + 1), 1 - share)
+        return np.where(c > 0, f, 1.0), np.where(c > 0, left / np.maximum(1 - lower, 1e-300), 1.0)
+
+
+@dataclass
+class _Histories:
+    """The (k-1)-grams of a chunk as histories of its k-grams, and last the history before a first word.
+
+    ``kept`` and ``lower`` are sums over the owned grams; ``given`` marks the
+    histories whose sums here others may need, ``asked`` those whose sums are
+    needed from others; both by place, in the order of the names.
+    """
+
+    count: np.ndarray
+    kept: np.ndarray
+    lower: np.ndarray
+    sent: np.ndarray
+    names: np.ndarray
+    asked: np.ndarray
 
 
 class _Scorer:
-    """A chunk with the answers it has so far; probabilities rise order by order."""
+    """A chunk with the answers to it."""
 
-    def __init__(self, chunk: _Chunk, model: Model, counts: list[tuple], bits: int, partial: dict[int, list[tuple]]) -> None:
-        self.chunk, self.model, self.bits, self.partial = chunk, model, bits, partial
+    def __init__(self, chunk: _Chunk, model: Model, counts: list[tuple], bits: int) -> None:
+        self.chunk, self.model, self.bits = chunk, model, bits
         self.total, self.marks = _collated(counts, [g.names for g in chunk.grams], bits, (np.int64, np.uint8))
-        self.p = model.unigram(self.total[0])
 
-    def shared(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Histories of the k-grams that other chunks have too, by place, and their names; all counts; sums here."""
+    def histories(self, k: int) -> _Histories:
         g, below = self.chunk.grams[k - 1], self.chunk.grams[k - 2]
+        total, model = self.total[k - 1], self.model
+        count = np.append(self.total[k - 2], model.texts)
+        marks = np.append(self.marks[k - 2], SHARED | SOUGHT)
+        size = len(count)
+        mine = np.flatnonzero(self.marks[k - 1] & OWNED)
+        own = g.before[mine]
+        kept = np.bincount(own, model.kept(k, total[mine]), minlength=size)
+        # The lower order's P of a gram that training has, but for its history's f.
+        low = g.lower[mine]
+        if k == 2:
+            p = model.unigram(self.total[0][low])
+        else:
+            history = self.chunk.grams[k - 2].before[low]
+            p = model.kept(k - 1, self.total[k - 2][low]) / np.append(self.total[k - 3], model.texts)[history]
+        lower = np.bincount(own, p, minlength=size)
+        gives, asks = np.zeros(size, bool), np.zeros(size, bool)
+        gives[own] = True
+        asks[g.before[(total == 0) | (total > LARGEST)]] = True
+        shared = (marks & SHARED > 0) & (count > 0)
+        asks &= shared
+        gives &= shared & ((marks & SOUGHT > 0) | (count > LARGEST))
         names = np.append(below.names, _named(_BEFORE[k - 1][None], 0))
-        count = np.append(self.total[k - 2], self.model.texts)
-        elsewhere = np.append(self.marks[k - 2] & SHARED, SHARED)  # other chunks have texts, too
-        used = np.zeros(len(names), bool)
-        used[g.before] = True
-        at = np.flatnonzero(used & (count > 0) & (elsewhere > 0))
-        at = at[np.argsort(names[at], kind="stable")]
-        mine = (self.marks[k - 1] & OWNED) > 0
-        kept = np.bincount(g.before[mine], self.model.kept(k, self.total[k - 1][mine]), minlength=len(names))
-        lower = np.bincount(g.before[mine], self.p[g.lower[mine]], minlength=len(names))
-        return at, names[at], count, [kept, lower]
-
-    def raise_to(self, k: int) -> None:
-        """Go on from P of the (k-1)-grams to P of the k-grams."""
-        g = self.chunk.grams[k - 1]
-        at, names, count, sums = self.shared(k)
-        for mine, theirs in zip(sums, _collated(self.partial.get(k, []), [names], self.bits, (np.float64, np.float64))):
-            mine[at] = theirs[0]
-        f, a = self.model.weights(count.astype(float), *sums)
-        total = self.total[k - 1]
-        seen = self.model.kept(k, total) / np.maximum(count[g.before], 1) * f[g.before]
-        self.p = np.where(total > 0, seen, a[g.before] * self.p[g.lower])
+        sent = np.flatnonzero(gives | asks)
+        sent = sent[np.argsort(names[sent])]
+        return _Histories(count, kept, lower, sent, names[sent], asks[sent])
+
+    def probabilities(self, partial: list[tuple]) -> np.ndarray:
+        """P of each gram of the highest order; ``partial`` are the answers to ``histories``."""
+        model, order = self.model, len(self.chunk.grams)
+        of = [self.histories(k) for k in range(2, order + 1)]
+        kept, lower = _collated(partial, [h.names[h.asked] for h in of], self.bits, (np.float64, np.float64))
+        p = model.unigram(self.total[0])
+        f = np.ones(0)
+        for k, h in enumerate(of, 2):
+            g, total = self.chunk.grams[k - 1], self.total[k - 1]
+            at = h.sent[h.asked]
+            h.kept[at], h.lower[at] = kept[k - 2], lower[k - 2]
+            if k > 2:  # f of the history without its first word
+                h.lower *= f[np.append(self.chunk.grams[k - 2].lower, len(f) - 1)]
+            f, a = model.weights(h.count.astype(float), h.kept, h.lower)
+            # Where others have a history and nothing was asked, f is 1 and a is not needed.
+            shared = np.append(self.marks[k - 2] & SHARED, SHARED) > 0
+            shared[at] = False
+            f[shared] = 1.0
+            seen = model.kept(k, total) / np.maximum(h.count[g.before], 1) * f[g.before]
+            p = np.where(total > 0, seen, a[g.before] * p[g.lower])
+        return p
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -493,7 +567,8 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
         for b in batches:
             for i in range(b.num_rows):
                 c = chunk_of(tuple(b.column(k)[i].as_py() for k in range(1, 5)))
-                yield from _messages(b.column(0)[i].as_py(), [g.names for g in c.grams], [np.concatenate([g.count for g in c.grams])], bits)
+                values = [np.concatenate([g.count for g in c.grams]), np.concatenate([g.sought for g in c.grams])]
+                yield from _messages(b.column(0)[i].as_py(), [g.names for g in c.grams], values, bits)
 
     blob = ("held", "lengths", "words", "codes")
     counts = answers(chunks.select("chunk", *blob).mapInArrow(count, _SENT_SQL), True, "counts")
@@ -506,35 +581,33 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
     empty = [F.lit(None).cast("binary").alias(c) for c in blob] + [F.lit(None).cast("array<long>").alias("ids")]
     said = {1: counts}
 
-    def with_chunks(work: Callable[[int, tuple, _Scorer], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    def with_chunks(work: Callable[[int, tuple, _Scorer, list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """``work`` on each chunk with all the answers to it."""
-        every = own
+        every, turns = own, tuple(said)
         for turn, frame in said.items():
             every = every.unionByName(frame.filter("sender is not null").select(F.col("sender").alias("chunk"), F.lit(turn).alias("turn"), "part", "a", "b", *empty))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk, rows in _grouped(batches):
                 head = next(r for r in rows if r[0] == -1)
-                of = {turn: [r[1:4] for r in rows if r[0] == turn] for turn in {r[0] for r in rows} if turn > 0}
-                yield from work(chunk, head, _Scorer(chunk_of(head[4:8]), model, of.get(1, []), bits, of))
+                of = {turn: [r[1:4] for r in rows if r[0] == turn] for turn in turns}
+                del rows
+                yield from work(chunk, head, _Scorer(chunk_of(head[4:8]), model, of[1], bits), of.get(2, []))
 
         return _dealt(every, "chunk", n_chunks).mapInArrow(run, schema)
 
-    for k in range(2, order + 1):
-
-        def weigh(chunk: int, _: tuple, s: _Scorer, k: int = k) -> Iterator[pa.RecordBatch]:
-            for lower in range(2, k):
-                s.raise_to(lower)
-            at, names, _, sums = s.shared(k)
-            yield from _messages(chunk, [names], [x[at] for x in sums], bits)
+    def weigh(chunk: int, _: tuple, s: _Scorer, __: list[tuple]) -> Iterator[pa.RecordBatch]:
+        of = [s.histories(k) for k in range(2, order + 1)]
+        values = [np.concatenate([x[h.sent] for x, h in zip(sums, of)]) for sums in ([h.kept for h in of], [h.lower for h in of])]
+        yield from _messages(chunk, [h.names for h in of], [*values, np.concatenate([h.asked for h in of]).astype(np.uint8)], bits)
 
-        said[k] = answers(with_chunks(weigh, _SENT_SQL), False, f"weights{k}")
+    if order > 1:
+        said[2] = answers(with_chunks(weigh, _SENT_SQL), False, "weights")
 
-    def score(_: int, head: tuple, s: _Scorer) -> Iterator[pa.RecordBatch]:
-        for k in range(2, order + 1):
-            s.raise_to(k)
+    def score(_: int, head: tuple, s: _Scorer, partial: list[tuple]) -> Iterator[pa.RecordBatch]:
         c, first = s.chunk, s.chunk.starts
-        log_p = np.log10(np.maximum(s.p, 1e-300))[c.grams[-1].of]
+        p = s.probabilities(partial) if order > 1 else model.unigram(s.total[0])
+        log_p = np.log10(np.maximum(p, 1e-300))[c.grams[-1].of]
         words = c.grams[0].of
         base = np.log10((s.total[0] + 0.5) / (model.total + 0.5 * (model.distinct + 1)))[words]
         known = (s.total[0] > 0)[words]
