@@ -39,6 +39,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,9 @@ from pyspark.sql import functions as F
 from .common import documents, id_crc, scratch, small, stored
 
 ORDER = 3
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 2_200_000
 #: Keys that come together in one partition, before equal ones are merged.
-PARTITION_KEYS = 1_200_000
+PARTITION_KEYS = 2_400_000
 #: Partitions that one chunk, or group of messages, sends to: two to this power.
 FAN_BITS = 8
 #: Largest count that is discounted.
@@ -68,12 +69,17 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BEFORE = [np.uint64(xxhash.xxh3_64_intdigest(b" before %d" % k)) for k in range(1 << ORDER_BITS)]
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(x).data if x.size else b"")
 
 
 def _unpacked(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    return np.frombuffer(_zstd()[1].decompress(raw), kind)
 
 
 def _keys_packed(x: np.ndarray) -> bytes:
@@ -198,8 +204,9 @@ class _Chunk:
                 of[turn] = np.cumsum(new, dtype=np.int32) - 1
                 example, distinct = turn[new], ordered[new]
                 below = self.grams[-1]
+                del history, names, turn, ordered, new
                 lower = below.of[example]
-                before = np.where(first[example], len(below.names), below.of[example - 1])
+                before = np.where(first[example], np.int32(len(below.names)), below.of[example - 1])
             sought = np.zeros(len(distinct), np.uint8)
             sought[of[held]] = 1
             self.grams.append(_Grams(distinct, of, np.bincount(of[train], minlength=len(distinct)), sought, lower, before))
@@ -460,6 +467,11 @@ class Model:
         return np.where(c > 0, f, 1.0), np.where(c > 0, left / np.maximum(1 - lower, 1e-300), 1.0)
 
 
+def _shortened(x: np.ndarray) -> np.ndarray:
+    """Positive numbers to 36 binary places, which take less room."""
+    return (x.view(np.uint64) & ~np.uint64(0xFFFF)).view(np.float64)
+
+
 @dataclass
 class _Histories:
     """The (k-1)-grams of a chunk as histories of its k-grams, and last the history before a first word.
@@ -500,7 +512,7 @@ class _Scorer:
         else:
             history = self.chunk.grams[k - 2].before[low]
             p = model.kept(k - 1, self.total[k - 2][low]) / np.append(self.total[k - 3], model.texts)[history]
-        lower = np.bincount(own, p, minlength=size)
+        lower = _shortened(np.bincount(own, p, minlength=size))
         gives, asks = np.zeros(size, bool), np.zeros(size, bool)
         gives[own] = True
         asks[g.before[(total == 0) | (total > LARGEST)]] = True
