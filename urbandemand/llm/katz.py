@@ -39,7 +39,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +49,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, scratch, small, stored
+from .common import documents, dropped, id_crc, scratch, small, stored
 
 ORDER = 3
-CHUNK_TOKENS = 2_200_000
+CHUNK_TOKENS = 2_500_000
 #: Keys that come together in one partition, before equal ones are merged.
 PARTITION_KEYS = 2_400_000
 #: Partitions that one chunk, or group of messages, sends to: two to this power.
 FAN_BITS = 8
+#: Parts of the second exchange that run one after the other, so that their shuffle files aren't there at once.
+ROUNDS = 4
 #: Largest count that is discounted.
 LARGEST = 5
 #: A text's end; no word has a blank.
@@ -121,6 +123,10 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             words = np.fromiter(map(xxhash.xxh3_64_intdigest, code), np.uint64, len(code))
             codes = np.concatenate(arrays)
+            often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words get small codes
+            rank = np.empty(len(words), np.int32)
+            rank[often] = np.arange(len(words), dtype=np.int32)
+            words, codes = words[often], rank[codes]
             lengths = np.array([len(a) for a in arrays], np.int32)
             row = [
                 [(part << 33) + n], [_packed(np.array(held, np.bool_))], [_packed(lengths)], [words.tobytes()],
@@ -209,7 +215,7 @@ class _Chunk:
                 before = np.where(first[example], np.int32(len(below.names)), below.of[example - 1])
             sought = np.zeros(len(distinct), np.uint8)
             sought[of[held]] = 1
-            self.grams.append(_Grams(distinct, of, np.bincount(of[train], minlength=len(distinct)), sought, lower, before))
+            self.grams.append(_Grams(distinct, of, np.bincount(of[train], minlength=len(distinct)).astype(np.int32), sought, lower, before))
 
 
 def _cut(keys: np.ndarray, bits: int, skip: int = 0) -> np.ndarray:
@@ -468,17 +474,17 @@ class Model:
 
 
 def _shortened(x: np.ndarray) -> np.ndarray:
-    """Positive numbers to 36 binary places, which take less room."""
-    return (x.view(np.uint64) & ~np.uint64(0xFFFF)).view(np.float64)
+    """Positive numbers to 32 binary places, which take less room."""
+    return (x.view(np.uint64) & ~np.uint64(0xFFFFF)).view(np.float64)
 
 
 @dataclass
 class _Histories:
     """The (k-1)-grams of a chunk as histories of its k-grams, and last the history before a first word.
 
-    ``kept`` and ``lower`` are sums over the owned grams; ``given`` marks the
-    histories whose sums here others may need, ``asked`` those whose sums are
-    needed from others; both by place, in the order of the names.
+    ``kept`` and ``lower`` are sums over the owned grams. ``sent`` are the
+    places of the histories whose sums here others may need, or whose sums are
+    needed from others (``asked``), in the order of their ``names``.
     """
 
     count: np.ndarray
@@ -515,14 +521,18 @@ class _Scorer:
         lower = _shortened(np.bincount(own, p, minlength=size))
         gives, asks = np.zeros(size, bool), np.zeros(size, bool)
         gives[own] = True
-        asks[g.before[(total == 0) | (total > LARGEST)]] = True
+        # f is 1 where a follower here is discounted; a is needed where one is not in training.
+        asks[g.before[total > LARGEST]] = True
+        asks[g.before[(total > 0) & (total <= LARGEST)]] = False
+        asks[g.before[total == 0]] = True
         shared = (marks & SHARED > 0) & (count > 0)
         asks &= shared
         gives &= shared & ((marks & SOUGHT > 0) | (count > LARGEST))
-        names = np.append(below.names, _named(_BEFORE[k - 1][None], 0))
         sent = np.flatnonzero(gives | asks)
-        sent = sent[np.argsort(names[sent])]
-        return _Histories(count, kept, lower, sent, names[sent], asks[sent])
+        names = np.where(sent < size - 1, below.names[np.minimum(sent, size - 2)], _named(_BEFORE[k - 1][None], 0))
+        order = np.argsort(names)
+        sent, names = sent[order], names[order]
+        return _Histories(count, kept, lower, sent, names, asks[sent])
 
     def probabilities(self, partial: list[tuple]) -> np.ndarray:
         """P of each gram of the highest order; ``partial`` are the answers to ``histories``."""
@@ -579,7 +589,7 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
         for b in batches:
             for i in range(b.num_rows):
                 c = chunk_of(tuple(b.column(k)[i].as_py() for k in range(1, 5)))
-                values = [np.concatenate([g.count for g in c.grams]), np.concatenate([g.sought for g in c.grams])]
+                values = [np.concatenate([g.count for g in c.grams]).astype(np.int64), np.concatenate([g.sought for g in c.grams])]
                 yield from _messages(b.column(0)[i].as_py(), [g.names for g in c.grams], values, bits)
 
     blob = ("held", "lengths", "words", "codes")
@@ -614,7 +624,10 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
         yield from _messages(chunk, [h.names for h in of], [*values, np.concatenate([h.asked for h in of]).astype(np.uint8)], bits)
 
     if order > 1:
-        said[2] = answers(with_chunks(weigh, _SENT_SQL), False, "weights")
+        sent = stored(with_chunks(weigh, _SENT_SQL), "sums")
+        rounds = [answers(sent.filter(F.col("part") % ROUNDS == i), False, "weights") for i in range(min(ROUNDS, 1 << bits))]
+        dropped(sent)
+        said[2] = reduce(DataFrame.unionByName, rounds)
 
     def score(_: int, head: tuple, s: _Scorer, partial: list[tuple]) -> Iterator[pa.RecordBatch]:
         c, first = s.chunk, s.chunk.starts
