@@ -82,6 +82,17 @@ def _check_katz(docs, sizes):
         assert r.score == pytest.approx(sum(math.log10(p(g)) for g in grams(own, order)))
 
 
+def test_katz_sorting_by_low_bits():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 50, 5000):
+        keys = rng.integers(0, 2**64, n, dtype=np.uint64) >> np.uint64(rng.choice([0, 50])) << np.uint64(3)
+        keys[n // 2 :] = keys[: n - n // 2] ^ np.uint64(8)  # alike but for a low bit
+        turn, ordered = katz._sorted(keys)
+        assert (ordered == np.sort(keys)).all() and (keys[turn] == ordered).all() and (np.sort(turn) == np.arange(n)).all()
+        distinct, place, of = katz._distinct(keys)
+        assert (distinct == np.unique(keys)).all() and (keys[place] == distinct).all() and (distinct[of] == keys).all()
+
+
 def _components(texts):
     sets = {}
     for d, t in texts.items():

@@ -58,7 +58,7 @@ PARTITION_KEYS = 2_400_000
 #: Partitions that one chunk, or group of messages, sends to: two to this power.
 FAN_BITS = 8
 #: Parts of the second exchange that run one after the other, so that their shuffle files aren't there at once.
-ROUNDS = 4
+ROUNDS = 2
 #: Largest count that is discounted.
 LARGEST = 5
 #: A text's end; no word has a blank.
@@ -105,6 +105,35 @@ def _named(h: np.ndarray, order: int) -> np.ndarray:
     return (h & ~_MASK) | np.uint64(order)
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in rising order, and the hashes in it.
+
+    Plain sorting is much faster than sorting places, so places are sorted in
+    the low bits of the hashes; the few that this leaves out of order are put right.
+    """
+    low = np.uint64((1 << max(1, len(keys).bit_length())) - 1)
+    packed = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    turn = (packed & low).astype(np.int64)
+    ordered = keys[turn]
+    packed &= ~low
+    for i in np.flatnonzero(ordered[1:] < ordered[:-1]):
+        same = slice(np.searchsorted(packed, packed[i], "left"), np.searchsorted(packed, packed[i], "right"))
+        turn[same] = turn[same][np.argsort(ordered[same], kind="stable")]
+        ordered[same] = keys[turn[same]]
+    return turn, ordered
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in rising order, a place of each, and each key's place among them."""
+    turn, ordered = _sorted(keys)
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    of = np.empty(len(ordered), np.int32)
+    of[turn] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], turn[new], of
+
+
 class _Codes(dict):
     """Each word's place among the distinct words, as they come."""
 
@@ -190,27 +219,17 @@ class _Chunk:
             if k == 1:
                 hashes = _mixed(np.frombuffer(words, np.uint64))
                 whole = word = hashes[flat]
-                names = _named(hashes, 1)
-                turn = np.argsort(names)
-                place = np.empty(len(turn), np.int32)
-                place[turn] = np.arange(len(turn), dtype=np.int32)
-                distinct, of = names[turn], place[flat]
+                distinct, _, place = _distinct(_named(hashes, 1))
+                of = place[flat]
                 lower = before = np.zeros(0, np.int64)
             else:  # the history's hash and the word's
                 history = np.empty_like(whole)
                 history[1:] = whole[:-1]
                 history[self.starts] = _BEFORE[k - 1]
                 whole = _mixed(history * _ODD + word)
-                names = _named(whole, k)
-                turn = np.argsort(names)
-                ordered = names[turn]
-                new = np.ones(len(ordered), bool)
-                np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-                of = np.empty(len(ordered), np.int32)
-                of[turn] = np.cumsum(new, dtype=np.int32) - 1
-                example, distinct = turn[new], ordered[new]
+                del history
+                distinct, example, of = _distinct(_named(whole, k))
                 below = self.grams[-1]
-                del history, names, turn, ordered, new
                 lower = below.of[example]
                 before = np.where(first[example], np.int32(len(below.names)), below.of[example - 1])
             sought = np.zeros(len(distinct), np.uint8)
@@ -287,7 +306,7 @@ class _Merged:
 
     def __post_init__(self) -> None:
         every = np.concatenate([_keys_unpacked(r[2]) for r in self.rows])
-        self.keys, self.place = np.unique(every, return_inverse=True)
+        self.keys, _, self.place = _distinct(every)
         kinds = (np.int64, np.uint8) if self.counting else (np.float64, np.float64)
         values = [np.concatenate([_values_unpacked(r[3 + k], kind) for r in self.rows]) for k, kind in enumerate(kinds)]
         self.sums = [np.bincount(self.place, v, minlength=len(self.keys)) for v in values]
