@@ -1,6 +1,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,8 +116,125 @@ def test_whole_plan(spark):
     assert sorted(listed) == sorted(str(p.pop_id) for p in pops for _ in range(2))
     doc = json.loads(document.demand_document(d.points, d.named).first().document)
     assert len(doc["points"]) == len(points) and [p["id"] for p in doc["pops"]] == [str(i) for i in range(len(pops))]
-    again = osm.read_processed  # the reader of what the sink writes
-    assert callable(again)
+
+
+def test_processed_documents_are_read_back_and_rewritten(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    elements = driver_views.buildings(spark, sf).unionByName(driver_views.sites(spark, sf), allowMissingColumns=True)
+    d = plans.demand_of(elements, driver_views.places(spark))
+    where = str(tmp_path / "out")
+    document.write_documents(document.demand_document(d.points, d.named), where)
+    pop = "struct<residenceId:string,jobId:string,size:bigint,drivingDistance:bigint,drivingSeconds:bigint,id:string,drivingPath:array<array<double>>>"
+    schema = f"points array<struct<id:string>>, pops array<{pop}>, city string"
+    read = osm.read_processed(spark, where, schema).select("city", F.explode("pops").alias("p")).select("city", "p.*")
+    want = {(r.id, r.residence_id, r["size"], r.driving_distance) for r in d.named.collect()}
+    assert {(r.id, r.residenceId, r["size"], r.drivingDistance) for r in read.collect()} == want
+    # Routed, and written over.
+    routed = d.named.withColumn("driving_distance", F.col("driving_distance") + 1).withColumn("driving_path", F.array(F.array(F.lit(1.0), F.lit(2.0))))
+    document.write_documents(document.demand_document(d.points, routed), where)
+    again = osm.read_processed(spark, where, schema).select(F.explode("pops").alias("p")).select("p.*").collect()
+    assert {(r.id, r.residenceId, r["size"], r.drivingDistance - 1) for r in again} == want and all(r.drivingPath == [[1.0, 2.0]] for r in again)
+
+
+def test_building_numbers_by_blocks(spark):
+    from urbandemand.operators.grid_index import counted
+
+    rows = spark.createDataFrame([(c, o) for c in "ab" for o in range(0, 500, 3 + ord(c) % 2)], "city string, ordinal long")
+    got = counted(rows, block=16).collect()
+    for c in "ab":
+        assert [r.building for r in sorted((r for r in got if r.city == c), key=lambda r: r.ordinal)] == list(range(sum(r.city == c for r in got)))
+
+
+def test_nearest_in_cities_of_different_size(spark):
+    rng = np.random.default_rng(11)
+    place = lambda city, i, wide: (city, i, float(rng.uniform(0, wide)), float(rng.uniform(0, wide)))
+    at = spark.createDataFrame([(*place(c, i, w), i) for c, w, n in (("small", 0.01, 60), ("large", 30.0, 5), ("one", 1.0, 1)) for i in range(n)], "city string, place_id long, lon double, lat double, site_ord long")
+    rows = spark.createDataFrame([place(c, i, w) for c, w in (("small", 0.02), ("large", 40.0), ("one", 2.0), ("none", 1.0)) for i in range(80)], "city string, building_id long, lon double, lat double")
+    key = lambda r: (r.city, r.building_id, r.place_id)
+    assert sorted(map(key, assign.nearest_site(rows, at).collect())) == sorted(map(key, assign.nearest_site_brute(rows, at).collect()))
+
+
+def test_runway_features(spark, tmp_path):
+    import math
+
+    bent = element(1, {"aeroway": "runway"}, -79.4, 43.6)
+    bent["geometry"] = [{"lat": 43.6, "lon": -79.4}, {"lat": 43.61, "lon": -79.4}, {"lat": 43.61, "lon": -79.38}]
+    apron = element(2, {"aeroway": "apron"}, -79.39, 43.6)
+    got = {r.id: r for r in roads.runway_features(read(spark, tmp_path / "r.json", [bent, apron])).collect()}
+    assert (got[1].z_order, got[1].area, got[1].aeroway, got[1].kind) == (0, 0.0, None, "Polygon")
+    assert got[2].aeroway == "apron" and got[2].area > 0 and json.loads(got[2].coordinates)[0][0] == [apron["geometry"][0]["lon"], apron["geometry"][0]["lat"]]
+    # Every corner of the ring lies 30 m from the line.
+    north, east = 111195.08, 111195.08 * math.cos(math.radians(43.6066667))
+    line = [(p["lon"] * east, p["lat"] * north) for p in bent["geometry"]]
+
+    def away(x, y):
+        out = []
+        for (ax, ay), (bx, by) in zip(line, line[1:]):
+            t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            out.append(math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        return min(out)
+
+    ring = json.loads(got[1].coordinates)[0]
+    assert ring[0] == ring[-1] and all(away(x * east, y * north) < 30.05 for x, y in ring)
+    assert sum(abs(away(x * east, y * north) - 30) < 0.05 for x, y in ring) >= len(ring) - 2  # but for the inner corner
+
+
+def test_thumbnail(spark):
+    from urbandemand.plans.thumbnail import THIN, WIDE, drawn_shapes, thumbnails
+
+    square = "[[[0.0,0.0],[0.1,0.0],[0.1,0.1],[0.0,0.0]]]"
+    rows = [("a", "Polygon", square, {}), ("a", "MultiPolygon", f"[{square}]", {}), ("a", "LineString", "[[0.0,0.0],[0.1,0.0]]", {"min_zoom": "10"}), ("a", "MultiLineString", "[[[0.0,0.0],[0.1,0.0]],[[0.0,0.1],[0.1,0.1]]]", {"min_zoom": "9"}), ("a", "Point", "[0.0,0.0]", {}), ("b", "LineString", "[[0.0,0.0],[0.1,0.0]]", None)]
+    features = spark.createDataFrame(rows, "city string, kind string, coordinates string, properties map<string,string>")
+    shapes = drawn_shapes(features).collect()
+    assert sorted((s.city, s.kind) for s in shapes) == [("a", "MultiPolygon")] + [("a", "Polygon")] * 4 + [("b", "Polygon")]
+    low = sorted(round(min(y for _, y in json.loads(s.coordinates)[0]), 6) for s in shapes if s.coordinates != square and s.kind == "Polygon" and s.city == "a")
+    assert low == [-WIDE, -THIN, round(0.1 - WIDE, 6)]
+    svgs = {r.city: r.svg for r in thumbnails(features).collect()}
+    assert svgs["a"].count("<path") == 5 and svgs["b"].count("<path") == 1 and all(s.endswith("</svg>") for s in svgs.values())
+
+
+def test_tiles_zips_and_missing_files(spark, tmp_path):
+    import zipfile
+
+    from urbandemand.functions import text
+    from urbandemand.sources import tiles
+
+    (tmp_path / "t/a/12/3").mkdir(parents=True)
+    (tmp_path / "t/a/12/3/4.mvt").write_bytes(b"xy")
+    wanted = spark.createDataFrame([("a", 12, 3, 4), ("a", 12, 3, 5)], "city string, z int, x int, y int")
+    assert [(r.y, bytes(r.payload)) for r in tiles.read_tiles(spark, wanted, str(tmp_path / "t")).collect()] == [(4, b"xy")]
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("a.json", "{}")
+        z.writestr("b.txt", "no")
+    (tmp_path / "bad.zip").write_bytes(b"no pack")
+    assert [(r.name, bytes(r.payload)) for r in osm.read_zipped(spark, str(tmp_path / "*.zip")).collect()] == [("a.json", b"{}")]
+    assert osm.read_features(spark, str(tmp_path / "none.geojson"), "a").count() == 0
+    places = spark.createDataFrame([(0, "a", "first"), (1, "a", "second")], "city_ord int, code string, name string")
+    assert [r.name for r in osm.place_of(places, "a").collect()] == ["first"] and osm.place_of(places, "z").count() == 0
+    row = spark.range(1).select(text.spliced(F.lit("abcdef"), 1, 2, "X").alias("s"), text.url_encoded(F.lit("a b(c)~é")).alias("u"), text.has_ending(F.lit("x.json"), ".json", ".gz").alias("e")).first()
+    assert (row.s, row.u, row.e) == ("aXdef", "a%20b(c)~%C3%A9", True)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    import pytest as pt
+
+    from urbandemand.scratch import shared_dir
+
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, other=None):
+            return self.values.get(key, other)
+
+    class Session:
+        def __init__(self, master, path=None):
+            self.conf = Conf(**{"spark.master": master, "spark.checkpoint.dir": path})
+
+    with pt.raises(ValueError):
+        shared_dir(Session("yarn"))
+    assert shared_dir(Session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(Session("local[2]")).startswith("file:")
 
 
 def test_building_index_document(spark, tmp_path):

@@ -39,6 +39,24 @@ def south_west_north_east(bbox: Column) -> Column:
     return F.array(bbox[1], bbox[0], bbox[3], bbox[2])
 
 
+def spliced(text: Column, at: int, length: int, put: str = "") -> Column:
+    """``length`` characters from ``at`` on (0 is the first) replaced by ``put``."""
+    return F.concat(F.substring(text, 1, at), F.lit(put), F.substring(text, F.lit(at + length + 1), F.char_length(text)))
+
+
+def url_encoded(text: Column) -> Column:
+    """A text as part of an address: letters, digits and ``-_.!~*'()`` stay, a blank is ``%20``."""
+    out = F.url_encode(text)
+    for code, sign in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
+def has_ending(text: Column, *endings: str) -> Column:
+    """Whether a file's name ends with one of the endings."""
+    return F.exists(F.array(*map(F.lit, endings)), lambda e: F.endswith(text, e))
+
+
 def build_stamp(today: Column) -> Column:
     """The day before, as digits."""
     return F.date_format(F.date_sub(today, 1), "yyyyMMdd")

@@ -4,14 +4,12 @@ A building lies in the Voronoi cell of its nearest site, so no cell is built.
 Sites are put on a grid; a building looks at the sites of the nine cells around
 it, and its nearest of them is the nearest of all if it is no further than the
 edge of these cells. The rest look again on a grid four times as wide, until
-the nine cells hold every site. Each look is an equi-join on the cell, so
+the nine cells hold every site. Each city has cells of its own size. Each look is an equi-join on the cell, so
 neither side is broadcast whole or met by every row of the other.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,20 +28,20 @@ def nearest_site(buildings: DataFrame, sites: DataFrame, per_cell: float = PER_C
     """
     sites = stored(sites.select("city", "lon", "lat", "site_ord", "place_id"), "sites")  # read once a look
     around = sites.groupBy("city").agg(F.count("*").alias("n"), F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n_edge"))
-    shape = around.agg(F.max("n"), F.max(F.greatest(F.col("e") - F.col("w"), F.col("n_edge") - F.col("s")))).first()
-    n, extent = shape[0] or 0, max(shape[1] or 0.0, 1e-6)
-    if not n:
+    extent = F.greatest(F.col("e") - F.col("w"), F.col("n_edge") - F.col("s"), F.lit(1e-6))
+    around = stored(around.withColumn("extent", extent).withColumn("size0", extent / F.greatest(F.lit(1.0), F.sqrt(F.col("n") / per_cell))), "cities")
+    if not around.limit(1).count():
         return buildings.limit(0).withColumn("place_id", F.lit(None).cast("long")).withColumn("d2", F.lit(None).cast("double"))
     # A building outside the sites' box is moved to its edge to choose cells.
-    rest = buildings.join(around.select("city", "w", "s", "e", "n_edge"), "city")
+    rest = buildings.join(around.drop("n"), "city")
     x, y = F.least(F.greatest("lon", "w"), "e"), F.least(F.greatest("lat", "s"), "n_edge")
     own = [F.col(c) for c in buildings.columns]
-    frame = ["w", "s", "e", "n_edge"]
-    size = extent / max(1.0, math.sqrt(n / per_cell))
+    frame = ["w", "s", "e", "n_edge", "extent", "size0"]
+    wider = 1
     found: DataFrame | None = None
     while True:
-        last = size >= extent
-        cells = sites.join(around.select("city", "w", "s"), "city").select("city", F.floor((F.col("lon") - F.col("w")) / size).alias("cx"), F.floor((F.col("lat") - F.col("s")) / size).alias("cy"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), "site_ord", "place_id")
+        size = F.col("size0") * wider
+        cells = sites.join(around.select("city", "w", "s", "size0"), "city").select("city", F.floor((F.col("lon") - F.col("w")) / size).alias("cx"), F.floor((F.col("lat") - F.col("s")) / size).alias("cy"), F.col("lon").alias("slon"), F.col("lat").alias("slat"), "site_ord", "place_id")
         near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         looks = rest.select(*own, *frame, F.floor((x - F.col("w")) / size).alias("ox"), F.floor((y - F.col("s")) / size).alias("oy"), F.explode(near).alias("o")).select(*own, *frame, "ox", "oy", (F.col("ox") + F.col("o.dx")).alias("cx"), (F.col("oy") + F.col("o.dy")).alias("cy"))
         met = looks.join(cells, ["city", "cx", "cy"], "left")
@@ -52,17 +50,14 @@ def nearest_site(buildings: DataFrame, sites: DataFrame, per_cell: float = PER_C
         # How far the nine cells reach from the building on every side.
         west, south = F.col("w") + (F.col("ox") - 1) * size, F.col("s") + (F.col("oy") - 1) * size
         reach = F.least(F.col("lon") - west, west + 3 * size - F.col("lon"), F.col("lat") - south, south + 3 * size - F.col("lat"))
-        safe = F.lit(True) if last else (reach > 0) & (F.col("m.d2") < reach * reach * (1 - 1e-9))
-        if last:
-            done = best.select(*own, F.col("m.place_id").alias("place_id"), F.col("m.d2").alias("d2"))
-            return done if found is None else found.unionByName(done)
+        safe = (size >= F.col("extent")) | ((reach > 0) & (F.col("m.d2") < reach * reach * (1 - 1e-9)))
         best = stored(best.withColumn("safe", F.coalesce(safe, F.lit(False))), "nearest")
         done = best.filter("safe").select(*own, F.col("m.place_id").alias("place_id"), F.col("m.d2").alias("d2"))
         found = done if found is None else found.unionByName(done)
         rest = best.filter("not safe").select(*own, *frame)
         if not rest.limit(1).count():
             return found
-        size *= 4
+        wider *= 4
 
 
 def nearest_site_brute(buildings: DataFrame, sites: DataFrame) -> DataFrame:

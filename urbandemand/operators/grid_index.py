@@ -10,6 +10,9 @@ from ..functions.geo import box_of, cell, centroid, closed, stretched
 from ..functions.num import number
 from ..params import DEFAULTS, Params
 
+#: Ordinals whose rows are numbered in one task.
+ORDINAL_BLOCK = 1 << 16
+
 
 def city_box(elements: DataFrame) -> DataFrame:
     """West, south, east and north of all points of a city, short geometries included."""
@@ -38,14 +41,27 @@ def indexed_buildings(elements: DataFrame, params: Params = DEFAULTS) -> DataFra
     rows = rows.withColumn("c", centroid(F.col("polygon")))
     dims = grid_dims(city_box(elements), params.building_cell).select("city", F.col("west").alias("w"), F.col("south").alias("s"), "cell_x", "cell_y", "columns", "rows")
     rows = rows.join(dims, "city")
-    dense = F.row_number().over(Window.partitionBy("city").orderBy("ordinal")) - 1
-    rows = rows.withColumn("building", F.col("ordinal") if params.compat_ordinals else dense)
+    rows = rows.withColumn("building", F.col("ordinal")) if params.compat_ordinals else counted(rows)
     return rows.select(
         "city", "building", "ordinal", "b.west", "b.south", "b.east", "b.north", "depth", "polygon",
         cell(F.col("c.lon"), F.col("w"), F.col("cell_x"), F.col("columns")).alias("x"), cell(F.col("c.lat"), F.col("s"), F.col("cell_y"), F.col("rows")).alias("y"),
     )
 
 
+def counted(rows: DataFrame, block: int = ORDINAL_BLOCK) -> DataFrame:
+    """Adds ``building``, a row's dense number in its city in the order of ``ordinal``.
+
+    Ordinals are taken in blocks: rows of a block are counted in one task, and
+    the blocks' counts, a few numbers, are summed up in order.
+    """
+    rows = rows.withColumn("block", F.floor(F.col("ordinal") / block))
+    per_block = rows.groupBy("city", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("city").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    start = per_block.select("city", "block", F.coalesce(before, F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("city", "block").orderBy("ordinal")) - 1
+    return rows.withColumn("within", within).join(start, ["city", "block"]).withColumn("building", F.col("start") + F.col("within")).drop("block", "start", "within")
+
+
 def grid_cells(indexed: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``city, x, y, buildings``: ids of each cell's buildings in order."""
     rows = indexed if params.compat_ordinals else indexed.filter("x is not null and y is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import closed, ring_area, unmercator_lat, unmercator_lon
+from ..functions.shapes import buffer_metres
 from ..functions.text import street_name
 from ..lookups import AEROWAYS, ROAD_CLASS, looked_up
 from ..params import DEFAULTS, Params
@@ -34,6 +35,14 @@ def runway_properties(elements: DataFrame) -> DataFrame:
     )
 
 
+def runway_features(elements: DataFrame) -> DataFrame:
+    """Runway features: an area with its own ring, a line with the ring around it, as JSON coordinates."""
+    rows = runway_properties(elements)
+    line = F.to_json(line_of(F.col("geometry")))
+    ring = F.when(F.col("buffer_m").isNull(), line).otherwise(buffer_metres(line, F.col("buffer_m")))
+    return rows.select("city", "id", "road_type", "z_order", "aeroway", "osm_way_id", "area", F.lit("Polygon").alias("kind"), F.concat(F.lit("["), ring, F.lit("]")).alias("coordinates"))
+
+
 def ocean_ring(rings: Column) -> Column:
     """Rings in degrees: web-map metres are turned back where the first point is out of range."""
     metres = F.abs(rings[0][0][0]) > 180

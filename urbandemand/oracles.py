@@ -67,7 +67,7 @@ ORACLE_SQL: dict[str, str] = {
     "site_capacity": f"WITH {_NEAREST} SELECT place_id, residents, jobs FROM cap",
     "site_shares": f"WITH {_SHARES} SELECT place_id, resident_share, job_share FROM sh",
     "zero_sites": f"WITH {_NEAREST} SELECT place_id FROM s WHERE place_id NOT IN (SELECT place_id FROM near)",
-    "pair_distance": f"WITH {_SITES} SELECT a.place_id AS a, b.place_id AS b, floor({_metres('a', 'b')} + 0.5E0)::BIGINT AS metres, floor({_metres('a', 'b')} * 0.12E0 + 0.5E0)::BIGINT AS seconds FROM s a, s b WHERE a.place_id <= 200 AND b.place_id <= 200",
+    "pair_distance": f"WITH {_SITES} SELECT a.place_id AS a, b.place_id AS b, floor({_metres('a', 'b')} + 0.5E0)::BIGINT AS metres, floor({_metres('a', 'b')} * 0.12E0 + 0.5E0)::BIGINT AS seconds FROM s a, s b",
     "flows": f"WITH {_FLOWS} SELECT home, work, round(flow, 6) AS flow, floor(metres + 0.5E0)::BIGINT AS metres FROM f",
     "flow_splits": f"WITH {_FLOWS} SELECT home, work, count(*) AS parts, sum(size)::BIGINT AS size FROM g GROUP BY home, work",
     "pops": f"WITH {_FLOWS} SELECT * FROM np",
@@ -104,7 +104,7 @@ SELECT city, 12 AS z, x, unnest(range(y0, y1 + 1))::INT AS y FROM (SELECT *, unn
     "runway_features": f"WITH {_BOXES}, q AS (SELECT *, ['runway', 'taxiway', 'apron', 'gate'][building_id % 4 + 1] AS kind FROM b) SELECT building_id AS id, 'runway' AS road_type, CASE WHEN kind <> 'apron' THEN 0 END AS z_order, CASE WHEN kind = 'apron' THEN kind END AS aeroway, building_id::VARCHAR AS osm_way_id, CASE WHEN kind = 'apron' THEN round({_R} * {_R} * radians(east - west) * (sin(radians(north)) - sin(radians(south))), 3) ELSE 0.0E0 END AS area FROM q WHERE kind <> 'gate'",
     "number_coercion": f"WITH g AS (SELECT p_partkey, ['12', '3.5', '3;4', '', '1d', 'inf', '.5', '-2', '1e2'][p_partkey % 9 + 1] AS v FROM part), n AS (SELECT p_partkey, v, CASE WHEN v = '' THEN 0.0E0 WHEN regexp_matches(v, '{_NUM}') THEN v::DOUBLE END AS value FROM g) SELECT p_partkey, value, greatest(coalesce(value, 1.0E0), 1.0E0) AS levels, CASE v WHEN '3;4' THEN 3.0E0 WHEN '1d' THEN 1.0E0 ELSE coalesce(value, 0.0E0) END AS leading FROM n",
     "last_wins": "SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, min(o_orderkey) AS ordinal FROM orders GROUP BY o_custkey",
-    "key_order": "WITH o AS (SELECT o_orderkey, o_orderkey * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 10000000000 END AS id FROM orders WHERE o_orderkey % 7 = 0) SELECT id, CASE WHEN id < 4294967295 THEN 0 ELSE 1 END AS class, CASE WHEN id < 4294967295 THEN id END AS as_number, CASE WHEN id >= 4294967295 THEN -o_orderkey END AS as_placed FROM o",
+    "key_order": "WITH o AS (SELECT o_orderkey, o_orderkey * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 10000000000 END AS id FROM orders) SELECT id, CASE WHEN id < 4294967295 THEN 0 ELSE 1 END AS class, CASE WHEN id < 4294967295 THEN id END AS as_number, CASE WHEN id >= 4294967295 THEN -o_orderkey END AS as_placed FROM o",
     "route_enrich": f"""WITH {_FLOWS},
 q AS (SELECT np.*, (length(residence_id) + length(job_id)) % 2 = 0 AS routed FROM np)
 SELECT routed, count(*) AS n, sum(CASE WHEN routed THEN 4 ELSE 0 END)::BIGINT AS points, sum(CASE WHEN routed THEN 61 ELSE driving_seconds END)::BIGINT AS seconds FROM q GROUP BY routed""",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +78,10 @@ def unioned(*scans: DataFrame) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, city: str) -> DataFrame:
-    """``city, feature, kind, coordinates, properties`` of a GeoJSON file; no rows where it has none."""
+    """``city, feature, kind, coordinates, properties`` of a GeoJSON file; no rows where it has none or is missing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], "city string, feature int, kind string, coordinates string, properties map<string,string>")
     rows = spark.read.schema(FEATURES).option("multiLine", True).json(path)
     at = rows.select(F.posexplode("features").alias("feature", "f"))
     return at.select(F.lit(city).alias("city"), "feature", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
@@ -84,6 +92,28 @@ def read_places(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONFIG).option("multiLine", True).json(path).select(F.posexplode("places").alias("city_ord", "p")).select("city_ord", "p.*")
 
 
+def place_of(places: DataFrame, code: str) -> DataFrame:
+    """The place with a code, of several the first."""
+    return places.filter(F.col("code") == code).orderBy("city_ord").limit(1)
+
+
+def read_zipped(spark: SparkSession, path: str, endings: tuple[str, ...] = (".json", ".geojson")) -> DataFrame:
+    """``pack, name, payload``: files of those endings in zip packs; a pack that can't be read has none."""
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for pack, content in zip(b["path"], b["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for name in z.namelist():
+                            if name.endswith(endings):
+                                yield pd.DataFrame([(pack, name, z.read(name))], columns=["pack", "name", "payload"])
+                except (zipfile.BadZipFile, EOFError):
+                    continue
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpacked, "pack string, name string, payload binary")
+
+
 def read_processed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Documents that a sink has written."""
     return spark.read.schema(schema).json(path)
