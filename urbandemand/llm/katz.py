@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from .common import documents, dropped, id_crc, scratch, small, stored
 
 ORDER = 3
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 2_300_000
 #: Keys that come together in one partition, before equal ones are merged.
 PARTITION_KEYS = 2_400_000
 #: Partitions that one chunk, or group of messages, sends to: two to this power.
@@ -211,7 +211,7 @@ class _Chunk:
         flat = np.ascontiguousarray(_unpacked(codes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         held = np.repeat(self.held, self.lengths)
-        train = ~held
+        held = np.flatnonzero(held)
         first = np.zeros(len(flat), bool)
         first[self.starts] = True
         self.grams: list[_Grams] = []
@@ -232,9 +232,9 @@ class _Chunk:
                 below = self.grams[-1]
                 lower = below.of[example]
                 before = np.where(first[example], np.int32(len(below.names)), below.of[example - 1])
-            sought = np.zeros(len(distinct), np.uint8)
-            sought[of[held]] = 1
-            self.grams.append(_Grams(distinct, of, np.bincount(of[train], minlength=len(distinct)).astype(np.int32), sought, lower, before))
+            outside = np.bincount(of[held], minlength=len(distinct))
+            count = np.bincount(of, minlength=len(distinct)) - outside
+            self.grams.append(_Grams(distinct, of, count.astype(np.int32), (outside > 0).astype(np.uint8), lower, before))
 
 
 def _cut(keys: np.ndarray, bits: int, skip: int = 0) -> np.ndarray:
