@@ -36,6 +36,7 @@ input, not with its square.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -52,7 +53,7 @@ from pyspark.sql import functions as F
 from .common import documents, dropped, id_crc, scratch, small, stored
 
 ORDER = 3
-CHUNK_TOKENS = 2_300_000
+CHUNK_TOKENS = 2_200_000
 #: Keys that come together in one partition, before equal ones are merged.
 PARTITION_KEYS = 2_400_000
 #: Partitions that one chunk, or group of messages, sends to: two to this power.
@@ -71,6 +72,19 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BEFORE = [np.uint64(xxhash.xxh3_64_intdigest(b" before %d" % k)) for k in range(1 << ORDER_BITS)]
 
 
+@cache
+def _trimmer() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: memory is given back when it likes
+        return lambda _: 0
+
+
+def _given_back() -> None:
+    """Memory of arrays that are gone goes back to the system, which workers kept for the next task would hold."""
+    _trimmer()(0)
+
+
 @cache
 def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -177,8 +191,11 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
                     if size >= chunk_tokens:
                         yield flush()
                         code, n, ids, held, arrays, size = _Codes(), n + 1, [], [], [], 0
+                        _given_back()
         if arrays:
             yield flush()
+        del code, arrays
+        _given_back()
 
     rows = docs.select("doc_id", (id_crc(F.col("doc_id")) % 5 == 1).alias("held_out"), "text")
     return rows.mapInArrow(make, "chunk long, held binary, lengths binary, words binary, codes binary, ids array<long>, n_words long, n_tokens long, n_train long")
@@ -366,6 +383,8 @@ def _answered(sent: DataFrame, counting: bool, done: int, needed: int, fan_bits:
             yield from m.answers(part, m.sums)
             if counting:
                 yield _batch(_spectrum(m.keys, m.sums[0]), _SAID)
+            del m, rows
+            _given_back()
 
     if done >= needed:
         return _dealt(sent, "part", 1 << done).mapInArrow(merge, _SAID_SQL)
@@ -610,6 +629,8 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
                 c = chunk_of(tuple(b.column(k)[i].as_py() for k in range(1, 5)))
                 values = [np.concatenate([g.count for g in c.grams]).astype(np.int64), np.concatenate([g.sought for g in c.grams])]
                 yield from _messages(b.column(0)[i].as_py(), [g.names for g in c.grams], values, bits)
+                del c, values
+                _given_back()
 
     blob = ("held", "lengths", "words", "codes")
     counts = answers(chunks.select("chunk", *blob).mapInArrow(count, _SENT_SQL), True, "counts")
@@ -634,6 +655,8 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
                 of = {turn: [r[1:4] for r in rows if r[0] == turn] for turn in turns}
                 del rows
                 yield from work(chunk, head, _Scorer(chunk_of(head[4:8]), model, of[1], bits), of.get(2, []))
+                del head, of
+                _given_back()
 
         return _dealt(every, "chunk", n_chunks).mapInArrow(run, schema)
 
