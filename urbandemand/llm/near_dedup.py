@@ -44,6 +44,8 @@ LEAST_DEPTH = 2
 CHAINED = 3
 #: Shingles of a region's classes that one task holds together.
 REGION_SHINGLES = 2_000_000
+#: Rows of a region that may meet in one task of a join.
+REGION_ROWS = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20)
@@ -262,11 +264,26 @@ def _overlapping(comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, in
     return out
 
 
+def _told(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with what ``known`` says of their regions; rows of other regions go.
+
+    ``known`` is stored, with one row and a count ``m`` of rows for each region.
+    If it is too large for broadcast, the regions of many rows, which are few,
+    are joined apart from the rest, so that no task gets all rows of one.
+    """
+    side = small(known)
+    if side is not known:
+        return rows.join(side, "region").drop("m")
+    large = stored(known.filter(F.col("m") > REGION_ROWS), "large")
+    rest = rows.join(small(large), "region", "left_anti").join(known.filter(F.col("m") <= REGION_ROWS), "region")
+    return rows.join(small(large), "region").unionByName(rest).drop("m")
+
+
 def _open(forest: DataFrame, comp: DataFrame) -> DataFrame:
     """The forest's rows in regions that hold several components."""
     at = forest.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    several = at.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("region")
-    return stored(at.join(several, "region").select("region", "v1", "v2", "v3", "rep", "comp", "n"), "open")
+    several = at.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).filter("low <> high").select("region", "m")
+    return stored(_told(at, stored(several, "several")).select("region", "v1", "v2", "v3", "rep", "comp", "n"), "open")
 
 
 def _deeper(open_: DataFrame, limit: int) -> DataFrame | None:
@@ -276,25 +293,26 @@ def _deeper(open_: DataFrame, limit: int) -> DataFrame | None:
     """
     divided = None
     for column in ("v1", "v2", "v3"):
-        sizes = open_.groupBy("region").agg(F.sum("n").alias("held")).filter(F.col("held") > limit)
+        sizes = stored(open_.groupBy("region").agg(F.sum("n").alias("held")).filter(F.col("held") > limit), "sizes")
         if not sizes.limit(1).count():
             break
-        divided = open_.join(sizes, "region", "left").withColumn("region", F.when(F.col("held").isNotNull(), F.xxhash64("region", column)).otherwise(F.col("region"))).drop("held")
+        divided = open_.join(small(sizes), "region", "left").withColumn("region", F.when(F.col("held").isNotNull(), F.xxhash64("region", column)).otherwise(F.col("region"))).drop("held")
         open_ = divided = stored(divided, "open")
     if divided is None:
         return None
     sizes = divided.groupBy("region").agg(F.sum("n").alias("held"), F.count("*").alias("m")).filter("m > 1")
+    sizes = stored(sizes, "sizes")
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("held") / limit))
-    return divided.join(sizes, "region").select(F.when(F.col("held") > limit, F.xxhash64("region", block)).otherwise(F.col("region")).alias("region"), "rep", "comp")
+    return _told(divided, sizes).select(F.when(F.col("held") > limit, F.xxhash64("region", block)).otherwise(F.col("region")).alias("region"), "rep", "comp")
 
 
 def _blocks(open_: DataFrame, limit: int) -> DataFrame:
     """``region, rep, comp`` such that every two components of a region meet in full somewhere."""
-    per = open_.groupBy("region", "comp").agg(F.sum("n").alias("held"))
-    sizes = per.groupBy("region").agg(F.max_by("comp", "held").alias("main"), F.max("held").alias("of_main"), F.sum("held").alias("held"))
+    per = open_.groupBy("region", "comp").agg(F.sum("n").alias("held"), F.count("*").alias("m"))
+    sizes = stored(per.groupBy("region").agg(F.max_by("comp", "held").alias("main"), F.max("held").alias("of_main"), F.sum("held").alias("held"), F.sum("m").alias("m")), "sizes")
     parts = lambda c: F.greatest(F.lit(1), F.ceil(c / limit)).cast("int")
     fits = F.col("held") <= limit
-    sized = open_.join(sizes, "region").withColumn("mains", F.when(fits, 1).otherwise(parts(F.col("of_main")))).withColumn("others", F.when(fits, 1).otherwise(parts(F.col("held") - F.col("of_main"))))
+    sized = _told(open_, sizes).withColumn("mains", F.when(fits, 1).otherwise(parts(F.col("of_main")))).withColumn("others", F.when(fits, 1).otherwise(parts(F.col("held") - F.col("of_main"))))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     main = F.transform(all_of("others"), lambda j: F.xxhash64("region", F.lit(0), place("mains"), j))
@@ -401,5 +419,5 @@ def without_near_duplicates(docs: DataFrame, region_shingles: int = REGION_SHING
     """``docs`` with the document of each group that ``near_duplicates`` keeps."""
     with scratch() as keep:
         leave = near_duplicates(docs, region_shingles).filter("not kept").select(F.col("doc_id").alias("its_id")).distinct()
-        leave = keep(stored(leave, "leave"))
-    return docs.join(small(leave), F.col("doc_id").cast("long") == F.col("its_id"), "left_anti")
+        leave = small(keep(stored(leave, "leave")))
+    return docs.join(leave, docs["doc_id"].cast("long") == leave["its_id"], "left_anti")
