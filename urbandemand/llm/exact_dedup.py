@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, small, stored
+from .common import documents, dropped, scratch, small, stored
 
 BLOCK_BYTES = 1024
 
@@ -113,10 +113,11 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     docs = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.col("text").cast("binary").alias("raw"))
-    ids = text_identities(rows, block_bytes)
     light = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    one = light.join(ids, [light.doc_id.eqNullSafe(ids.doc_id), light.text_sha256 == ids.sha], "left")
-    one = stored(one.select(light.doc_id, "text_sha256", "level", "name"), "identities")
+    with scratch() as keep:
+        ids = text_identities(rows, block_bytes)
+        one = light.join(ids, [light.doc_id.eqNullSafe(ids.doc_id), light.text_sha256 == ids.sha], "left")
+        one = keep(stored(one.select(light.doc_id, "text_sha256", "level", "name"), "identities"))
     groups = one.filter("name is not null").groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     shared = one.filter("name is not null").join(groups, ["level", "name"])
     alone = one.filter("name is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
@@ -127,14 +128,23 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with one row of each text: the one ``exact_dedup`` keeps.
 
-    Of rows that repeat a doc_id and text one stays; which, where their other
-    columns differ, is not defined.
+    Of rows that repeat a doc_id and text the one stays whose columns, written
+    as JSON, sort first. A null text is equal to an empty one.
     """
-    found = exact_dedup(docs, block_bytes).filter("group_size > 1").select(F.col("doc_id").alias("its_id"), F.col("text_sha256").alias("its_sha"), "kept")
-    found = stored(found, "copies")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256) == F.col("its_sha"))
-    left = docs.join(small(stored(found.filter("not kept").select("its_id", "its_sha").distinct(), "leave")), same, "left_anti")
-    repeated = stored(found.filter("kept").groupBy("its_id", "its_sha").count().filter("count > 1").select("its_id", "its_sha"), "repeated")
+    sha = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+
+    def joined(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        side = small(named)  # columns are taken by frame, as ``docs`` may have others of these names
+        return rows.join(side, docs["doc_id"].cast("long").eqNullSafe(side["its_id"]) & (sha == side["its_sha"]), how)
+
+    with scratch() as keep:
+        found = exact_dedup(docs, block_bytes).filter("group_size > 1").select(F.col("doc_id").alias("its_id"), F.col("text_sha256").alias("its_sha"), "kept")
+        found = stored(found, "copies")
+        leave = keep(stored(found.filter("not kept").select("its_id", "its_sha").distinct(), "leave"))
+        repeated = keep(stored(found.filter("kept").groupBy("its_id", "its_sha").count().filter("count > 1").select("its_id", "its_sha"), "repeated"))
+    left = joined(docs, leave, "left_anti")
     if not repeated.limit(1).count():
         return left
-    return left.join(small(repeated), same, "left_anti").unionByName(left.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    first = joined(left, repeated, "left_semi").groupBy(docs["doc_id"].cast("long").alias("own_id"), sha.alias("own_sha")).agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("row"))
+    return joined(left, repeated, "left_anti").unionByName(first.select("row.*"))
