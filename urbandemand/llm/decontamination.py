@@ -193,6 +193,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH)
     """``docs`` without the rows in which a window of an item occurs."""
     with scratch() as keep:
         _, _, met = _indexed(documents(docs), items, width, 0)
-        hit = keep(stored(met.select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).distinct(), "contaminated"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("its_mark"))
-    return docs.join(small(hit), same, "left_anti")
+        hit = small(keep(stored(met.select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).distinct(), "contaminated")))
+    same = docs["doc_id"].cast("long").eqNullSafe(hit["its_id"]) & (F.xxhash64(docs["text"].cast("string")) == hit["its_mark"])
+    return docs.join(hit, same, "left_anti")
