@@ -16,7 +16,7 @@ from urbandemand.llm.quality import fit_quality, score_quality
 from urbandemand.llm.secret_scan import scan_secrets
 from urbandemand.llm.toxicity import fit_toxicity, score_toxicity
 
-CLASHING = "doc_id long, text string, lang string, source string, n_chars long, kept string, name string, score string, place string, digest string, rep string, sig string, copy_no int"
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, kept string, name string, score string, place string, digest string, rep string, sig string, copy_no int, its_id string, its_sha string, its_mark string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 ROWS = [
     (1, WORDS, "en", "a"),
@@ -33,7 +33,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, g, s, len(t or ""), "k", "n", "s", "p", "d", "r", "g", 9) for i, t, g, s in ROWS], CLASHING)
+    return spark.createDataFrame([(i, t, g, s, len(t or ""), "k", "n", "s", "p", "d", "r", "g", 9, "i", "h", "m") for i, t, g, s in ROWS], CLASHING)
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +104,14 @@ def test_exact_repeats_of_several_blocks(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, size))
 
 
+def test_exact_repeats_that_differ_elsewhere(spark):
+    """Of rows that repeat a doc_id and text the first by its columns' JSON stays; null is the empty text."""
+    rows = [(1, None, "b", 2), (1, "", "a", 1), (2, "x y", "c", 3), (2, "x y", "b", 9), (2, "x y", "b", 4), (3, "z", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, its_id string, row int")
+    got = sorted(tuple(r) for r in corpus_pipeline.exact_dedup(spark, docs, "").collect())
+    assert got == [(1, "", "a", 1), (2, "x y", "b", 4), (3, "z", None, None)]
+
+
 def test_near_groups(spark, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
     assert got[1] == (16, 1, True)

@@ -135,6 +135,26 @@ def test_near_groups_against_brute_force(spark, region_shingles):
     assert got == _components(texts)
 
 
+@pytest.mark.parametrize("region_rows", [3, 1 << 20])
+def test_near_groups_without_broadcast(spark, monkeypatch, region_rows):
+    """Regions of many rows are joined apart from the others; no link is lost by it."""
+    monkeypatch.setattr(near_dedup, "small", lambda df, *_: df)
+    monkeypatch.setattr(near_dedup, "REGION_ROWS", region_rows)
+    rng = np.random.default_rng(4)
+    texts, n = {}, 0
+    for size in (40, 2, 2):
+        base = [f"w{i}" for i in rng.integers(0, 300, 100)]
+        for _ in range(size):
+            own = list(base)
+            for at in rng.choice(100, rng.integers(0, 4), replace=False):
+                own[at] = f"v{n}"
+            texts[n] = " ".join(own)
+            n += 1
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame, 500).collect()}
+    assert got == _components(texts)
+
+
 def test_near_groups_of_real_texts(spark):
     """All links of sf0.01, found over an inverted list of shingles."""
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()}

@@ -1,4 +1,4 @@
-"""Queries against their SQL in another engine, and the pipeline against its parts."""
+"""Queries against their SQL in another engine; the pipeline against its parts and a brute-force version."""
 
 import glob
 import os
@@ -47,3 +47,37 @@ def test_pipeline_composes(spark):
     want = corpus_pipeline.mixing(spark, docs, SF).select("doc_id", "n_copies", "copy_no", "shuffle_key")
     assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert out.select(F.count_distinct("shuffle_key")).first()[0] == out.count()
+
+
+def test_pipeline_against_brute_force(spark):
+    """The five stages in plain Python over all documents; the copies come from the mixing's SQL."""
+    import re
+
+    from urbandemand.llm.quality import THRESHOLD, fit_quality
+
+    from .test_methods import _components
+
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit_quality(frame, spark.read.parquet(f"{SF}/labels.parquet"))
+    text = {r.doc_id: r.text or "" for r in frame.collect() if model.score(r.text) >= THRESHOLD}
+    last = {t: d for d, t in sorted(text.items())}
+    text = {d: t for t, d in last.items()}
+    text = {d: text[d] for d, (_, least) in _components(text).items() if d == least}
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = cut(r.text)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w) for w in windows}
+
+    def clean(t):
+        w = cut(t)
+        return not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    kept = [d for d, t in text.items() if clean(t)]
+    assert len(kept) < len(text) < len(last)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet' where doc_id in ({','.join(map(str, kept))})")
+    want = con.sql(f"select doc_id, n_copies, copy_no, shuffle_key from ({queries.ORACLE_SQL['op7_mixing']})").fetchall()
+    got = [tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "n_copies", "copy_no", "shuffle_key").collect()]
+    assert sorted(got) == sorted(want)
