@@ -108,4 +108,23 @@ SELECT city, 12 AS z, x, unnest(range(y0, y1 + 1))::INT AS y FROM (SELECT *, unn
     "route_enrich": f"""WITH {_FLOWS},
 q AS (SELECT np.*, (length(residence_id) + length(job_id)) % 2 = 0 AS routed FROM np)
 SELECT routed, count(*) AS n, sum(CASE WHEN routed THEN 4 ELSE 0 END)::BIGINT AS points, sum(CASE WHEN routed THEN 61 ELSE driving_seconds END)::BIGINT AS seconds FROM q GROUP BY routed""",
+    "element_box": f"WITH {_SITES}, {_BOXES} SELECT 'site' AS layer, place_id AS id FROM s WHERE lon BETWEEN -79.5E0 AND -79.4E0 AND lat BETWEEN 43.6E0 AND 43.7E0 UNION ALL SELECT 'building', building_id FROM b WHERE east >= -79.5E0 AND west <= -79.4E0 AND north >= 43.6E0 AND south <= 43.7E0",
+    "scan_union": "SELECT p_partkey AS id, p_partkey % 3 <> 0 AS building FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 4 <> 3",
+    "dense_ids": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS building, p_partkey AS ordinal, (p_partkey % 4 + 2)::INT AS points FROM part WHERE p_partkey % 4 >= 2",
+    "raw_ids": "SELECT p_partkey AS building, (p_partkey % 4 + 2)::INT AS points FROM part WHERE p_partkey % 4 >= 2",
+    "cities_cells": f"""WITH {_BOXES}, m AS (SELECT *, ['AAA', 'BBB', 'CCC'][building_id % 3 + 1] AS city FROM b),
+box AS (SELECT city, min(west) AS w0, min(south) AS s0, max(east) AS e0, max(north) AS n0 FROM m GROUP BY city),
+wide AS (SELECT *, 0.0009E0 * (1.0E0 / cos((s0 + n0) / 2 * pi() / 180)) AS cx FROM box),
+pt AS (SELECT city, row_number() OVER (PARTITION BY city ORDER BY building_id) - 1 AS id, floor(((west + east) / 2 - w0) / cx)::INT AS x, floor(((south + north) / 2 - s0) / 0.0009E0)::INT AS y, ceil((e0 - w0) / cx)::INT AS cols, ceil((n0 - s0) / 0.0009E0)::INT AS nrows FROM m JOIN wide USING (city))
+SELECT city, x, y, count(*) AS n, min(id) AS first FROM pt WHERE x BETWEEN 0 AND cols - 1 AND y BETWEEN 0 AND nrows - 1 GROUP BY city, x, y""",
+    "cities_assignment": f"""WITH {_SITES}, {_CAPACITY}, n AS (SELECT c.building_id, s.place_id, row_number() OVER (PARTITION BY c.building_id ORDER BY (c.lon - s.lon) * (c.lon - s.lon) + (c.lat - s.lat) * (c.lat - s.lat), s.site_ord) AS nth FROM c JOIN s ON c.building_id % 2 = s.place_id % 2)
+SELECT CASE WHEN building_id % 2 = 0 THEN 'AAA' ELSE 'BBB' END AS city, building_id, place_id FROM n WHERE nth = 1""",
+    "zero_share": "WITH r AS (SELECT s_suppkey, s_nationkey::DOUBLE / nullif(s_suppkey % 3, 0)::DOUBLE AS share FROM supplier) SELECT s_suppkey, share, coalesce(share > 0.5E0, false) AS passes FROM r",
+    "entered_views": "WITH v AS (SELECT s_suppkey, s_suppkey AS k, s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AS ok FROM supplier) SELECT s_suppkey, CASE WHEN ok THEN CASE WHEN k % 3 = 1 THEN k::DOUBLE ELSE 12.0E0 END END AS zoom, CASE WHEN ok THEN k * 0.25E0 END AS latitude, CASE WHEN ok THEN 10.5E0 END AS longitude, CASE WHEN ok THEN CASE WHEN k % 2 = 0 THEN k * 0.5E0 ELSE 0.0E0 END END AS bearing FROM v",
+    "place_rules": "SELECT n_nationkey, n_name AS code FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 AND n_nationkey % 3 <> 0 AND n_nationkey % 11 <> 0",
+    "ocean_rings": "SELECT s_suppkey::VARCHAR AS city, -4 AS depth_min, CASE WHEN s_suppkey % 2 = 0 THEN round(s_suppkey * 1234.5E0 / 20037508.3427892E0 * 180, 9) ELSE (s_suppkey % 90)::DOUBLE END AS lon, CASE WHEN s_suppkey % 2 = 0 THEN round(atan(exp(s_suppkey * 987.25E0 / 20037508.3427892E0 * pi())) * 360 / pi() - 90, 9) ELSE (s_suppkey % 80)::DOUBLE END AS lat FROM supplier",
+    "feature_boxes": "SELECT n_nationkey AS feature, n_nationkey::DOUBLE AS west, -0.5E0 - n_nationkey AS south, n_nationkey + 1.0E0 AS east, 10.0E0 AS north FROM nation",
+    "text_pieces": "SELECT p_partkey, substr(p_name, 1, 3) || '--' || substr(p_name, 6) AS spliced, url_encode(p_brand || ' ' || p_name) AS encoded, p_name LIKE '%e' OR p_name LIKE '%n' AS ends FROM part",
+    "build_stamps": "SELECT o_orderkey, strftime(o_orderdate::DATE - INTERVAL 1 DAY, '%Y%m%d') AS stamp FROM orders",
+    "drawn_shapes": "SELECT 'Polygon' AS kind, sum([1, 1, 2, 0][n_nationkey % 4 + 1])::BIGINT AS n, sum([1, 1, 2, 0][n_nationkey % 4 + 1])::BIGINT AS rings FROM nation",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from .functions.geo import closed
 from .operators import assign, buildings, cities, coverage, demand, grid_index, roads, routing, sites
 from .params import DEFAULTS
 from .plans import demand as plans
+from .plans import thumbnail
 from .sources import osm, tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -363,3 +365,113 @@ def line_buffer(spark, sf):
     rows = views.buildings(spark, sf).withColumn("tags", F.create_map(F.lit("aeroway"), F.when(F.col("id") % 4 == 0, "runway").otherwise("taxiway")))
     features = roads.runway_properties(rows)
     return features.select("id", shapes.buffer_metres(F.to_json(roads.line_of(F.col("geometry"))), F.col("buffer_m")).alias("ring"))
+
+
+@query
+def element_box(spark, sf):
+    box, none = F.array(*[F.lit(x) for x in (-79.5, 43.6, -79.4, 43.7)]), F.lit(None).cast("double")
+    at = views.sites(spark, sf).filter(osm.in_box(box)).select(F.lit("site").alias("layer"), "id")
+    near = views.buildings(spark, sf).withColumn("lon", none).withColumn("lat", none).filter(osm.in_box(box))
+    return at.unionByName(near.select(F.lit("building").alias("layer"), "id"))
+
+
+@query
+def scan_union(spark, sf):
+    aeroway = F.element_at(F.array(F.lit("runway"), F.lit("taxiway"), F.lit("apron"), F.lit("gate")), (F.col("id") % 4 + 1).cast("int"))
+    tags = F.map_filter(F.create_map(F.lit("building"), F.when(F.col("id") % 3 != 0, "yes"), F.lit("aeroway"), aeroway), lambda _, v: v.isNotNull())
+    rows = views.buildings(spark, sf).withColumn("tags", tags)
+    return osm.unioned(osm.scan(rows, "buildings"), osm.scan(rows, "runways")).select("id", F.map_contains_key("tags", "building").alias("building"))
+
+
+def _short(spark, sf):
+    """Buildings of one to four points."""
+    return views.buildings(spark, sf).withColumn("geometry", F.slice("geometry", F.lit(1), (F.col("id") % 4 + 1).cast("int")))
+
+
+@query
+def dense_ids(spark, sf):
+    return grid_index.indexed_buildings(_short(spark, sf)).select("building", "ordinal", F.size("polygon").alias("points"))
+
+
+@query
+def raw_ids(spark, sf):
+    return grid_index.indexed_buildings(_short(spark, sf), replace(DEFAULTS, compat_ordinals=True)).select("building", F.size("polygon").alias("points"))
+
+
+@query
+def cities_cells(spark, sf):
+    city = F.element_at(F.array(F.lit("AAA"), F.lit("BBB"), F.lit("CCC")), (F.col("id") % 3 + 1).cast("int"))
+    _, cells, _ = plans.building_index(views.buildings(spark, sf).withColumn("city", city))
+    return cells.select("city", "x", "y", F.size("buildings").cast("long").alias("n"), F.array_min("buildings").cast("long").alias("first"))
+
+
+@query
+def cities_assignment(spark, sf):
+    city = F.when(F.col("id") % 2 == 0, "AAA").otherwise("BBB")
+    at = sites.distinct_places(sites.with_order(sites.select_sites(views.sites(spark, sf).withColumn("city", city))))
+    own = buildings.building_capacity(views.buildings(spark, sf).withColumn("city", city))
+    return assign.nearest_site(own, at).select("city", "building_id", "place_id")
+
+
+@query
+def zero_share(spark, sf):
+    share = num.ratio(F.col("s_nationkey"), F.col("s_suppkey") % 3)
+    return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", share.alias("share"), F.coalesce(share > 0.5, F.lit(False)).alias("passes"))
+
+
+@query
+def entered_views(spark, sf):
+    k, nan = F.col("s_suppkey"), F.lit(float("nan"))
+    latitude = F.when(k % 5 == 0, nan).when(k % 7 != 0, k * 0.25)
+    zoom = F.when(k % 3 == 0, nan).when(k % 3 == 1, k.cast("double"))
+    v = cities.entered_view(zoom, latitude, F.lit(10.5), F.when(k % 2 == 0, k * 0.5))
+    return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", v.alias("v")).select("s_suppkey", "v.zoom", "v.latitude", "v.longitude", "v.bearing")
+
+
+@query
+def place_rules(spark, sf):
+    n, one = F.col("n_nationkey"), F.col("n_nationkey").cast("double")
+    four, gap = F.array(one, one, one, one), F.array(one, F.lit(None).cast("double"), one, one)
+    bbox = F.when(n % 7 == 0, F.array(one, one, one)).when(n % 3 == 0, gap).otherwise(four)
+    thumb = F.when(n % 11 == 0, F.array(one, one)).when(n % 2 == 1, four)
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select(n, F.when(n % 5 == 0, " ").otherwise(F.col("n_name")).alias("code"), bbox.alias("bbox"), thumb.alias("thumbnailBbox"))
+    return cities.valid_places(rows).select("n_nationkey", "code")
+
+
+@query
+def ocean_rings(spark, sf):
+    k = F.col("s_suppkey")
+    point = F.array(F.when(k % 2 == 0, k * 1234.5).otherwise(k % 90 * 1.0), F.when(k % 2 == 0, k * 987.25).otherwise(k % 80 * 1.0))
+    depths = spark.read.parquet(f"{sf}/supplier.parquet").select(k.cast("string").alias("city"), F.lit(DEFAULTS.water_depth).alias("depth"), F.array(F.array(point, point)).alias("rings"))
+    at = F.col("coordinates")[0][1]
+    return roads.ocean_features(depths).select("city", "depth_min", F.round(at[0], 9).alias("lon"), F.round(at[1], 9).alias("lat"))
+
+
+@query
+def feature_boxes(spark, sf):
+    n = F.col("n_nationkey")
+    line = F.concat(F.lit("[["), n.cast("string"), F.lit(",-"), n.cast("string"), F.lit(".5],["), (n + 1).cast("string"), F.lit(",1e1]]"))
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.lit(views.CITY).alias("city"), n.alias("feature"), line.alias("coordinates"))
+    return coverage.feature_boxes(rows).drop("city")
+
+
+@query
+def text_pieces(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select("p_partkey", text.spliced(F.col("p_name"), 3, 2, "--").alias("spliced"), text.url_encoded(F.concat("p_brand", F.lit(" "), "p_name")).alias("encoded"), text.has_ending(F.col("p_name"), "e", "n").alias("ends"))
+
+
+@query
+def build_stamps(spark, sf):
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", text.build_stamp(F.col("o_orderdate").cast("date")).alias("stamp"))
+
+
+@query
+def drawn_shapes(spark, sf):
+    n = F.col("n_nationkey")
+    kind = F.element_at(F.array(F.lit("Polygon"), F.lit("LineString"), F.lit("MultiLineString"), F.lit("Point")), (n % 4 + 1).cast("int"))
+    line = F.concat(F.lit("[["), n.cast("string"), F.lit(",0],["), (n + 1).cast("string"), F.lit(",1]]"))
+    body = F.when(kind == "Polygon", F.lit("[[[0,0],[0,1],[1,1],[0,0]]]")).when(kind == "LineString", line).when(kind == "MultiLineString", F.concat(F.lit("["), line, F.lit(",[[0,0],[1,2]]]"))).otherwise(F.lit("[0,0]"))
+    zoom = F.create_map(F.lit("min_zoom"), (n % 12).cast("string"))
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.lit(views.CITY).alias("city"), kind.alias("kind"), body.alias("coordinates"), zoom.alias("properties"))
+    return thumbnail.drawn_shapes(rows).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.size(F.from_json("coordinates", "array<array<array<double>>>")[0]) > 3).alias("rings"))
