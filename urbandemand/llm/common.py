@@ -62,6 +62,25 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
+class Remembered:
+    """Decorates a function whose results are kept for later calls with the same arguments.
+
+    Unlike ``functools.cache`` it travels to executors by value, as the
+    package does; what it remembers stays behind.
+    """
+
+    def __init__(self, make: Callable):
+        self.make, self.made = make, {}
+
+    def __call__(self, *args):
+        if args not in self.made:
+            self.made[args] = self.make(*args)
+        return self.made[args]
+
+    def __reduce__(self):
+        return Remembered, (self.make,)
+
+
 def map_texts(rows: DataFrame, make: Callable[[list[str | None]], dict[str, list]], added: str, slice_rows: int = 256) -> DataFrame:
     """``rows`` (whose last column is text) with text replaced by new columns.
 

@@ -40,7 +40,7 @@ import ctypes
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, id_crc, scratch, small, stored
+from .common import Remembered, documents, dropped, id_crc, scratch, small, stored
 
 ORDER = 3
 CHUNK_TOKENS = 2_200_000
@@ -72,7 +72,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BEFORE = [np.uint64(xxhash.xxh3_64_intdigest(b" before %d" % k)) for k in range(1 << ORDER_BITS)]
 
 
-@cache
+@Remembered
 def _trimmer() -> Callable[[int], int]:
     try:
         return ctypes.CDLL("libc.so.6").malloc_trim
@@ -85,7 +85,7 @@ def _given_back() -> None:
     _trimmer()(0)
 
 
-@cache
+@Remembered
 def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import stored
+from .common import scratch, small, stored
 
 #: Largest mean inverted in one piece; a larger one is a sum of equal parts.
 PART_MEAN = 500.0
@@ -78,10 +78,11 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, temper
     added = ("n_copies", "copy_no", "shuffle_key")
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("doc")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)).cast("int")
-    rates = source_rates(docs, targets, temperature).select("source", parts.alias("parts"), _cumulated(F.col("rate") / parts).alias("upto"))
+    with scratch() as keep:
+        rates = keep(stored(source_rates(docs, targets, temperature).select("source", parts.alias("parts"), _cumulated(F.col("rate") / parts).alias("upto")), "rates"))
     ident = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit(""))
     rows = docs.select(doc, F.col("source").cast("string").alias("own_source"))
-    one = rows.join(rates, rows.own_source.eqNullSafe(rates.source))
+    one = rows.join(small(rates), rows.own_source.eqNullSafe(rates.source))
     count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, part: acc + F.size(F.filter("upto", lambda c: c <= _uniform(F.lit(str(seed)), ident, part.cast("string")))))
     copies = one.select("doc", count.alias("n_copies")).filter("n_copies > 0").select("doc", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
     keyed = copies.select("doc.*", "n_copies", "copy_no", _order(F.lit(f"order{seed}"), ident, F.col("copy_no").cast("string")).alias("shuffle_key"))

@@ -23,7 +23,6 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import documents, map_texts, stored
+from .common import Remembered, documents, map_texts, stored
 from .spans import Span, apart, digest, joined
 
 # The base formats.
@@ -137,7 +136,7 @@ def _chi_log(x: np.ndarray, free: int) -> np.ndarray:
     return -half + np.log1p(half)
 
 
-@cache
+@Remembered
 def _poisson_logs(mean: float) -> np.ndarray:
     """Log P(N >= k) for k from 0 far into the tail of a Poisson distribution."""
     last = int(mean + 40 * math.sqrt(mean) + 40)
