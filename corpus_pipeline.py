@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urbandemand.llm.common import stored, table
+from urbandemand.llm.common import dropped, stored, table
 from urbandemand.llm.decontamination import without_contaminated
 from urbandemand.llm.exact_dedup import without_copies
 from urbandemand.llm.mixing import mix_sources
@@ -55,8 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are stored for the next."""
+    """All stages over ``documents``; each stage's rows are stored for the next.
+
+    A stage's table is dropped when the next one is written; the last one's
+    rows are read by the result.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        if n:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
