@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversation_trie import prefix_trie
 from .decontamination import SLOP, decontaminate
 from .exact_dedup import exact_dedup
 from .katz import score_katz
@@ -16,6 +17,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pii import find_personal_data
 from .quality import fit_quality, score_quality
+from .row_pattern import match_rows
 from .secret_scan import scan_secrets
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -65,6 +67,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_row_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_rows(table(spark, sf_dir, "clicks"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -76,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
+    "op11_row_pattern": op11_row_pattern,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 _OP5_SQL = """
@@ -137,9 +149,43 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.v)::BIGINT AS com
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.u = w.doc_id GROUP BY w.doc_id, n.n
 """
 
+_OP11_SQL = """
+WITH r AS (SELECT client_id, ts, click_id, kind, floor(100 * value + 0.5)::BIGINT AS cents, row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id NULLS FIRST, kind NULLS FIRST, value NULLS FIRST) AS n
+           FROM (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL)),
+b AS (SELECT *, lag(cents) OVER w AS cents_before, coalesce(ts - lag(ts) OVER w <= INTERVAL 30 MINUTE, false) AS near, sum(coalesce(cents, 0)) OVER w AS upto FROM r WINDOW w AS (PARTITION BY client_id ORDER BY n)),
+l AS (SELECT *, CASE WHEN near AND kind <> 'error' AND cents < cents_before THEN 'D' WHEN near AND kind <> 'error' AND cents > cents_before THEN 'U' ELSE 'x' END AS label FROM b),
+s AS (SELECT *, sum((label = 'x')::INT) OVER (PARTITION BY client_id ORDER BY n) AS segment, lead(label) OVER (PARTITION BY client_id ORDER BY n) AS label_after FROM l),
+g AS (SELECT client_id, segment, min(n) AS opens, string_agg(label, '' ORDER BY n) AS labels, max(n) FILTER (label = 'U') AS rise FROM s GROUP BY client_id, segment),
+m AS (SELECT a.client_id, a.n, a.click_id AS first_id, e.click_id AS rise_id, p.click_id AS goal_id, a.cents, a.upto, e.upto AS rise_upto, p.cents AS goal_cents, g.rise,
+             'A' || substr(g.labels, (a.n - g.opens + 2)::BIGINT, (g.rise - a.n)::BIGINT) AS labels
+      FROM s a JOIN g ON a.client_id = g.client_id AND a.segment = g.segment AND a.cents IS NOT NULL AND a.label_after = 'D' AND g.rise > a.n
+      JOIN s e ON e.client_id = a.client_id AND e.n = g.rise
+      LEFT JOIN s p ON p.client_id = a.client_id AND p.n = g.rise + 1 AND p.near AND p.kind = 'click' AND p.cents >= a.cents)
+SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY n) AS match_no, first_id, CASE WHEN goal_cents IS NULL THEN rise_id ELSE goal_id END AS last_id,
+       rise - n + 1 + (goal_cents IS NOT NULL)::BIGINT AS n_rows, (rise_upto - upto + cents + coalesce(goal_cents, 0))::BIGINT AS sum_cents,
+       sha256(labels || CASE WHEN goal_cents IS NULL THEN '' ELSE 'P' END) AS labels_sha256
+FROM m
+"""
+
+_OP12_SQL = """
+WITH c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+          lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 9 AS h FROM c),
+p AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS path FROM h LEFT JOIN c b ON b.conv_id = h.base),
+m AS (SELECT conv_id, path, d AS depth, path[1:d] AS node FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM p)),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '') AS ends FROM m GROUP BY node, depth),
+k AS (SELECT node[1:depth - 1] AS parent, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(node[n.depth][2]) END AS own_tokens FROM n LEFT JOIN k ON k.depth = n.depth AND k.parent = n.node),
+t AS (SELECT node[1:d] AS node, d AS depth, sum((n_children = 0)::INT) AS n_leaves, sum(own_tokens) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM w) GROUP BY ALL)
+SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN t ON t.depth = w.depth AND t.node = w.node LEFT JOIN w u ON w.depth > 0 AND u.depth = w.depth - 1 AND u.node = w.node[1:w.depth - 1]
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _OP1_SQL,
     "op2_near_dedup": _OP2_SQL,
     "op5_exact_dedup": _OP5_SQL,
     "op7_mixing": _OP7_SQL,
+    "op11_row_pattern": _OP11_SQL,
+    "op12_conversation_trie": _OP12_SQL,
 }
