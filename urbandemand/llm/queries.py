@@ -20,6 +20,7 @@ from .quality import fit_quality, score_quality
 from .row_pattern import match_rows
 from .secret_scan import scan_secrets
 from .toxicity import fit_toxicity, score_toxicity
+from .warc import archived
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_row_pattern": op11_row_pattern,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_warc": op13_warc,
 }
 
 _OP5_SQL = """
@@ -181,6 +187,14 @@ SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children,
 FROM w JOIN t ON t.depth = w.depth AND t.node = w.node LEFT JOIN w u ON w.depth > 0 AND u.depth = w.depth - 1 AND u.node = w.node[1:w.depth - 1]
 """
 
+_OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep_id FROM pages)
+SELECT page_id, strlen(payload) AS payload_bytes, CASE WHEN page_id IS NOT DISTINCT FROM keep_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keep_id THEN keep_id END AS refers_to,
+       list_reduce(list_transform(range(8), lambda k: list_reduce(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(payload), (5 * k + 1)::BIGINT, 5))::BIGINT >> s::INT) & 31) + 1, 1)), lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest
+FROM p
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _OP1_SQL,
     "op2_near_dedup": _OP2_SQL,
@@ -188,4 +202,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": _OP7_SQL,
     "op11_row_pattern": _OP11_SQL,
     "op12_conversation_trie": _OP12_SQL,
+    "op13_warc": _OP13_SQL,
 }
