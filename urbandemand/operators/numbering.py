@@ -47,7 +47,8 @@ def before(counts: DataFrame, groups: list[str], part: str = "part", n: str = "n
     at = counts.withColumn("_block", block).withColumn("before", F.coalesce(ahead, F.lit(0)))
     if last is None or last < fan:
         return at.drop("_block")
-    blocks = before(stored(at.groupBy(*groups, "_block").agg(F.sum(n).alias("_n")), "blocks"), groups, "_block", "_n", fan).select(*groups, "_block", F.col("before").alias("_ahead"))
+    blocks = stored(at.groupBy(*groups, F.col("_block").alias(part)).agg(F.sum(n).alias(n)), "blocks")
+    blocks = before(blocks, groups, part, n, fan).select(*groups, F.col(part).alias("_block"), F.col("before").alias("_ahead"))
     return joined_to(at, blocks, [*groups, "_block"]).withColumn("before", F.col("before") + F.col("_ahead")).drop("_block", "_ahead")
 
 
