@@ -202,7 +202,7 @@ def test_tiles_zips_and_missing_files(spark, tmp_path):
     (tmp_path / "t/a/12/3").mkdir(parents=True)
     (tmp_path / "t/a/12/3/4.mvt").write_bytes(b"xy")
     wanted = spark.createDataFrame([("a", 12, 3, 4), ("a", 12, 3, 5)], "city string, z int, x int, y int")
-    assert [(r.y, bytes(r.payload)) for r in tiles.read_tiles(spark, wanted, str(tmp_path / "t")).collect()] == [(4, b"xy")]
+    assert [(r.y, bytes(r.payload)) for r in tiles.read_tiles(wanted, f"file://{tmp_path}/t").collect()] == [(4, b"xy")]
     with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
         z.writestr("a.json", "{}")
         z.writestr("b.txt", "no")

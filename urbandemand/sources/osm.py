@@ -10,43 +10,57 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.curve import hilbert
 from ..lookups import AEROWAYS, ROAD_CLASS
 from ..schemas import CONFIG, FEATURES, OSM_ELEMENT
+from .json_array import read_array
 
 
 def read_elements(spark: SparkSession, path: str, city: str) -> DataFrame:
     """Elements of a JSON array file with their ``ordinal``, their place in it.
 
-    The array is read as one text per file, since the order of its rows is
-    part of the data; ``stage_elements`` turns it into a table that splits.
+    Any number of tasks read a file; see ``json_array``.
     """
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", f"array<struct<{_fields(OSM_ELEMENT)}>>").alias("elements"))
-    return parsed.select(F.lit(city).alias("city"), F.posexplode("elements").alias("ordinal", "e")).select("city", F.col("ordinal").cast("long").alias("ordinal"), "e.*")
-
-
-def _fields(ddl: str) -> str:
-    """A column list as the inside of a struct type."""
-    out, depth, word = [], 0, ""
-    for c in ddl + ",":
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            name, _, kind = word.strip().partition(" ")
-            out.append(f"{name}:{kind}")
-            word = ""
-        else:
-            word += c
-    return ",".join(out)
-
-
-def stage_elements(elements: DataFrame, path: str) -> None:
-    """Write elements as Parquet by city, with the tags that are filtered on as columns of their own.
-
-    Parquet keeps minima and maxima of these and of the bounds, so tag and box
-    filters skip row groups.
+    return read_array(spark, path, OSM_ELEMENT).drop("document").select(F.lit(city).alias("city"), "*")
+
+
+#: Cells of the curve that staged elements lie along, as bits of a side, and elements of a row group.
+CURVE_BITS = 16
+GROUP_ROWS = 20_000
+_EDGES = ("west", "south", "east", "north")
+
+
+def edges(elements: DataFrame) -> DataFrame:
+    """Elements with the edges of their bounds as columns; those of a node are its place."""
+    node = F.col("type") == "node"
+    of = {"west": ("lon", "bounds.minlon"), "south": ("lat", "bounds.minlat"), "east": ("lon", "bounds.maxlon"), "north": ("lat", "bounds.maxlat")}
+    return elements.withColumns({name: F.when(node, F.col(point)).otherwise(F.col(bound)) for name, (point, bound) in of.items()})
+
+
+def stage_elements(elements: DataFrame, path: str, group_rows: int = GROUP_ROWS) -> None:
+    """Write elements as Parquet by city, along a space-filling curve, with tags that are filtered on and bounds as columns of their own.
+
+    Elements near each other share row groups, whose minima and maxima of the
+    bounds let a box skip all others. A city's elements are dealt to as many
+    tasks as their ranges of the curve need.
     """
     hot = {k: F.col("tags")[k].alias(f"tag_{k}") for k in ("building", "place", "aeroway", "amenity", "highway")}
-    elements.select("*", *hot.values()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(path)
+    cell = lambda low, high, start, width: F.least(F.lit((1 << CURVE_BITS) - 1), F.greatest(F.lit(0), F.floor(((F.col(low) + F.col(high)) / 2 - start) / width * (1 << CURVE_BITS))))
+    along = hilbert(cell("west", "east", -180, 360), cell("south", "north", -90, 180), CURVE_BITS)
+    rows = edges(elements).select("*", *hot.values()).withColumn("_along", along)
+    dealt = rows.repartitionByRange("city", "_along", "id").sortWithinPartitions("city", "_along", "id").drop("_along")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.row.count.limit", group_rows).partitionBy("city").parquet(path)
+
+
+def read_staged(spark: SparkSession, path: str, city: str | None = None, box: list[float] | None = None) -> DataFrame:
+    """Staged elements of a city that meet a west-south-east-north box; what lies elsewhere isn't read."""
+    rows = spark.read.parquet(path)
+    if city is not None:
+        rows = rows.filter(F.col("city") == city)
+    if box is not None:
+        west, south, east, north = (F.lit(float(x)) for x in box)
+        rows = rows.filter((F.col("east") >= west) & (F.col("west") <= east) & (F.col("north") >= south) & (F.col("south") <= north))
+    return rows.drop(*_EDGES)
 
 
 def in_box(bbox: Column) -> Column:

@@ -9,11 +9,12 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import tile_x, tile_y
 from ..lookups import WATER_KINDS
+from .tile_source import fetched
 
 
 def tile_range(places: DataFrame, zoom: int) -> DataFrame:
@@ -24,12 +25,9 @@ def tile_range(places: DataFrame, zoom: int) -> DataFrame:
     return out.select("city", F.lit(zoom).alias("z"), "x", F.explode(F.sequence("y0", "y1")).alias("y"))
 
 
-def read_tiles(spark: SparkSession, wanted: DataFrame, folder: str) -> DataFrame:
+def read_tiles(wanted: DataFrame, folder: str) -> DataFrame:
     """``wanted`` (city, z, x, y) with ``payload``, from files ``folder/city/z/x/y.mvt``; tiles that are missing are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mvt").load(folder)
-    part = lambda n: F.regexp_extract("path", r"([^/]+)/(\d+)/(\d+)/(\d+)\.mvt$", n)
-    tiles = files.select(part(1).alias("city"), part(2).cast("int").alias("z"), part(3).cast("int").alias("x"), part(4).cast("int").alias("y"), F.col("content").alias("payload"))
-    return wanted.join(tiles, ["city", "z", "x", "y"])
+    return fetched(wanted, folder)
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
