@@ -2,10 +2,11 @@ import gzip
 import json
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from urbandemand.functions import geo, num, shapes, text
+from urbandemand.functions import buffer, geo, num, shapes, text
 from urbandemand.sources.tiles import decode_tile, decoded
 
 SQUARE = "array(named_struct('lat',43.6D,'lon',-79.4D),named_struct('lat',43.6D,'lon',-79.399D),named_struct('lat',43.601D,'lon',-79.399D),named_struct('lat',43.601D,'lon',-79.4D),named_struct('lat',43.6D,'lon',-79.4D))"
@@ -112,9 +113,74 @@ def test_decode_tile(spark):
     assert struct.calcsize("<f") == 4
 
 
-def test_outline():
-    ring = shapes.outline([[0.0, 0.0], [10.0, 0.0]], 1.0, (1.0, 1.0))
-    assert ring[0] == ring[-1]
-    assert max(y for _, y in ring) == pytest.approx(1) and min(y for _, y in ring) == pytest.approx(-1)
-    assert max(x for x, _ in ring) == pytest.approx(11) and min(x for x, _ in ring) == pytest.approx(-1)
-    assert "<path" in shapes.svg([[ring]]) and shapes.svg([]).endswith("</svg>")
+def test_drawing():
+    assert "<path" in shapes.svg([[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]]) and shapes.svg([]).endswith("</svg>")
+
+
+def _distance(points, lines):
+    out = np.full(len(points), np.inf)
+    for line in lines:
+        for a, b in zip(line[:-1], line[1:]) if len(line) > 1 else [(line[0], line[0])]:
+            t = np.clip((points - a) @ (b - a) / max((b - a) @ (b - a), 1e-300), 0, 1)
+            out = np.minimum(out, np.hypot(*(points - a - t[:, None] * (b - a)).T))
+    return out
+
+
+def _inside(points, polygons):
+    n = np.zeros(len(points), int)
+    for ring in (r for p in polygons for r in p):
+        for a, b in zip(ring[:-1], ring[1:]):
+            crossed = (a[1] > points[:, 1]) != (b[1] > points[:, 1])
+            with np.errstate(all="ignore"):
+                n += crossed & (points[:, 0] < (b[0] - a[0]) * (points[:, 1] - a[1]) / (b[1] - a[1]) + a[0])
+    return n % 2 == 1
+
+
+def _crossings(ring):
+    a, d = ring[:-1], np.diff(ring, axis=0)
+    k = np.arange(len(a))
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    with np.errstate(all="ignore"):
+        gap, turn = a[None] - a[:, None], cross(d[:, None], d[None])
+        t, u = cross(gap, d[None]) / turn, cross(gap, d[:, None]) / turn
+    apart = (abs(k[:, None] - k) > 1) & (abs(k[:, None] - k) < len(k) - 1)
+    return int((apart & (abs(turn) > 1e-14) & (t > 1e-6) & (t < 1 - 1e-6) & (u > 1e-6) & (u < 1 - 1e-6)).sum())
+
+
+def test_buffers_are_valid_and_hold_what_is_near():
+    """Bent, closed, crossing and doubled lines, and lines of several parts, against sampled distances."""
+    rng = np.random.default_rng(4)
+    drawn = []
+    for k in range(80):
+        n = rng.integers(1, 9)
+        line = rng.integers(0, 8, (n, 2)).astype(float) if k % 2 else rng.uniform(0, 8, (n, 2))
+        line = np.concatenate([line, line[:1]]) if k % 5 == 0 else np.concatenate([line, line[::-1]]) if k % 7 == 0 else line
+        drawn.append([line, rng.uniform(0, 8, (3, 2))] if k % 3 == 0 else [line])
+    turns = np.linspace(0, 2 * np.pi, 60)
+    drawn.append([np.stack([np.cos(turns), np.sin(turns)], 1) * 4])
+    radius = rng.uniform(0.2, 1.5, len(drawn))
+    points = rng.uniform(-2, 10, (4000, 2))
+    holes = 0
+    for lines, r, polygons in zip(drawn, radius, buffer.around(drawn, radius)):
+        away = _distance(points, lines)
+        unsure = (away > 0.993 * r) & (away < 1.001 * r)  # round parts have straight edges
+        assert ((_inside(points, polygons) == (away < r)) | unsure).all()
+        assert sum(_crossings(ring) for p in polygons for ring in p) == 0
+        assert all(buffer.area(p[0]) > 0 and all(buffer.area(h) < 0 for h in p[1:]) for p in polygons)
+        holes += sum(len(p) - 1 for p in polygons)
+    assert holes > 10
+
+
+def test_buffer_of_a_bend():
+    ((ring,),) = buffer.around([[np.array([[0.0, 0.0], [10.0, 0.0], [10.0, 10.0]])]], np.array([2.0]))[0]
+    # 2 x 40 for the sides, less the inner corner's square, two half circles, and a quarter outside the bend.
+    assert buffer.area(ring) == pytest.approx(80 - 4 + 5 * np.pi, rel=0.003)
+
+
+def test_buffers_of_columns(spark):
+    rows = spark.createDataFrame([(1, [[[0.0, 60.0], [0.001, 60.0]]], 10.0), (2, None, 10.0), (3, [[[0.0, 0.0]]], None), (4, [], 5.0), (5, [[[1.0, 1.0], [1.0, 1.0]]], 5.0), (6, [[[1.0, 1.0]]], -1.0)], "id int, lines array<array<array<double>>>, r double")
+    got = {r.id: r.p for r in rows.select("id", buffer.buffer_metres("lines", F.col("r")).alias("p")).collect()}
+    assert (got[2], got[3], got[4], got[6]) == (None, None, [], [])
+    (outer,) = got[1][0]
+    assert min(p[0] for p in outer) == pytest.approx(-10 / (111195.08 * 0.5), rel=1e-5) and max(p[1] for p in outer) == pytest.approx(60 + 10 / 111195.08, rel=1e-9)
+    assert len(got[5]) == 1 and len(got[5][0][0]) > 16

@@ -1,63 +1,9 @@
-"""Buffers around lines, and drawings: the shapes that need loops, in batches."""
+"""Drawings of polygons."""
 
 from __future__ import annotations
 
-import json
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-STEPS = 8
-METRES_PER_DEGREE = 6371008.8 * math.pi / 180
-
-
-def outline(line: list[list[float]], radius: float, scale: tuple[float, float]) -> list[list[float]]:
-    """Closed outline around a line: both sides with round joins and ends.
-
-    ``scale`` has units of the radius in one degree of longitude and latitude.
-    """
-    p = np.array([q for i, q in enumerate(line) if i == 0 or list(q) != list(line[i - 1])], float) * scale
-    if len(p) == 1:
-        a = np.linspace(0, 2 * math.pi, 4 * STEPS + 1)
-        return (np.stack([p[0, 0] + radius * np.cos(a), p[0, 1] + radius * np.sin(a)], 1) / scale).tolist()
-    ring: list = []
-    for side in (p, p[::-1]):
-        d = np.diff(side, axis=0)
-        turn = np.arctan2(d[:, 1], d[:, 0])
-        for i in range(len(d)):
-            right = turn[i] - math.pi / 2
-            ring.append(side[i] + radius * np.array([math.cos(right), math.sin(right)]))
-            ring.append(side[i + 1] + radius * np.array([math.cos(right), math.sin(right)]))
-            sweep = (turn[i + 1] - turn[i] + math.pi) % (2 * math.pi) - math.pi if i + 1 < len(d) else math.pi
-            if sweep > 0:
-                n = max(1, math.ceil(sweep / (math.pi / 2 / STEPS)))
-                ring += [side[i + 1] + radius * np.array([math.cos(right + sweep * k / n), math.sin(right + sweep * k / n)]) for k in range(1, n)]
-    ring.append(ring[0])
-    return (np.array(ring) / scale).tolist()
-
-
-@F.pandas_udf(StringType())
-def buffer_metres(coordinates: pd.Series, radius: pd.Series) -> pd.Series:
-    """Outer ring (JSON) around a line (JSON) at a distance in metres; null for a null."""
-
-    def one(text: str | None, r: float) -> str | None:
-        if text is None or r is None or math.isnan(r):
-            return None
-        line = json.loads(text)
-        lat = sum(q[1] for q in line) / len(line)
-        return json.dumps(outline(line, r, (METRES_PER_DEGREE * math.cos(math.radians(lat)), METRES_PER_DEGREE)))
-
-    return pd.Series([one(t, r) for t, r in zip(coordinates, radius)])
-
-
-@F.pandas_udf(StringType())
-def buffer_degrees(coordinates: pd.Series, radius: pd.Series) -> pd.Series:
-    """Outer ring (JSON) around a line (JSON) at a distance in degrees; null for a null."""
-    return pd.Series([None if t is None else json.dumps(outline(json.loads(t), r, (1.0, 1.0))) for t, r in zip(coordinates, radius)])
-
 
 def svg_path(rings: list, size: int, west: float, north: float, scale: float) -> str:
     """A path of rings given in web-map metres."""

@@ -22,9 +22,9 @@ _ROW_BITS = 33  # of monotonically_increasing_id
 
 
 def in_ranges(df: DataFrame, order: list[Column], what: str = "ordered") -> DataFrame:
-    """``df`` sorted into tasks by ``order`` and stored with ``part``, the task's number, and ``place`` in it."""
+    """``df`` sorted into tasks by ``order`` and stored with ``_part``, the task's number, and ``_place`` in it."""
     at = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    return stored(at.withColumns({"part": F.shiftright("_at", _ROW_BITS), "place": F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1)}).drop("_at"), what)
+    return stored(at.withColumns({"_part": F.shiftright("_at", _ROW_BITS), "_place": F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1)}).drop("_at"), what)
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -59,6 +59,6 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], name: str, f
     order. Nulls are a group.
     """
     rows = in_ranges(df, [*[F.col(g).asc_nulls_first() for g in groups], *order])
-    counts = stored(rows.groupBy(*groups, "part").agg(F.count("*").alias("n"), F.min("place").alias("first")), "counts")
-    starts = before(counts, groups, fan=fan).select(*groups, "part", (F.col("before") - F.col("first")).alias("_shift"))
-    return joined_to(rows, starts, [*groups, "part"]).withColumn(name, F.col("place") + F.col("_shift")).drop("part", "place", "_shift")
+    counts = stored(rows.groupBy(*groups, "_part").agg(F.count("*").alias("n"), F.min("_place").alias("_first")), "counts")
+    starts = before(counts, groups, "_part", fan=fan).select(*groups, "_part", (F.col("before") - F.col("_first")).alias("_shift"))
+    return joined_to(rows, starts, [*groups, "_part"]).withColumn(name, F.col("_place") + F.col("_shift")).drop("_part", "_place", "_shift")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.buffer import buffer_metres
 from ..functions.geo import closed, ring_area, unmercator_lat, unmercator_lon
-from ..functions.shapes import buffer_metres
 from ..functions.text import street_name
 from ..lookups import AEROWAYS, ROAD_CLASS, looked_up
 from ..params import DEFAULTS, Params
@@ -36,11 +36,11 @@ def runway_properties(elements: DataFrame) -> DataFrame:
 
 
 def runway_features(elements: DataFrame) -> DataFrame:
-    """Runway features: an area with its own ring, a line with the ring around it, as JSON coordinates."""
+    """Runway features as JSON coordinates: an area with its own ring, a line with the outer ring of what lies around it."""
     rows = runway_properties(elements)
-    line = F.to_json(line_of(F.col("geometry")))
-    ring = F.when(F.col("buffer_m").isNull(), line).otherwise(buffer_metres(line, F.col("buffer_m")))
-    return rows.select("city", "id", "road_type", "z_order", "aeroway", "osm_way_id", "area", F.lit("Polygon").alias("kind"), F.concat(F.lit("["), ring, F.lit("]")).alias("coordinates"))
+    line = line_of(F.col("geometry"))
+    ring = F.when(F.col("buffer_m").isNull(), line).otherwise(F.get(F.get(buffer_metres(F.array(line), F.col("buffer_m")), F.lit(0)), F.lit(0)))
+    return rows.select("city", "id", "road_type", "z_order", "aeroway", "osm_way_id", "area", F.lit("Polygon").alias("kind"), F.to_json(F.array(F.coalesce(ring, F.slice(line, 1, 0)))).alias("coordinates"))
 
 
 def ocean_ring(rings: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import numbered
+
 #: Integers below this are ordered as numbers when they are keys.
 _INDEX_LIMIT = 4294967295
 
@@ -50,8 +52,8 @@ def key_order(key: Column, ordinal: Column) -> list[Column]:
 
 
 def with_order(sites: DataFrame) -> DataFrame:
-    """``site_ord``: each site's place in its city, counted from 0."""
-    return sites.withColumn("site_ord", F.row_number().over(Window.partitionBy("city").orderBy(*key_order(F.col("place_id"), F.col("ordinal")))) - 1)
+    """``site_ord``: each site's place in its city, counted from 0; no task numbers a whole city."""
+    return numbered(sites, ["city"], [*key_order(F.col("place_id"), F.col("ordinal")), F.col("place_id")], "site_ord").withColumn("site_ord", F.col("site_ord").cast("int"))
 
 
 def distinct_places(sites: DataFrame) -> DataFrame:
@@ -69,6 +71,7 @@ def within(df: DataFrame, places: DataFrame) -> DataFrame:
 
 def public_ids(sites: DataFrame) -> DataFrame:
     """``public_id``: terminals and universities numbered over all cities, others by their id."""
-    number = F.row_number().over(Window.partitionBy("kind").orderBy("city", "site_ord")) - 1
-    special = sites.filter(F.col("kind").isin("terminal", "university")).withColumn("public_id", F.concat(F.when(F.col("kind") == "terminal", "AIR_Terminal_").otherwise("UNI_"), number.cast("string")))
-    return special.unionByName(sites.filter(F.col("kind").isNull() | ~F.col("kind").isin("terminal", "university")).withColumn("public_id", F.col("place_id").cast("string")))
+    is_special = F.coalesce(F.col("kind").isin("terminal", "university"), F.lit(False))
+    special = numbered(sites.filter(is_special), ["kind"], [F.col("city"), F.col("site_ord")], "_number")
+    named = special.withColumn("public_id", F.concat(F.when(F.col("kind") == "terminal", "AIR_Terminal_").otherwise("UNI_"), F.col("_number").cast("string"))).drop("_number")
+    return named.unionByName(sites.filter(~is_special).withColumn("public_id", F.col("place_id").cast("string")))

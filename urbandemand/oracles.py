@@ -101,7 +101,7 @@ ORACLE_SQL: dict[str, str] = {
 SELECT city, 12 AS z, x, unnest(range(y0, y1 + 1))::INT AS y FROM (SELECT *, unnest(range(x0, x1 + 1))::INT AS x FROM r)""",
     "mercator_forward": f"WITH {_SITES} SELECT place_id, round(lon * (20037508.3427892E0 / 180), 4) AS x, round(ln(tan((lat + 90) * (pi() / 360))) * (20037508.3427892E0 / pi()), 4) AS y FROM s",
     "mercator_inverse": "SELECT s_suppkey AS place_id, round(s_suppkey * 1234.5E0 / 20037508.3427892E0 * 180, 9) AS lon, round(atan(exp(s_suppkey * 987.25E0 / 20037508.3427892E0 * pi())) * 360 / pi() - 90, 9) AS lat FROM supplier",
-    "runway_features": f"WITH {_BOXES}, q AS (SELECT *, ['runway', 'taxiway', 'apron', 'gate'][building_id % 4 + 1] AS kind FROM b) SELECT building_id AS id, 'runway' AS road_type, CASE WHEN kind <> 'apron' THEN 0 END AS z_order, CASE WHEN kind = 'apron' THEN kind END AS aeroway, building_id::VARCHAR AS osm_way_id, CASE WHEN kind = 'apron' THEN round({_R} * {_R} * radians(east - west) * (sin(radians(north)) - sin(radians(south))), 3) ELSE 0.0E0 END AS area FROM q WHERE kind <> 'gate'",
+    "runway_features": f"WITH {_BOXES}, q AS (SELECT *, ['runway', 'taxiway', 'apron', 'gate'][building_id % 4 + 1] AS kind FROM b), e AS (SELECT *, CASE kind WHEN 'runway' THEN 30.0E0 WHEN 'taxiway' THEN 10.0E0 ELSE 0.0E0 END / ({_R} * pi() / 180) AS r FROM q) SELECT building_id AS id, 'runway' AS road_type, CASE WHEN kind <> 'apron' THEN 0 END AS z_order, CASE WHEN kind = 'apron' THEN kind END AS aeroway, building_id::VARCHAR AS osm_way_id, CASE WHEN kind = 'apron' THEN round({_R} * {_R} * radians(east - west) * (sin(radians(north)) - sin(radians(south))), 3) ELSE 0.0E0 END AS area, round(west - r / cos(radians(lat)), 7) AS west, round(south - r, 7) AS south, round(east + r / cos(radians(lat)), 7) AS east, round(north + r, 7) AS north FROM e WHERE kind <> 'gate'",
     "number_coercion": f"WITH g AS (SELECT p_partkey, ['12', '3.5', '3;4', '', '1d', 'inf', '.5', '-2', '1e2'][p_partkey % 9 + 1] AS v FROM part), n AS (SELECT p_partkey, v, CASE WHEN v = '' THEN 0.0E0 WHEN regexp_matches(v, '{_NUM}') THEN v::DOUBLE END AS value FROM g) SELECT p_partkey, value, greatest(coalesce(value, 1.0E0), 1.0E0) AS levels, CASE v WHEN '3;4' THEN 3.0E0 WHEN '1d' THEN 1.0E0 ELSE coalesce(value, 0.0E0) END AS leading FROM n",
     "last_wins": "SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, min(o_orderkey) AS ordinal FROM orders GROUP BY o_custkey",
     "key_order": "WITH o AS (SELECT o_orderkey, o_orderkey * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 10000000000 END AS id FROM orders) SELECT id, CASE WHEN id < 4294967295 THEN 0 ELSE 1 END AS class, CASE WHEN id < 4294967295 THEN id END AS as_number, CASE WHEN id >= 4294967295 THEN -o_orderkey END AS as_placed FROM o",
@@ -126,5 +126,10 @@ SELECT CASE WHEN building_id % 2 = 0 THEN 'AAA' ELSE 'BBB' END AS city, building
     "feature_boxes": "SELECT n_nationkey AS feature, n_nationkey::DOUBLE AS west, -0.5E0 - n_nationkey AS south, n_nationkey + 1.0E0 AS east, 10.0E0 AS north FROM nation",
     "text_pieces": "SELECT p_partkey, substr(p_name, 1, 3) || '--' || substr(p_name, 6) AS spliced, url_encode(p_brand || ' ' || p_name) AS encoded, p_name LIKE '%e' OR p_name LIKE '%n' AS ends FROM part",
     "build_stamps": "SELECT o_orderkey, strftime(o_orderdate::DATE - INTERVAL 1 DAY, '%Y%m%d') AS stamp FROM orders",
-    "drawn_shapes": "SELECT 'Polygon' AS kind, sum([1, 1, 2, 0][n_nationkey % 4 + 1])::BIGINT AS n, sum([1, 1, 2, 0][n_nationkey % 4 + 1])::BIGINT AS rings FROM nation",
+    "drawn_shapes": """WITH n AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 12 >= 10 THEN 0.00025E0 ELSE 0.0005E0 END AS r FROM nation),
+l AS (SELECT n, r, n AS x0, 0 AS y0, n + 1 AS x1, 1 AS y1 FROM n WHERE n % 4 IN (1, 2) UNION ALL SELECT n, r, 0, 0, 1, 2 FROM n WHERE n % 4 = 2)
+SELECT 'Polygon' AS kind, true AS is_line, round(x0 - r, 7) AS west, round(y0 - r, 7) AS south, round(x1 + r, 7) AS east, round(y1 + r, 7) AS north FROM l
+UNION ALL SELECT 'Polygon', false, 0.0E0, 0.0E0, 1.0E0, 1.0E0 FROM n WHERE n % 4 = 0""",
+    "line_buffer": f"""WITH {_BOXES}, q AS (SELECT *, CASE WHEN building_id % 4 = 0 THEN 30.0E0 ELSE 10.0E0 END / ({_R} * pi() / 180) AS r FROM b)
+SELECT building_id AS id, 1 AS n_polygons, 1 AS n_rings, true AS is_closed, round(west - r / cos(radians(lat)), 7) AS west, round(south - r, 7) AS south, round(east + r / cos(radians(lat)), 7) AS east, round(north + r, 7) AS north FROM q""",
 }

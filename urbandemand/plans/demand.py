@@ -6,8 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import assign, buildings, coverage, demand, grid_index, sites
+from ..operators.numbering import numbered
 from ..params import DEFAULTS, Params
 from ..scratch import stored
 
@@ -55,14 +57,15 @@ def water_index(features: DataFrame, params: Params = DEFAULTS) -> tuple[DataFra
 
 
 def polygon_boxes(features: DataFrame) -> DataFrame:
-    """Polygons of water features with their boxes, numbered in order within a city."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.window import Window
+    """Polygons of water features with their boxes, numbered in order within a city.
 
+    The numbers are made from features and parts alone; rings stay where they are until then.
+    """
     rings = coverage.polygons(features)
+    nth = numbered(rings.select("city", "feature", "part"), ["city"], [F.col("feature"), F.col("part")], "polygon")
     lon, lat = F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p[0]))), F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p[1])))
-    nth = F.row_number().over(Window.partitionBy("city").orderBy("feature", "part")) - 1
-    return rings.select("city", nth.alias("polygon"), F.array_min(lon).alias("west"), F.array_min(lat).alias("south"), F.array_max(lon).alias("east"), F.array_max(lat).alias("north"), "rings")
+    edges = [F.array_min(lon).alias("west"), F.array_min(lat).alias("south"), F.array_max(lon).alias("east"), F.array_max(lat).alias("north")]
+    return rings.join(nth, ["city", "feature", "part"]).select("city", F.col("polygon").cast("int").alias("polygon"), *edges, "rings")
 
 
 def chained(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:

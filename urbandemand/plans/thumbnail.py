@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shapes import buffer_degrees, svg
+from ..functions.buffer import buffer_degrees
+from ..functions.shapes import svg
 
 #: Degrees around a line; from ``FINE_ZOOM`` on a line is drawn thinner.
 WIDE, THIN, FINE_ZOOM = 0.0005, 0.00025, 10
@@ -18,15 +19,15 @@ WIDE, THIN, FINE_ZOOM = 0.0005, 0.00025, 10
 def drawn_shapes(features: DataFrame) -> DataFrame:
     """``city, kind, coordinates``: lines as the polygons around them, other shapes as they are.
 
-    ``features`` has city, kind, coordinates (JSON) and properties. Each line
-    of a MultiLineString becomes a polygon; points are not drawn.
+    ``features`` has city, kind, coordinates (JSON) and properties. Lines of a
+    MultiLineString whose surroundings meet are one polygon; points are not drawn.
     """
     zoom = F.col("properties")["min_zoom"].cast("double")
     radius = F.when(zoom >= FINE_ZOOM, F.lit(THIN)).otherwise(F.lit(WIDE))
     lines = features.filter(F.col("kind").isin("LineString", "MultiLineString"))
     many = F.when(F.col("kind") == "LineString", F.array(F.from_json("coordinates", "array<array<double>>"))).otherwise(F.from_json("coordinates", "array<array<array<double>>>"))
-    one = lines.select("city", radius.alias("radius"), F.explode(many).alias("line"))
-    around = one.select("city", F.lit("Polygon").alias("kind"), F.concat(F.lit("["), buffer_degrees(F.to_json("line"), F.col("radius")), F.lit("]")).alias("coordinates"))
+    one = lines.select("city", F.explode(buffer_degrees(many, radius)).alias("polygon"))
+    around = one.select("city", F.lit("Polygon").alias("kind"), F.to_json("polygon").alias("coordinates"))
     return features.filter(F.col("kind").isin("Polygon", "MultiPolygon")).select("city", "kind", "coordinates").unionByName(around)
 
 

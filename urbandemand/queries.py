@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import driver_views as views
-from .functions import geo, num, shapes, text
+from .functions import buffer, geo, num, text
 from .functions.geo import closed
 from .operators import assign, buildings, cities, coverage, demand, grid_index, roads, routing, sites
 from .params import DEFAULTS
@@ -99,10 +99,8 @@ def zero_sites(spark, sf):
 
 @query
 def pair_distance(spark, sf):
-    at = _sites(spark, sf)
-    a, b = at.select("city", F.col("place_id").alias("a"), F.col("lon").alias("alon"), F.col("lat").alias("alat")), at.select("city", F.col("place_id").alias("b"), F.col("lon").alias("blon"), F.col("lat").alias("blat"))
-    m = geo.haversine(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat"))
-    return a.join(b, "city").select("a", "b", num.round_half_up(m).alias("metres"), num.round_half_up(m * DEFAULTS.seconds_per_metre).alias("seconds"))
+    m = F.col("metres")
+    return demand.site_pairs(_sites(spark, sf)).select("a", "b", num.round_half_up(m).alias("metres"), num.round_half_up(m * DEFAULTS.seconds_per_metre).alias("seconds"))
 
 
 @query
@@ -328,11 +326,18 @@ def route_enrich(spark, sf):
     return out.groupBy(F.col("driving_path").isNotNull().alias("routed")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("driving_path"), F.lit(0))).alias("points"), F.sum("driving_seconds").alias("seconds"))
 
 
+def _edges(ring):
+    """The box of a ring of points, to a hundredth of a metre or so."""
+    lon, lat = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
+    return [F.round(F.array_min(lon), 7).alias("west"), F.round(F.array_min(lat), 7).alias("south"), F.round(F.array_max(lon), 7).alias("east"), F.round(F.array_max(lat), 7).alias("north")]
+
+
 @query
 def runway_features(spark, sf):
     kinds = F.element_at(F.array(F.lit("runway"), F.lit("taxiway"), F.lit("apron"), F.lit("gate")), (F.col("id") % 4 + 1).cast("int"))
-    rows = views.buildings(spark, sf).withColumn("tags", F.create_map(F.lit("aeroway"), kinds))
-    return roads.runway_properties(rows).select("id", "road_type", "z_order", "aeroway", "osm_way_id", F.round("area", 3).alias("area"))
+    rows = roads.runway_features(views.buildings(spark, sf).withColumn("tags", F.create_map(F.lit("aeroway"), kinds)))
+    ring = F.from_json("coordinates", "array<array<array<double>>>")[0]
+    return rows.select("id", "road_type", "z_order", "aeroway", "osm_way_id", F.round("area", 3).alias("area"), *_edges(ring))
 
 
 @query
@@ -363,8 +368,10 @@ def key_order(spark, sf):
 @query
 def line_buffer(spark, sf):
     rows = views.buildings(spark, sf).withColumn("tags", F.create_map(F.lit("aeroway"), F.when(F.col("id") % 4 == 0, "runway").otherwise("taxiway")))
-    features = roads.runway_properties(rows)
-    return features.select("id", shapes.buffer_metres(F.to_json(roads.line_of(F.col("geometry"))), F.col("buffer_m")).alias("ring"))
+    line = roads.line_of(F.col("geometry"))
+    at = roads.runway_properties(rows).select("id", buffer.buffer_metres(F.array(line), F.col("buffer_m")).alias("around"))
+    ring = F.col("around")[0][0]
+    return at.select("id", F.size("around").alias("n_polygons"), F.size(F.col("around")[0]).alias("n_rings"), (ring[0] == F.element_at(ring, -1)).alias("is_closed"), *_edges(ring))
 
 
 @query
@@ -474,4 +481,5 @@ def drawn_shapes(spark, sf):
     body = F.when(kind == "Polygon", F.lit("[[[0,0],[0,1],[1,1],[0,0]]]")).when(kind == "LineString", line).when(kind == "MultiLineString", F.concat(F.lit("["), line, F.lit(",[[0,0],[1,2]]]"))).otherwise(F.lit("[0,0]"))
     zoom = F.create_map(F.lit("min_zoom"), (n % 12).cast("string"))
     rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.lit(views.CITY).alias("city"), kind.alias("kind"), body.alias("coordinates"), zoom.alias("properties"))
-    return thumbnail.drawn_shapes(rows).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.size(F.from_json("coordinates", "array<array<array<double>>>")[0]) > 3).alias("rings"))
+    ring = F.from_json("coordinates", "array<array<array<double>>>")[0]
+    return thumbnail.drawn_shapes(rows).select("kind", (F.size(ring) > 4).alias("is_line"), *_edges(ring))
