@@ -53,13 +53,15 @@ from pyspark.sql import functions as F
 from .common import Remembered, documents, dropped, id_crc, scratch, small, stored
 
 ORDER = 3
-CHUNK_TOKENS = 2_200_000
+CHUNK_TOKENS = 1_600_000
 #: Keys that come together in one partition, before equal ones are merged.
 PARTITION_KEYS = 2_400_000
 #: Partitions that one chunk, or group of messages, sends to: two to this power.
 FAN_BITS = 8
 #: Parts of the second exchange that run one after the other, so that their shuffle files aren't there at once.
-ROUNDS = 2
+ROUNDS = 4
+#: Parts of the chunks that meet their answers one after the other, for the same reason.
+TURNS = 2
 #: Largest count that is discounted.
 LARGEST = 5
 #: A text's end; no word has a blank.
@@ -221,9 +223,9 @@ class _Grams:
 
 
 class _Chunk:
-    """A chunk's tokens and grams up to an order."""
+    """A chunk's tokens and grams up to an order; with ``only``, names and counts of the grams of those orders alone."""
 
-    def __init__(self, held: bytes, lengths: bytes, words: bytes, codes: bytes, order: int) -> None:
+    def __init__(self, held: bytes, lengths: bytes, words: bytes, codes: bytes, order: int, only: list[int] | None = None) -> None:
         self.held, self.lengths = _unpacked(held, np.bool_), _unpacked(lengths, np.int32)
         flat = np.ascontiguousarray(_unpacked(codes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -236,6 +238,8 @@ class _Chunk:
             if k == 1:
                 hashes = _mixed(np.frombuffer(words, np.uint64))
                 whole = word = hashes[flat]
+                if only is not None and k not in only:
+                    continue
                 distinct, _, place = _distinct(_named(hashes, 1))
                 of = place[flat]
                 lower = before = np.zeros(0, np.int64)
@@ -245,10 +249,15 @@ class _Chunk:
                 history[self.starts] = _BEFORE[k - 1]
                 whole = _mixed(history * _ODD + word)
                 del history
+                if only is not None and k not in only:
+                    continue
                 distinct, example, of = _distinct(_named(whole, k))
-                below = self.grams[-1]
-                lower = below.of[example]
-                before = np.where(first[example], np.int32(len(below.names)), below.of[example - 1])
+                if only is None:
+                    below = self.grams[-1]
+                    lower = below.of[example]
+                    before = np.where(first[example], np.int32(len(below.names)), below.of[example - 1])
+                else:
+                    lower = before = np.zeros(0, np.int64)
             outside = np.bincount(of[held], minlength=len(distinct))
             count = np.bincount(of, minlength=len(distinct)) - outside
             self.grams.append(_Grams(distinct, of, count.astype(np.int32), (outside > 0).astype(np.uint8), lower, before))
@@ -531,9 +540,12 @@ class _Histories:
 class _Scorer:
     """A chunk with the answers to it."""
 
-    def __init__(self, chunk: _Chunk, model: Model, counts: list[tuple], bits: int) -> None:
+    def __init__(self, chunk: _Chunk, model: Model, counts: list[tuple[list[int], list[tuple]]], bits: int) -> None:
         self.chunk, self.model, self.bits = chunk, model, bits
-        self.total, self.marks = _collated(counts, [g.names for g in chunk.grams], bits, (np.int64, np.uint8))
+        self.total, self.marks = ([np.zeros(0)] * len(chunk.grams) for _ in range(2))
+        for orders, rows in counts:
+            for k, total, marks in zip(orders, *_collated(rows, [chunk.grams[k - 1].names for k in orders], bits, (np.int64, np.uint8))):
+                self.total[k - 1], self.marks[k - 1] = total.astype(np.int32) if total.max(initial=0) < 1 << 31 else total, marks
 
     def histories(self, k: int) -> _Histories:
         g, below = self.chunk.grams[k - 1], self.chunk.grams[k - 2]
@@ -572,10 +584,13 @@ class _Scorer:
         model, order = self.model, len(self.chunk.grams)
         of = [self.histories(k) for k in range(2, order + 1)]
         kept, lower = _collated(partial, [h.names[h.asked] for h in of], self.bits, (np.float64, np.float64))
+        partial.clear()
         p = model.unigram(self.total[0])
         f = np.ones(0)
-        for k, h in enumerate(of, 2):
+        for k in range(2, order + 1):
+            h, of[k - 2] = of[k - 2], None  # no longer held than its turn
             g, total = self.chunk.grams[k - 1], self.total[k - 1]
+            g.names = np.zeros(0, np.uint64)
             at = h.sent[h.asked]
             h.kept[at], h.lower[at] = kept[k - 2], lower[k - 2]
             if k > 2:  # f of the history without its first word
@@ -603,10 +618,10 @@ def score_katz(docs: DataFrame, order: int = ORDER, chunk_tokens: int = CHUNK_TO
     model, and an empty table gives an empty one.
     """
     with scratch() as keep:
-        return keep(stored(_scored(documents(docs), order, chunk_tokens, partition_keys, fan_bits), "scores"))
+        return reduce(DataFrame.unionByName, [keep(x) for x in _scored(documents(docs), order, chunk_tokens, partition_keys, fan_bits)])
 
 
-def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int, fan_bits: int) -> DataFrame:
+def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int, fan_bits: int) -> list[DataFrame]:
     chunks = stored(_chunks(docs, chunk_tokens), "chunks")
     n_chunks, words, tokens, texts = (x or 0 for x in chunks.agg(F.count("*"), F.sum("n_words"), F.sum("n_tokens"), F.sum("n_train")).first())
     needed = max(0, math.ceil(math.log2(max(1, (words + (order - 1) * tokens) / partition_keys))))
@@ -618,17 +633,23 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
     def chunk_of(row: tuple) -> _Chunk:
         return _Chunk(*row, order)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                c = chunk_of(tuple(b.column(k)[i].as_py() for k in range(1, 5)))
-                values = [np.concatenate([g.count for g in c.grams]).astype(np.int64), np.concatenate([g.sought for g in c.grams])]
-                yield from _messages(b.column(0)[i].as_py(), [g.names for g in c.grams], values, bits)
-                del c, values
-                _given_back()
+    def counting(orders: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    grams = _Chunk(*(b.column(k)[i].as_py() for k in range(1, 5)), max(orders), orders).grams
+                    values = [np.concatenate([g.count for g in grams]).astype(np.int64), np.concatenate([g.sought for g in grams])]
+                    yield from _messages(b.column(0)[i].as_py(), [g.names for g in grams], values, bits)
+                    del grams, values
+                    _given_back()
+
+        return count
 
     blob = ("held", "lengths", "words", "codes")
-    counts = answers(chunks.select("chunk", *blob).mapInArrow(count, _SENT_SQL), True, "counts")
+    # The highest order apart from the others: the shuffle files of both aren't there at once.
+    parts = [x for x in (list(range(1, order)), [order]) if x]
+    asked = [answers(chunks.select("chunk", *blob).mapInArrow(counting(x), _SENT_SQL), True, "counts") for x in parts]
+    counts = reduce(DataFrame.unionByName, asked)
     spectra = [np.zeros(_CLASSES, np.int64) for _ in range(order)]
     for r in counts.filter("sender is null").groupBy("part").agg(F.sum("n").alias("n")).collect():  # at most _CLASSES rows an order
         spectra[r["part"] // _CLASSES - 1][r["part"] % _CLASSES] = r["n"]
@@ -636,10 +657,11 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
 
     own = chunks.select("chunk", F.lit(-1).alias("turn"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), *blob, "ids")
     empty = [F.lit(None).cast("binary").alias(c) for c in blob] + [F.lit(None).cast("array<long>").alias("ids")]
-    said = {1: counts}
+    said = dict(enumerate(asked))
+    weights = len(parts)
 
-    def with_chunks(work: Callable[[int, tuple, _Scorer, list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-        """``work`` on each chunk with all the answers to it."""
+    def with_chunks(work: Callable[[int, tuple, _Scorer, list[tuple]], Iterator[pa.RecordBatch]], schema: str, what: str) -> list[DataFrame]:
+        """``work`` on each chunk with all the answers to it, stored in ``TURNS`` tables."""
         every, turns = own, tuple(said)
         for turn, frame in said.items():
             every = every.unionByName(frame.filter("sender is not null").select(F.col("sender").alias("chunk"), F.lit(turn).alias("turn"), "part", "a", "b", *empty))
@@ -649,11 +671,12 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
                 head = next(r for r in rows if r[0] == -1)
                 of = {turn: [r[1:4] for r in rows if r[0] == turn] for turn in turns}
                 del rows
-                yield from work(chunk, head, _Scorer(chunk_of(head[4:8]), model, of[1], bits), of.get(2, []))
+                yield from work(chunk, head, _Scorer(chunk_of(head[4:8]), model, [(x, of[turn]) for turn, x in enumerate(parts)], bits), of.get(weights, []))
                 del head, of
                 _given_back()
 
-        return _dealt(every, "chunk", n_chunks).mapInArrow(run, schema)
+        own_turn = F.pmod(F.xxhash64("chunk"), F.lit(TURNS))
+        return [stored(_dealt(every.filter(own_turn == i), "chunk", -(-n_chunks // TURNS)).mapInArrow(run, schema), what) for i in range(TURNS)]
 
     def weigh(chunk: int, _: tuple, s: _Scorer, __: list[tuple]) -> Iterator[pa.RecordBatch]:
         of = [s.histories(k) for k in range(2, order + 1)]
@@ -661,10 +684,11 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
         yield from _messages(chunk, [h.names for h in of], [*values, np.concatenate([h.asked for h in of]).astype(np.uint8)], bits)
 
     if order > 1:
-        sent = stored(with_chunks(weigh, _SENT_SQL), "sums")
+        sums = with_chunks(weigh, _SENT_SQL, "sums")
+        sent = reduce(DataFrame.unionByName, sums)
         rounds = [answers(sent.filter(F.col("part") % ROUNDS == i), False, "weights") for i in range(min(ROUNDS, 1 << bits))]
-        dropped(sent)
-        said[2] = reduce(DataFrame.unionByName, rounds)
+        dropped(*sums)
+        said[weights] = reduce(DataFrame.unionByName, rounds)
 
     def score(_: int, head: tuple, s: _Scorer, partial: list[tuple]) -> Iterator[pa.RecordBatch]:
         c, first = s.chunk, s.chunk.starts
@@ -681,4 +705,4 @@ def _scored(docs: DataFrame, order: int, chunk_tokens: int, partition_keys: int,
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return with_chunks(score, _SCORES)
+    return with_chunks(score, _SCORES, "scores")
