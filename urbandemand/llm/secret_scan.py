@@ -8,12 +8,16 @@ a battery of tests for the encoding that its characters suggest:
   digits, vowels, common consonants), as a short token has less than one draw a
   sign, and over pairs of equal signs;
 - a runs test of these classes;
-- serial correlation of neighbours, and equal signs at every lag up to ``LAGS``.
+- serial correlation of neighbours, and equal signs at every lag up to ``LAGS``;
+- likeness to words: how much oftener a token's pairs of neighbours stand in the
+  documents than by chance, against the mean and variance of that in random
+  tokens. The pairs of letters of all documents are counted for this.
 
-Fisher's method joins the three. A secret passes as random; words do not. How
+Fisher's method joins them. A secret passes as random; words do not. How
 random a token must be is settled for each length from the corpus: all letters
-of every document, strung together to tokens of that length back to back, give
-the share of text that looks as random, and the bar is put where the expected
+of every document outside of what is itself under test (long tokens and base
+spans), strung together to tokens of that length back to back, give
+the share of ordinary text that looks as random, and the bar is put where the expected
 share of such tokens among those reported stays below ``rate``.
 """
 
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Remembered, documents, map_texts, stored
+from .common import Remembered, documents, dropped, map_texts, scratch, stored
 from .spans import Span, apart, digest, joined
 
 # The base formats.
@@ -162,7 +166,71 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return x.view(np.uint8).sum(axis=0, dtype=np.int64 if len(x) > 65_000 else np.uint16).astype(np.int64)
 
 
-def _battery_logs(tokens: np.ndarray, k: int) -> np.ndarray:
+@dataclass
+class Pairs:
+    """How much likelier than by chance pairs of neighbours are in text, and the mean and variance of a token's sum by encoding."""
+
+    log_ratio: np.ndarray  # by sign class
+    mean: list[float]
+    var: list[float]
+    beside: list[float]  # covariance of pairs that share a sign
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Pairs:
+        """From the counts of pairs of sign classes: 26 letters, and all else."""
+        ratio = np.log((counts + 0.5) / (counts.sum() + 0.5 * counts.size) * counts.size)
+        mean, var, beside = [], [], []
+        for e in ENCODINGS:
+            of = np.array([_SIGN[ord(c)] for c in e.signs])
+            own = ratio[np.ix_(of, of)]
+            mean.append(float(own.mean()))
+            var.append(float(own.var()))
+            beside.append(float((own.mean(axis=0) * own.mean(axis=1)).mean() - own.mean() ** 2))
+        return cls(ratio, mean, var, beside)
+
+    def log_p(self, tokens: np.ndarray, k: int) -> np.ndarray | None:
+        """Log p of being as word-like as the columns are; None for an encoding without letters."""
+        n = len(tokens)
+        var = (n - 1) * self.var[k] + 2 * (n - 2) * self.beside[k]
+        if var <= 1e-9:
+            return None
+        of = _SIGN[tokens]
+        z = (self.log_ratio[of[:-1], of[1:]].sum(axis=0) - (n - 1) * self.mean[k]) / math.sqrt(var)
+        half = _two_sided(z) - math.log(2)
+        return np.where(z > 0, half, np.log1p(-np.exp(half)))
+
+
+_SIGN = np.array([chr(c).lower() in _LOWER and _LOWER.index(chr(c).lower()) if c < 128 and chr(c).isalpha() else 26 for c in range(256)], dtype=np.int64)
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """Counts of neighbouring sign classes in the texts, of pairs with a letter."""
+    out = np.zeros(27 * 27, np.int64)
+    for t in texts:
+        of = _SIGN[np.frombuffer(t.encode("ascii", "replace"), np.uint8)]
+        out += np.bincount(of[:-1] * 27 + of[1:], minlength=27 * 27)
+    out[-1] = 0
+    return out.reshape(27, 27)
+
+
+def fit_pairs(docs: DataFrame) -> Pairs:
+    """``Pairs`` over all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((27, 27), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                total += pair_counts([t or "" for t in b.column(0).slice(at, 256).to_pylist()])
+        yield pa.RecordBatch.from_pydict({"pair": np.arange(total.size), "n": total.ravel()})
+
+    rows = documents(docs).select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 729 rows
+    counts = np.zeros(27 * 27)
+    for r in rows:
+        counts[r["pair"]] = r["n"]
+    return Pairs.of(counts.reshape(27, 27))
+
+
+def _battery_logs(tokens: np.ndarray, k: int, pairs_of: Pairs | None = None) -> np.ndarray:
     """Log of the joint p of tokens of encoding ``k``, the columns of a byte matrix."""
     n, m = tokens.shape
     size = ENCODINGS[k].size
@@ -192,12 +260,14 @@ def _battery_logs(tokens: np.ndarray, k: int) -> np.ndarray:
     lags = range(1, min(LAGS, n // 2) + 1)
     again = [_at_least(_sums(x[lag:] == x[:-lag]), (n - lag) / size) for lag in lags]
     beside = _either(_two_sided(z), _either(*again))
-    logs = np.maximum(uneven + runs + beside, -690.0)
-    return logs + np.log(1 - logs + logs * logs / 2)  # Fisher: chi-squared with six degrees of freedom
+    words = pairs_of.log_p(tokens, k) if pairs_of else None
+    logs = np.maximum(uneven + runs + beside + (0 if words is None else words), -690.0)
+    # Fisher: chi-squared with twice as many degrees of freedom as tests.
+    return logs + np.log(1 - logs + logs * logs / 2 - (0 if words is None else logs**3 / 6))
 
 
-def joint_logs(tokens: np.ndarray) -> np.ndarray:
-    """Log p of "uniformly random in its encoding" of the tokens in the rows of a byte matrix."""
+def joint_logs(tokens: np.ndarray, pairs: Pairs | None = None) -> np.ndarray:
+    """Log p of "uniformly random in its encoding" of the tokens in the rows of a byte matrix; without ``pairs`` by three tests."""
     fits = np.bitwise_and.reduce(_IN[tokens], axis=1)
     out = np.full(len(tokens), _LEAST_LOG)
     if tokens.shape[1] < 8:
@@ -206,14 +276,14 @@ def joint_logs(tokens: np.ndarray) -> np.ndarray:
     for k in range(len(ENCODINGS)):
         at = np.flatnonzero(first == 1 << k)
         if len(at):
-            out[at] = _battery_logs(np.ascontiguousarray(tokens[at].T), k)
+            out[at] = _battery_logs(np.ascontiguousarray(tokens[at].T), k, pairs)
     return out
 
 
-def battery(token: str) -> float:
+def battery(token: str, pairs: Pairs | None = None) -> float:
     """Joint p-value of a token under "uniformly random in its encoding"."""
     body = token.rstrip("=").encode("ascii", "replace")
-    return float(np.exp(min(0.0, joint_logs(np.frombuffer(body, np.uint8).reshape(1, -1))[0]))) if body else 0.0
+    return float(np.exp(min(0.0, joint_logs(np.frombuffer(body, np.uint8).reshape(1, -1), pairs)[0]))) if body else 0.0
 
 
 def level(p: float) -> int:
@@ -221,9 +291,9 @@ def level(p: float) -> int:
     return min(LEVELS - 1, int(-2 * math.log2(max(p, 1e-30))))
 
 
-def levels(tokens: np.ndarray) -> np.ndarray:
+def levels(tokens: np.ndarray, pairs: Pairs | None = None) -> np.ndarray:
     """``level(battery(token))`` of the tokens in the rows of a byte matrix."""
-    p = np.exp(np.minimum(joint_logs(tokens), 0.0))
+    p = np.exp(np.minimum(joint_logs(tokens, pairs), 0.0))
     return np.minimum(LEVELS - 1, (-2 * np.log2(np.maximum(p, 1e-30))).astype(int))
 
 
@@ -248,7 +318,7 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text) if m.end() - m.start() >= LENGTHS[0]]
 
 
-def judged(tokens: list[str]) -> list[int]:
+def judged(tokens: list[str], pairs: Pairs | None = None) -> list[int]:
     """The level of each token; those of one length are put to the battery together."""
     bodies = [t.rstrip("=").encode() for t in tokens]
     by_length: dict[int, list[int]] = {}
@@ -260,21 +330,31 @@ def judged(tokens: list[str]) -> list[int]:
         for at in range(0, len(of), step):
             part = of[at : at + step]
             rows = np.frombuffer(b"".join(bodies[i] for i in part), np.uint8).reshape(len(part), n)
-            for i, v in zip(part, levels(rows).tolist()):
+            for i, v in zip(part, levels(rows, pairs).tolist()):
                 out[i] = v
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, int, int]]:
+def candidates(text: str, pairs: Pairs | None = None) -> list[tuple[int, int, int, int]]:
     """Tokens of the least length or more: start, end, length class, level."""
     at = tokens_of(text)
-    return [(s, e, length_class(e - s), v) for (s, e), v in zip(at, judged([text[s:e] for s, e in at]))]
+    return [(s, e, length_class(e - s), v) for (s, e), v in zip(at, judged([text[s:e] for s, e in at], pairs))]
 
 
 _NOT_LETTERS = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122))
 
 
-def references(texts: list[str]) -> dict[int, int]:
+def ordinary(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without spans, which may overlap; what stood beside them doesn't meet."""
+    out, at = [], 0
+    for start, stop in sorted(spans):
+        if start > at:
+            out.append(text[at:start])
+        at = max(at, stop)
+    return " ".join([*out, text[at:]])
+
+
+def references(texts: list[str], pairs: Pairs | None = None) -> dict[int, int]:
     """Counts by class * LEVELS + level of the texts' letters strung to each length.
 
     Tokens of one length follow each other without a gap and do not cross
@@ -285,7 +365,7 @@ def references(texts: list[str]) -> dict[int, int]:
     for n in LENGTHS:
         whole = np.frombuffer(b"".join(x[: len(x) // n * n] for x in letters), dtype=np.uint8).reshape(-1, n)
         for at in range(0, len(whole), CHUNK // n):
-            for v, count in enumerate(np.bincount(levels(whole[at : at + CHUNK // n]), minlength=LEVELS).tolist()):
+            for v, count in enumerate(np.bincount(levels(whole[at : at + CHUNK // n], pairs), minlength=LEVELS).tolist()):
                 if count:
                     out[length_class(n) * LEVELS + v] = out.get(length_class(n) * LEVELS + v, 0) + count
     return out
@@ -317,24 +397,22 @@ def bars(null: dict[int, int], seen: dict[int, int], rate: float = RATE) -> Bars
 _SCANNED = "base array<struct<start:int,stop:int,kind:string>>, token array<struct<start:int,stop:int,length_class:int,level:int>>, reference array<struct<at:int,n:long>>"
 
 
-def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
-
-    ``spans`` has the base spans and, of kind ``random``, tokens that pass the
-    battery and meet none of them. Offsets are code points, ends exclusive.
-    Null counts as empty; whole texts are scanned; rows that repeat are
-    scanned each; with no rows there is no reference and no result.
-    """
+def _judged(docs: DataFrame, rate: float) -> tuple[DataFrame, list[int]]:
+    """All texts' base spans and tokens with their levels, stored, and the bars."""
+    pairs = fit_pairs(docs)
 
     def scan(texts: list[str | None]) -> dict[str, list]:
         out: dict[str, list] = {"base": [], "token": [], "reference": []}
         texts = [t or "" for t in texts]
         at = [tokens_of(t) for t in texts]
-        found = iter(judged([t[s:e] for t, of in zip(texts, at) for s, e in of]))
+        found = iter(judged([t[s:e] for t, of in zip(texts, at) for s, e in of], pairs))
+        plain = []
         for t, of in zip(texts, at):
-            out["base"].append([{"start": s, "stop": e, "kind": k} for s, e, k in base_spans(t)])
+            base = base_spans(t)
+            plain.append(ordinary(t, [*of, *((s, e) for s, e, _ in base)]) if of or base else t)
+            out["base"].append([{"start": s, "stop": e, "kind": k} for s, e, k in base])
             out["token"].append([{"start": s, "stop": e, "length_class": length_class(e - s), "level": next(found)} for s, e in of])
-        null = [{"at": at, "n": n} for at, n in references(texts).items()]
+        null = [{"at": at, "n": n} for at, n in references(plain, pairs).items()]
         out["reference"] = [null if k == 0 else [] for k in range(len(texts))]  # of the slice, at its first row
         return out
 
@@ -345,7 +423,25 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
         return {r["at"]: r["n"] for r in rows}
 
     seen = F.transform("token", lambda c: F.struct((c["length_class"] * LEVELS + c["level"]).alias("at"), F.lit(1).cast("long").alias("n")))
-    bar = bars(counts(F.col("reference")), counts(seen), rate).highest
+    return found, bars(counts(F.col("reference")), counts(seen), rate).highest
+
+
+def bars_of(docs: DataFrame, rate: float = RATE) -> tuple[Pairs, list[int]]:
+    """What the tests take from the corpus, and the highest level that counts as random by length class."""
+    with scratch():
+        return fit_pairs(docs), _judged(docs, rate)[1]
+
+
+def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
+
+    ``spans`` has the base spans and, of kind ``random``, tokens that pass the
+    battery and meet none of them. Offsets are code points, ends exclusive.
+    Null counts as empty; whole texts are scanned; rows that repeat are
+    scanned each; with no rows there is no reference and no result.
+    """
+
+    found, bar = _judged(docs, rate)
 
     def spans_of(base: list, token: list) -> tuple:
         own = [(b["start"], b["stop"], b["kind"]) for b in base]
@@ -363,4 +459,7 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * len(empty)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t.type) for c, t in zip(columns, list(target)[1:]))], schema=target)
 
-    return found.select("doc_id", "base", "token").mapInArrow(finish, schema)
+    with scratch() as keep:
+        out = keep(stored(found.select("doc_id", "base", "token").mapInArrow(finish, schema), "secrets"))
+    dropped(found)
+    return out
