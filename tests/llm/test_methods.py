@@ -361,11 +361,48 @@ def test_secret_recall_by_length(spark, docs, length):
     rng = np.random.default_rng(length)
     alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
     texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
-    rows = [(i, t + (" key " + "".join(rng.choice(alphabet, length)) + " end" if i % 2 else "")) for i, t in enumerate(texts)]
+    rows = [(i, t + (" key " + "".join(rng.choice(alphabet, length)) + " end" if i % 10 == 1 else "")) for i, t in enumerate(texts)]
     got = {r.doc_id: r.n_random for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    planted = [got[i] for i, _ in rows if i % 2]
+    planted = [got[i] for i, _ in rows if i % 10 == 1]
     assert np.mean([n > 0 for n in planted]) >= 0.9
-    assert np.mean([got[i] > 0 for i, _ in rows if not i % 2]) <= 0.05
+    assert np.mean([got[i] > 0 for i, _ in rows if i % 10 != 1]) <= 0.05
+
+
+def test_secret_recall_of_rare_plants(spark):
+    """One token of each length in a thousand documents: the bars let at least nine of ten random tokens pass, and few words."""
+    rng = np.random.default_rng(11)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    draw = lambda n: "".join(rng.choice(alphabet, n))
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF01}/documents.parquet").orderBy("doc_id").collect()]
+    at = rng.choice(len(texts), len(secret_scan.LENGTHS), replace=False)
+    for k, n in zip(at, secret_scan.LENGTHS):
+        texts[k] += f" key {draw(n)} end"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, bars = secret_scan.bars_of(docs)
+    for k, n in enumerate(secret_scan.LENGTHS):
+        levels = np.array(secret_scan.judged([draw(n) for _ in range(500)], pairs))
+        assert np.mean(levels <= bars[k]) >= 0.9, (n, bars[k])
+    got = {r.doc_id: r.n_random for r in secret_scan.scan_secrets(docs).collect()}
+    assert sum(got[i] > 0 for i in got if i not in at) <= 3
+
+
+def test_secret_word_likeness():
+    """The mean and variance of a random token's pairs, and that words stand out."""
+    prose = "the quick brown fox jumps over the lazy dog and runs away into the green forest where nobody ever sleeps " * 50
+    pairs = secret_scan.Pairs.of(secret_scan.pair_counts([prose]))
+    rng = np.random.default_rng(1)
+    for k, e in enumerate(secret_scan.ENCODINGS):
+        tokens = np.array([[ord(c) for c in rng.choice(list(e.signs), 24)] for _ in range(4000)], np.uint8).T
+        log_p = pairs.log_p(tokens, k)
+        if e.signs.isdigit():
+            assert log_p is None
+            continue
+        of = secret_scan._SIGN[tokens]
+        sums = pairs.log_ratio[of[:-1], of[1:]].sum(axis=0)
+        assert sums.mean() == pytest.approx(23 * pairs.mean[k], abs=4 * sums.std() / 60)
+        assert sums.var() == pytest.approx(23 * pairs.var[k] + 44 * pairs.beside[k], rel=0.15)
+    assert secret_scan.battery("quickbrownfoxjumpsover", pairs) < 1e-3 * secret_scan.battery("quickbrownfoxjumpsover")
+    assert secret_scan.ordinary("one two three four", [(4, 7), (5, 13)]) == "one   four"
 
 
 def test_secret_battery_against_plain_form():
