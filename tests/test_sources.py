@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from urbandemand.functions import curve
+from urbandemand.operators import coverage, routing
+from urbandemand.sinks import layers, publish
 from urbandemand.sinks.ordered import write_features, write_ordered
 from urbandemand.sources import osm, tiles
 from urbandemand.sources.json_array import array_objects, read_array
@@ -234,3 +236,83 @@ def test_a_box_skips_row_groups(spark, tmp_path, capsys):
                 groups += 1
                 met += stat("east").max >= 2 and stat("west").min <= 3 and stat("north").max >= 2 and stat("south").min <= 3.5
     assert groups >= 40 and met <= groups / 6
+
+
+def test_layers_in_the_order_of_elements(spark, tmp_path):
+    way = lambda i, o, tags: ("A", o, "way", i, [(43.6, -79.4), (43.61, -79.4)], tags)
+    rows = [way(5, 1, {"highway": "trunk", "name": "B"}), way(9, 0, {"highway": "primary", "name": "A"}), way(7, 2, {"aeroway": "runway"}), way(3, 3, {"building": "yes"})]
+    frame = spark.createDataFrame(rows, "city string, ordinal long, type string, id long, geometry array<struct<lat:double,lon:double>>, tags map<string,string>")
+    layers.write_roads(frame, str(tmp_path / "roads"))
+    layers.write_runways(frame, str(tmp_path / "runways"))
+    layers.write_elements(frame.filter("id = 3"), str(tmp_path / "elements"))
+    roads = json.loads(_text(tmp_path / "roads" / "city=A"))["features"]
+    assert [f["properties"]["name"] for f in roads] == ["A", "B"] and roads[0]["geometry"]["coordinates"] == [[-79.4, 43.6], [-79.4, 43.61]]
+    (runway,) = json.loads(_text(tmp_path / "runways" / "city=A"))["features"]
+    assert runway["properties"]["z_order"] == 0 and len(runway["geometry"]["coordinates"][0]) > 20
+    assert json.loads(_text(tmp_path / "elements" / "city=A")) == [{"type": "way", "id": 3, "geometry": [{"lat": 43.6, "lon": -79.4}, {"lat": 43.61, "lon": -79.4}], "tags": {"building": "yes"}}]
+
+
+def test_outputs_are_switched_over_together(spark, tmp_path):
+    root = f"file://{tmp_path}/YYZ"
+    value = lambda n: lambda path: spark.range(n).write.parquet(path)
+    rows = lambda: {k: spark.read.parquet(v).count() for k, v in publish.current(spark, root).items()}
+    assert rows() == {}
+    assert publish.published(spark, root, {"roads": value(1), "demand": value(2)}) == 1 and rows() == {"roads": 1, "demand": 2}
+
+    def breaks(path):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        publish.published(spark, root, {"roads": value(3), "demand": breaks})
+    assert rows() == {"roads": 1, "demand": 2}  # the run broke between two outputs
+    value(5)(f"{root}/_versions/half/roads")
+    with pytest.raises(publish.IncompleteVersion):
+        publish.switched(spark, root, "half", ["roads", "demand"])
+    assert rows() == {"roads": 1, "demand": 2} and publish.missing(spark, root, "half", ["roads", "demand"]) == ["demand"]
+    value(6)(f"{root}/_versions/half/demand")
+    assert publish.switched(spark, root, "half", ["roads", "demand"]) == 2 and rows() == {"roads": 5, "demand": 6}
+    assert len(publish.cleared(spark, root, keep=1)) == 1 and rows() == {"roads": 5, "demand": 6}
+
+
+def test_routes_are_asked_for_once(spark, tmp_path):
+    asked = []
+
+    def fetch(new):
+        asked.append(sorted(r.residence_id for r in new.collect()))
+        route = F.array(F.struct(F.length("request").cast("double").alias("distance"), F.lit(1.0).alias("duration"), F.from_json(F.lit("[]"), "array<struct<steps:array<struct<geometry:struct<coordinates:array<array<double>>>>>>>").alias("legs")))
+        return new.withColumn("routes", F.when((F.col("residence_id") != "c") | F.lit(len(asked) > 1), route))
+
+    table = lambda *ids: spark.createDataFrame([("A", i, "j", f"{i}{n}") for i, n in ids], "city string, residence_id string, job_id string, request string")
+    at = f"{tmp_path}/routes"
+    first = routing.routed_once(table(("a", ""), ("b", ""), ("c", ""), ("a", "")), at, fetch)
+    assert asked == [["a", "b", "c"]] and {r.residence_id: r.routes is not None for r in first.collect()} == {"a": True, "b": True, "c": False}
+    again = routing.routed_once(table(("a", ""), ("c", ""), ("d", "")), at, fetch)
+    assert asked[1:] == [["c", "d"]] and {r.residence_id: (r.routes[0].distance, r.version) for r in again.collect()} == {"a": (1.0, 1), "c": (1.0, 2), "d": (1.0, 2)}
+    routing.routed_once(table(("a", ""), ("c", ""), ("d", "")), at, fetch)
+    assert len(asked) == 2  # nothing to ask for
+    moved = routing.routed_once(table(("b", "moved")), at, fetch)
+    assert asked[2:] == [["b"]] and [r.routes[0].distance for r in moved.collect()] == [6.0]
+
+
+def test_covers_hold_what_their_boxes_hold(spark):
+    rng = random.Random(6)
+    boxes = []
+    for k in range(40):
+        w, s = rng.uniform(-1, 40), rng.uniform(-1, 40)
+        boxes.append(("c", k, w, s, w + rng.choice([0, 0.5, 3, 30]), s + rng.choice([0, 0.5, 7, 33])))
+    frame = spark.createDataFrame(boxes, "city string, polygon int, west double, south double, east double, north double")
+    dims = spark.createDataFrame([("c", 0.0, 0.0, 1.0, 1.0, 37, 41)], "city string, west double, south double, cell_x double, cell_y double, columns int, rows int")
+    squares = coverage.cover(frame, dims)
+    flat = sorted(map(tuple, coverage.coverage_cells(frame, dims).select("polygon", "x", "y").collect()))
+    assert sorted(map(tuple, coverage.cover_cells(squares).select("polygon", "x", "y").collect())) == flat
+    ranges = {r.polygon: r for r in coverage.cell_ranges(frame, dims).collect()}
+    n = {r.polygon: r["count"] for r in squares.groupBy("polygon").count().collect()}
+    assert set(n) == set(ranges) and all(n[k] <= 4 * (r.c1 - r.c0 + r.r1 - r.r0 + 2) for k, r in ranges.items()) and max(n.values()) < 250 < 400 < max((r.c1 - r.c0 + 1) * (r.r1 - r.r0 + 1) for r in ranges.values())
+    cells = spark.createDataFrame([("c", rng.randrange(37), rng.randrange(41), k) for k in range(60)], "city string, x int, y int, k int")
+    want = {(r.k, p) for r in cells.collect() for p, x, y in flat if (x, y) == (r.x, r.y)}
+    assert {(r.k, r.polygon) for r in coverage.covering(cells, squares, 7).collect()} == want
+    asked = squares.filter("polygon < 5").withColumnRenamed("polygon", "query")
+    by = {}
+    for p, x, y in flat:
+        by.setdefault(p, set()).add((x, y))
+    assert {(r["query"], r.polygon) for r in coverage.meeting(asked, squares, 7).collect()} == {(q, p) for q in by if q < 5 for p in by if by[q] & by[p]}

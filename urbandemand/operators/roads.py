@@ -17,30 +17,30 @@ def line_of(points: Column) -> Column:
     return F.transform(points, lambda p: F.array(p["lon"], p["lat"]))
 
 
-def road_features(elements: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Ways of the highway kinds that are read, as line features."""
+def road_features(elements: DataFrame, params: Params = DEFAULTS, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Ways of the highway kinds that are read, as line features; ``kept`` are columns that stay."""
     highway = F.col("tags")["highway"]
     rows = elements.filter((F.col("type") == "way") & highway.isin(*ROAD_CLASS))
-    return rows.select("city", "id", looked_up(ROAD_CLASS, highway).alias("road_class"), F.lit("normal").alias("structure"), street_name(F.col("tags"), params.locale).alias("name"), line_of(F.col("geometry")).alias("coordinates"))
+    return rows.select("city", "id", *kept, looked_up(ROAD_CLASS, highway).alias("road_class"), F.lit("normal").alias("structure"), street_name(F.col("tags"), params.locale).alias("name"), line_of(F.col("geometry")).alias("coordinates"))
 
 
-def runway_properties(elements: DataFrame) -> DataFrame:
+def runway_properties(elements: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """Properties of runway features: lines have a z-order, areas their kind and size."""
     kind = F.col("tags")["aeroway"]
     line = kind.isin("runway", "taxiway")
     rows = elements.filter((F.col("type") == "way") & kind.isin(*AEROWAYS)).withColumn("ring", closed(F.col("geometry")))
     return rows.select(
-        "city", "id", F.lit("runway").alias("road_type"), F.when(line, F.lit(0)).alias("z_order"), F.when(~line, kind).alias("aeroway"), F.col("id").cast("string").alias("osm_way_id"),
+        "city", "id", *kept, F.lit("runway").alias("road_type"), F.when(line, F.lit(0)).alias("z_order"), F.when(~line, kind).alias("aeroway"), F.col("id").cast("string").alias("osm_way_id"),
         F.when(line, F.lit(0.0)).otherwise(ring_area(F.col("ring"))).alias("area"), F.when(kind == "runway", F.lit(30.0)).when(kind == "taxiway", F.lit(10.0)).alias("buffer_m"), "geometry",
     )
 
 
-def runway_features(elements: DataFrame) -> DataFrame:
+def runway_features(elements: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """Runway features as JSON coordinates: an area with its own ring, a line with the outer ring of what lies around it."""
-    rows = runway_properties(elements)
+    rows = runway_properties(elements, kept)
     line = line_of(F.col("geometry"))
     ring = F.when(F.col("buffer_m").isNull(), line).otherwise(F.get(F.get(buffer_metres(F.array(line), F.col("buffer_m")), F.lit(0)), F.lit(0)))
-    return rows.select("city", "id", "road_type", "z_order", "aeroway", "osm_way_id", "area", F.lit("Polygon").alias("kind"), F.to_json(F.array(F.coalesce(ring, F.slice(line, 1, 0)))).alias("coordinates"))
+    return rows.select("city", "id", *kept, "road_type", "z_order", "aeroway", "osm_way_id", "area", F.lit("Polygon").alias("kind"), F.to_json(F.array(F.coalesce(ring, F.slice(line, 1, 0)))).alias("coordinates"))
 
 
 def ocean_ring(rings: Column) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import driver_views as views
+from . import source_queries
 from .functions import buffer, geo, num, text
 from .functions.geo import closed
 from .operators import assign, buildings, cities, coverage, demand, grid_index, roads, routing, sites
+from .oracles import ORACLE_SQL
 from .params import DEFAULTS
 from .plans import demand as plans
 from .plans import thumbnail
@@ -483,3 +485,7 @@ def drawn_shapes(spark, sf):
     rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.lit(views.CITY).alias("city"), kind.alias("kind"), body.alias("coordinates"), zoom.alias("properties"))
     ring = F.from_json("coordinates", "array<array<array<double>>>")[0]
     return thumbnail.drawn_shapes(rows).select("kind", (F.size(ring) > 4).alias("is_line"), *_edges(ring))
+
+
+QUERIES.update(source_queries.QUERIES)
+ORACLE_SQL.update(source_queries.ORACLE_SQL)
