@@ -555,7 +555,7 @@ class _Scorer:
         size = len(count)
         mine = np.flatnonzero(self.marks[k - 1] & OWNED)
         own = g.before[mine]
-        kept = np.bincount(own, model.kept(k, total[mine]), minlength=size)
+        kept = np.bincount(own, model.kept(k, total[mine]), minlength=size).astype(float)  # of no grams it counts in whole numbers
         # The lower order's P of a gram that training has, but for its history's f.
         low = g.lower[mine]
         if k == 2:
@@ -563,7 +563,7 @@ class _Scorer:
         else:
             history = self.chunk.grams[k - 2].before[low]
             p = model.kept(k - 1, self.total[k - 2][low]) / np.append(self.total[k - 3], model.texts)[history]
-        lower = np.bincount(own, p, minlength=size)
+        lower = np.bincount(own, p, minlength=size).astype(float)
         gives, asks = np.zeros(size, bool), np.zeros(size, bool)
         gives[own] = True
         # f is 1 where a follower here is discounted; a is needed where one is not in training.
