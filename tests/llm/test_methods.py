@@ -79,7 +79,45 @@ def _check_katz(docs, sizes):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(own), sum(c[1][w,] > 0 for w in own), total, i not in train)
         assert r.base_score == pytest.approx(sum(math.log10((c[1][w,] + 0.5) / (total + 0.5 * (distinct + 1))) for w in own))
-        assert r.score == pytest.approx(sum(math.log10(p(g)) for g in grams(own, order)))
+        assert r.score == pytest.approx(sum(math.log10(p(g)) for g in grams(own, order)), rel=1e-11, abs=1e-11)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_tokens": 150, "partition_keys": 60, "fan_bits": 2}])
+def test_katz_sums_to_one_in_the_engine(spark, sizes):
+    """P of all words, of a text's end and of an unseen word after a history, all out of the engine's own scores.
+
+    Unseen words on both sides cut a word's neighbours off, so single
+    probabilities are ratios of scores of held-out texts.
+    """
+    rng = np.random.default_rng(8)
+    words = "red green blue cyan pink grey".split()
+    texts = [" ".join(rng.choice(words, rng.integers(2, 9), p=[0.4, 0.25, 0.15, 0.1, 0.06, 0.04])) for _ in range(60)]
+    held = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 5 == 1)
+    train = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 5 != 1)
+    pairs = [("red", "green"), ("red", "red"), ("grey", "pink"), ("blue", "cyan")]
+    u = "never"
+    asked = {"", u, f"{u} {u}", *words} | {f"{u} {h}" for h in words} | {f"{u} {h} {u}" for h in words} | {f"{u} {h} {w} {u}" for h in words for w in words}
+    asked |= {f"{u} {u} {h} {w} {u} {u}" for h in words for w in words}
+    asked |= {f"{u} {u} {g} {h} {x}".strip() for g, h in pairs for x in ["", f"{u} {u}", *(f"{w} {u} {u}" for w in words)]}
+    ids = dict(zip(sorted(asked), held))
+    frame = spark.createDataFrame([*zip(train, texts), *((i, t) for t, i in ids.items())], "doc_id long, text string").repartition(4)
+    s = {}
+    for k in (1, 2, 3):
+        by_id = {r.doc_id: r.score for r in katz.score_katz(frame, order=k, **sizes).collect()}
+        s[k] = {t: by_id[i] for t, i in ids.items()}
+    ratio = lambda k, a, b: 10 ** (s[k][a] - s[k][b])
+    p1 = {w: ratio(1, w, "") for w in [*words, u]} | {"": 10 ** s[1][""]}
+    assert sum(p1.values()) == pytest.approx(1, abs=1e-12)
+    p2 = {}
+    for h in words:
+        p2[h] = {w: ratio(2, f"{u} {h} {w} {u}", f"{u} {w} {u}") * p1[w] / p1[h] for w in words}
+        p2[h] |= {"": ratio(2, f"{u} {h}", u) * p1[""] / p1[h], u: ratio(2, f"{u} {h} {u}", u) / p1[h]}
+        assert sum(p2[h].values()) == pytest.approx(1, abs=1e-12)
+    for g, h in pairs:
+        start = p1[g] * p2[g][h]
+        p3 = {w: ratio(3, f"{u} {u} {g} {h} {w} {u} {u}", f"{u} {u} {h} {w} {u} {u}") * p1[h] * p2[h][w] / start for w in words}
+        p3 |= {"": ratio(3, f"{u} {u} {g} {h}", f"{u} {u}") * p1[""] / start, u: ratio(3, f"{u} {u} {g} {h} {u} {u}", f"{u} {u}") / start / p1[u]}
+        assert sum(p3.values()) == pytest.approx(1, abs=1e-12)
 
 
 def test_katz_sorting_by_low_bits():
