@@ -4,7 +4,8 @@ Generators with high recall propose spans that may overlap: written-out mail
 addresses, groups of digits, IPv6 addresses, account numbers. Boosted trees
 score each by its format and its context, and a threshold for each kind,
 calibrated on examples that the trees have not seen, selects. Spans of the four
-base formats are always kept; selected spans that meet none of them are added.
+base formats are always kept, and judged by the trees as well; selected spans
+that meet none of them are added. Every span comes with its probability.
 
 The tables hold no labelled spans, so the trees learn from examples planted
 into texts of the corpus: of each format some are personal data and some are
@@ -42,7 +43,7 @@ KINDS = {k: i for i, k in enumerate(BASE + ADDED)}
 #: Share of selected spans that must be right when a threshold is calibrated.
 PRECISION = 0.95
 #: Texts that examples are planted into, and examples for the trees and for the thresholds.
-TEXTS, EXAMPLES = 400, 4000
+TEXTS, EXAMPLES = 400, 5000
 
 
 def luhn(digits: str) -> bool:
@@ -108,8 +109,10 @@ def candidates(text: str) -> list[Span]:
     return [(m.start(), m.end(), kind) for kind, pattern in _GENERATORS if kind in wanted for m in pattern.finditer(text)]
 
 
-_CUES = ("mail", "phone", "tel", "call", "mobile", "fax", "contact", "ssn", "social", "passport", "iban", "account", "address", "reach", "id", "host")
-_ANTI = ("version", "page", "price", "date", "order", "total", "room", "chapter", "isbn", "score", "year", "ratio", "at")
+_CUES = ("mail", "phone", "tel", "call", "mobile", "fax", "contact", "ssn", "social", "passport", "iban", "account", "address", "reach", "id", "host", "card")
+_ANTI = ("version", "page", "price", "date", "order", "total", "room", "chapter", "isbn", "score", "year", "ratio", "at", "release", "example", "part")
+#: Mail addresses that no person reads.
+_ROLES = ("noreply", "no-reply", "donotreply", "mailer-daemon")
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -123,12 +126,13 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         bare = span.replace(" ", "")
         iban = int(int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1)
     return [
-        float(ADDED.index(kind)), float(len(span)), float(len(digits)), float(len(groups)),
+        float(KINDS[kind]), float(len(span)), float(len(digits)), float(len(groups)),
         float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
         float("-" in span), float("." in span), float("/" in span), float(" " in span), float("(" in span or "[" in span),
         float(any(w.startswith(c) for w in before for c in _CUES)), float(any(w == c for w in before[-2:] for c in _ANTI)),
         float(left in "$€£#"), float(right in "%$€£"), float(iban), float(luhn(digits)) if digits else 0.0,
         float(sum(c in "abcdefABCDEF" for c in span)), float(len(set(digits))), float(len(groups) == 3 and 1900 <= int(groups[0][:4] or 0) <= 2100),
+        float(span.lower().startswith(_ROLES)), float(left.isalnum()),
     ]
 
 
@@ -139,12 +143,27 @@ def _iban(rng: random.Random) -> str:
     return " ".join(raw[i : i + 4] for i in range(0, len(raw), 4)) if rng.random() < 0.5 else raw
 
 
+def _card(rng: random.Random) -> str:
+    body = "".join(rng.choice("0123456789") for _ in range(15))
+    raw = next(body + c for c in "0123456789" if luhn(body + c))
+    return " ".join(raw[i : i + 4] for i in range(0, 16, 4)) if rng.random() < 0.5 else raw
+
+
 def _patterns(rng: random.Random) -> tuple[tuple[tuple[str, ...], Callable[[], str], float], ...]:
     """Words before a span ("" for none), its format, and how often such a span is personal data."""
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abdefghilmnorstuv") for _ in range(rng.randint(2, 9)))
     year = lambda: str(rng.randint(1950, 2030))
     return (
+        (("mail", "contact", "write to", ""), lambda: f"{word()}.{word()}@{word()}.com", 0.97),
+        (("example", "order", ""), lambda: f"noreply@{word()}.com", 0.05),
+        (("host", "address", "from"), lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), 0.95),
+        (("version", "release", "chapter"), lambda: ".".join(str(rng.randrange(20)) for _ in range(4)), 0.03),
+        (("",), lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), 0.85),
+        (("card", "account", ""), lambda: _card(rng), 0.95),
+        (("order", "isbn", "part"), lambda: _card(rng), 0.1),
+        (("call", "phone:", "tel", "reach me under", ""), lambda: f"+{rng.randrange(1, 99)} ({num(3)}) {num(3)}-{num(4)}", 0.98),
+        (("score", "total", "price"), lambda: f"+{num(3)} {num(3)} {num(3)}", 0.05),
         (("mail me", "contact", "write to", ""), lambda: f"{word()}.{word()} (at) {word()} (dot) com", 0.98),
         (("mail", "reach me under", "address"), lambda: f"{word()} [at] {word()} [dot] org", 0.98),
         (("reach me under", "contact"), lambda: f"{word()} at {word()} dot net", 0.97),
@@ -204,19 +223,21 @@ class PersonalDataModel:
     trees: BoostedTrees
     thresholds: dict[str, float]
 
-    def spans(self, text: str) -> tuple[list[Span], list[Span]]:
-        """Base spans, and the selected candidates that meet none of them.
+    def judged(self, texts: list[str]) -> list[tuple[list[Span], list[Span], dict[Span, float]]]:
+        """Of each text the base spans, the selected candidates that meet none of them, and the probability of both.
 
         Of selected ones that overlap the likeliest stays; of equally likely
         ones the first, then the longest, then the first kind.
         """
-        base = base_spans(text)
-        found = candidates(text)
-        if not found:
-            return base, []
-        p = self.trees.probability(np.array([features(text, *c) for c in found]))
+        bases = [base_spans(t) for t in texts]
+        proposed = [_outside(candidates(t), base) for t, base in zip(texts, bases)]
+        rows = [features(t, *c) for t, base, found in zip(texts, bases, proposed) for c in base + found]
+        p = iter(self.trees.probability(np.array(rows)).tolist() if rows else [])
+        return [self._selected(base, found, {c: next(p) for c in base + found}) for base, found in zip(bases, proposed)]
+
+    def _selected(self, base: list[Span], found: list[Span], p: dict[Span, float]) -> tuple[list[Span], list[Span], dict[Span, float]]:
         order = {k: i for i, k in enumerate(ADDED)}
-        chosen = sorted((-q, c[0], -c[1], order[c[2]], c) for q, c in zip(p, found, strict=True) if q >= self.thresholds[c[2]])
+        chosen = sorted((-p[c], c[0], -c[1], order[c[2]], c) for c in found if p[c] >= self.thresholds[c[2]])
         taken = _merged(base)
         kept: list[Span] = []
         for *_, c in chosen:
@@ -224,7 +245,11 @@ class PersonalDataModel:
             if i == 0 or taken[i - 1][1] <= c[0]:
                 kept.append(c)
                 insort(taken, c[:2])
-        return base, sorted(kept)
+        return base, sorted(kept), p
+
+    def spans(self, text: str) -> tuple[list[Span], list[Span]]:
+        """Base spans, and the selected candidates that meet none of them."""
+        return self.judged([text])[0][:2]
 
 
 def _merged(spans: list[Span]) -> list[tuple[int, int]]:
@@ -238,11 +263,23 @@ def _merged(spans: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
+def _outside(found: list[Span], base: list[Span]) -> list[Span]:
+    """Candidates that meet no base span, the only ones that may be added."""
+    taken = _merged(base)
+
+    def free(c: Span) -> bool:
+        i = bisect_left(taken, (c[1],))  # those before i begin before this one's end
+        return i == 0 or taken[i - 1][1] <= c[0]
+
+    return [c for c in found if free(c)] if taken else found
+
+
 def _table(planted: list[tuple[str, int, int, bool]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Features, marks and kinds of all candidates that meet a planted span."""
+    """Features, marks and kinds of all candidates and base spans that meet a planted span."""
     rows, marks, kinds = [], [], []
     for text, start, end, good in planted:
-        for c in candidates(text):
+        base = base_spans(text)
+        for c in base + _outside(candidates(text), base):
             if c[0] < end and c[1] > start:
                 exact = abs(c[0] - start) <= 1 and abs(c[1] - end) <= 1
                 rows.append(features(text, *c))
@@ -284,23 +321,26 @@ def fit_personal_data(docs: DataFrame, texts: int = TEXTS, n: int = EXAMPLES, se
 
 
 def find_personal_data(docs: DataFrame, model: PersonalDataModel | None = None) -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, probabilities, n_unlikely.
 
-    ``spans`` has the base spans and those the trees select. Offsets are code
+    ``spans`` has the base spans and those the trees select; ``probabilities``
+    are the trees' for each of them, in the same order, and ``n_unlikely``
+    counts the base spans below one half. Offsets are code
     points, ends exclusive. Null counts as empty; whole texts are scanned;
     rows that repeat are scanned each; an empty table gives an empty one.
     """
     model = model or fit_personal_data(docs)
 
     def scan(texts: list[str | None]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")}
-        for t in texts:
-            base, more = model.spans(t or "")
+        out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "probabilities", "n_unlikely")}
+        for base, more, p in model.judged([t or "" for t in texts]):
             for kind in BASE:
                 out[f"n_{kind}"].append(sum(k == kind for _, _, k in base))
             out["base_sha256"].append(digest(joined(base, KINDS)))
             out["spans"].append(joined(base + more, KINDS))
             out["n_added"].append(len(more))
+            out["probabilities"].append(",".join(f"{p[c]:.4f}" for c in sorted(base + more, key=lambda c: (c[0], KINDS[c[2]], c[1]))))
+            out["n_unlikely"].append(sum(p[c] < 0.5 for c in base))
         return out
 
-    return map_texts(documents(docs), scan, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return map_texts(documents(docs), scan, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, probabilities string, n_unlikely long")
