@@ -179,6 +179,13 @@ def test_runway_features(spark, tmp_path):
     assert sum(abs(away(x * east, y * north) - 30) < 0.2 for x, y in ring) == len(ring)  # the inner corner's edges meet at 30 m from both
 
 
+def test_runways_are_dealt_over_tasks(spark, tmp_path):
+    """What lies around lines is found by many tasks, though the elements are one file's."""
+    spark.range(1, 301).select(F.col("id").alias("p_partkey"), F.lit("name").alias("p_name"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("line_buffer", "runway_features"):
+        assert getattr(queries, name)(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+
+
 def test_thumbnail(spark):
     from urbandemand.plans.thumbnail import THIN, WIDE, drawn_shapes, thumbnails
 

@@ -184,3 +184,18 @@ def test_buffers_of_columns(spark):
     (outer,) = got[1][0]
     assert min(p[0] for p in outer) == pytest.approx(-10 / (111195.08 * 0.5), rel=1e-5) and max(p[1] for p in outer) == pytest.approx(60 + 10 / 111195.08, rel=1e-9)
     assert len(got[5]) == 1 and len(got[5][0][0]) > 16
+
+
+def test_plain_buffers_are_strung_at_once(monkeypatch):
+    """Rings of bends, loops with a hole and crossings take no walk from piece to piece."""
+    lines = [[[0, 0], [9, 0], [9, 4], [0, 4]], [[0, 0], [9, 0], [9, 9], [0, 9], [0, 0]], [[1, 1], [8, 7]]]
+    shapes = [[np.array(x, float)] for x in lines] + [[], [np.array([[0.0, 0.0], [9.0, 1.0]]), np.array([[50.0, 0.0], [50.5, 9.0]])]]
+    radius = np.full(len(shapes), 1.1)
+    strung = buffer._strung
+    monkeypatch.setattr(buffer, "_strung_at_once", lambda p, q, bounds, grain: ([[]] * len(shapes), np.zeros(len(shapes), bool)))
+    want = buffer.around(shapes, radius)
+    monkeypatch.undo()
+    monkeypatch.setattr(buffer, "_strung", lambda *_: pytest.fail("walked"))
+    got = buffer.around(shapes, radius)
+    assert [[len(p) for p in s] for s in got] == [[1], [2], [1], [], [1, 1]] and strung is not buffer._strung
+    assert all((r == w).all() for s, t in zip(got, want) for p, q in zip(s, t) for r, w in zip(p, q))

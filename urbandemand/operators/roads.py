@@ -25,10 +25,16 @@ def road_features(elements: DataFrame, params: Params = DEFAULTS, kept: tuple[st
 
 
 def runway_properties(elements: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
-    """Properties of runway features: lines have a z-order, areas their kind and size."""
+    """Properties of runway features: lines have a z-order, areas their kind and size.
+
+    Rows are dealt evenly over as many tasks as a shuffle has, as what lies
+    around a line takes some tenths of a millisecond to find and a file of many
+    elements may be one task's.
+    """
+    tasks = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = F.col("tags")["aeroway"]
     line = kind.isin("runway", "taxiway")
-    rows = elements.filter((F.col("type") == "way") & kind.isin(*AEROWAYS)).withColumn("ring", closed(F.col("geometry")))
+    rows = elements.filter((F.col("type") == "way") & kind.isin(*AEROWAYS)).repartition(tasks).withColumn("ring", closed(F.col("geometry")))
     return rows.select(
         "city", "id", *kept, F.lit("runway").alias("road_type"), F.when(line, F.lit(0)).alias("z_order"), F.when(~line, kind).alias("aeroway"), F.col("id").cast("string").alias("osm_way_id"),
         F.when(line, F.lit(0.0)).otherwise(ring_area(F.col("ring"))).alias("area"), F.when(kind == "runway", F.lit(30.0)).when(kind == "taxiway", F.lit(10.0)).alias("buffer_m"), "geometry",
