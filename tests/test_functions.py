@@ -16,6 +16,17 @@ def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
+def _rings_made(spark, capsys, f):
+    """How often the plan of a function of a ring makes the ring."""
+    ring = F.filter(F.expr(SQUARE), lambda p: p["lon"] != 123.4375)
+    spark.range(1).select(f(ring).alias("x")).explain()
+    return capsys.readouterr().out.count("123.4375")
+
+
+def test_centroid_makes_its_ring_once(spark, capsys):
+    assert _rings_made(spark, capsys, geo.centroid) == 1
+
+
 def test_ring_area(spark):
     assert one(spark, geo.ring_area(F.expr(SQUARE))) == pytest.approx(8953.836952948832, rel=1e-9)
     assert one(spark, geo.box_area(F.lit(-79.4), F.lit(43.6), F.lit(-79.399), F.lit(43.601))) == pytest.approx(8953.836952948832, rel=1e-9)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ RADIUS = 6371008.8
 WEB_HALF = 20037508.3427892
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once: what a function over an array names besides its own arguments is made at every mention."""
+    return F.transform(F.array(value), f)[0]
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Metres between two places along a great circle."""
     s = F.sin(F.radians(lat2 - lat1) / 2)
@@ -27,6 +33,10 @@ def closed(ring: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Square metres inside a closed ring on the sphere."""
+    return bound(ring, _ring_area)
+
+
+def _ring_area(ring: Column) -> Column:
     n = F.size(ring) - 1
 
     def add(acc: Column, i: Column) -> Column:
@@ -47,6 +57,10 @@ def centroid(ring: Column) -> Column:
     The mean of the corners where the ring has no area. Coordinates are taken
     from the first corner on, which keeps the sums small.
     """
+    return bound(ring, _centroid)
+
+
+def _centroid(ring: Column) -> Column:
     n = F.size(ring) - 1
     x0, y0 = ring[0]["lon"], ring[0]["lat"]
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
@@ -56,12 +70,15 @@ def centroid(ring: Column) -> Column:
         cross = xi * yj - xj * yi
         return F.struct((acc["a"] + cross).alias("a"), (acc["x"] + (xi + xj) * cross).alias("x"), (acc["y"] + (yi + yj) * cross).alias("y"))
 
-    s = F.aggregate(F.sequence(F.lit(0), n - 1), zero, add)
     mean = lambda field: F.aggregate(F.slice(ring, 1, n), F.lit(0.0), lambda acc, p: acc + p[field]) / n
-    flat = s["a"] == 0
-    lon = F.when(flat, mean("lon")).otherwise(x0 + F.try_divide(s["x"], s["a"] * 3))
-    lat = F.when(flat, mean("lat")).otherwise(y0 + F.try_divide(s["y"], s["a"] * 3))
-    return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    def centre(s: Column) -> Column:
+        flat = s["a"] == 0
+        lon = F.when(flat, mean("lon")).otherwise(x0 + F.try_divide(s["x"], s["a"] * 3))
+        lat = F.when(flat, mean("lat")).otherwise(y0 + F.try_divide(s["y"], s["a"] * 3))
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return bound(F.aggregate(F.sequence(F.lit(0), n - 1), zero, add), centre)
 
 
 def box_of(points: Column) -> Column:

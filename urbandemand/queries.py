@@ -154,8 +154,8 @@ def ring_area(spark, sf):
 
 @query
 def ring_centroid(spark, sf):
-    c = geo.centroid(closed(F.col("geometry")))
-    return views.buildings(spark, sf).select(F.col("id").alias("building_id"), F.round(c["lon"], 9).alias("lon"), F.round(c["lat"], 9).alias("lat"))
+    at = views.buildings(spark, sf).select(F.col("id").alias("building_id"), geo.centroid(closed(F.col("geometry"))).alias("c"))
+    return at.select("building_id", F.round("c.lon", 9).alias("lon"), F.round("c.lat", 9).alias("lat"))
 
 
 @query
