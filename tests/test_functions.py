@@ -23,6 +23,10 @@ def _rings_made(spark, capsys, f):
     return capsys.readouterr().out.count("123.4375")
 
 
+def test_area_makes_its_ring_once(spark, capsys):
+    assert _rings_made(spark, capsys, geo.ring_area) == 1
+
+
 def test_centroid_makes_its_ring_once(spark, capsys):
     assert _rings_made(spark, capsys, geo.centroid) == 1
 
