@@ -400,3 +400,16 @@ def test_pairs_of_sites_have_no_nested_loop(spark, capsys):
     queries.pair_distance(spark, "/root/testdata/sf0.001").explain()
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_cells_of_covers_are_made_by_many_tasks(spark, tmp_path, capsys):
+    """Boxes are dealt before they are cut into cells, and cells aren't shuffled."""
+    from urbandemand.source_queries import cover_squares
+
+    spark.range(1, 301).select(F.col("id").alias("p_partkey"), F.lit("name").alias("p_name"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    cover_squares(spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out.split("Final Plan")[-1].split("\n")
+    dealt = [k for k, line in enumerate(plan) if "Exchange hashpartitioning(polygon" in line and "REPARTITION" in line]
+    cut = [k for k, line in enumerate(plan) if "Generate explode" in line]
+    assert dealt and all(any(k > c for k in dealt) for c in cut)
+    assert not [line for line in plan if "Exchange hashpartitioning(" in line and ("x#" in line or "y#" in line)]

@@ -69,8 +69,11 @@ def cover(boxes: DataFrame, dims: DataFrame) -> DataFrame:
     it lies in the box and the next larger square around it doesn't. Of each
     level that is a frame one square wide, so an ocean's box has as many
     squares as four times the sum of its sides in cells at most, and not as many as its area has cells.
+    Boxes are dealt over as many tasks as a shuffle has before they are cut up, as a file of many may be one
+    task's; what is grouped by polygon needs no further shuffle.
     """
-    r = cell_ranges(boxes, dims)
+    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = cell_ranges(boxes, dims).repartition(tasks, "polygon")
     most = F.floor(F.log2(F.least(F.col("c1") - F.col("c0"), F.col("r1") - F.col("r0")) + 1)).cast("int")
     at = r.withColumn("level", F.explode(F.sequence(F.lit(0), most)))
 
