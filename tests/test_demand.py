@@ -413,3 +413,7 @@ def test_cells_of_covers_are_made_by_many_tasks(spark, tmp_path, capsys):
     cut = [k for k, line in enumerate(plan) if "Generate explode" in line]
     assert dealt and all(any(k > c for k in dealt) for c in cut)
     assert not [line for line in plan if "Exchange hashpartitioning(" in line and ("x#" in line or "y#" in line)]
+
+
+def test_pairs_of_sites_are_made_by_many_tasks(spark):
+    assert queries.pair_distance(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
