@@ -186,6 +186,12 @@ def test_runways_are_dealt_over_tasks(spark, tmp_path):
         assert getattr(queries, name)(spark, str(tmp_path)).rdd.getNumPartitions() > 1
 
 
+def test_runway_coordinates_are_read_once(spark):
+    """The four edges of a ring come from one reading of its coordinates."""
+    plan = queries.runway_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 def test_thumbnail(spark):
     from urbandemand.plans.thumbnail import THIN, WIDE, drawn_shapes, thumbnails
 

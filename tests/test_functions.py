@@ -214,3 +214,14 @@ def test_plain_buffers_are_strung_at_once(monkeypatch):
     got = buffer.around(shapes, radius)
     assert [[len(p) for p in s] for s in got] == [[1], [2], [1], [], [1, 1]] and strung is not buffer._strung
     assert all((r == w).all() for s, t in zip(got, want) for p, q in zip(s, t) for r, w in zip(p, q))
+
+
+def test_edges_far_from_an_outline_are_not_cut(monkeypatch):
+    """Of a bend's two outlines only the edges about the corner are looked at, and the ring is what cutting all edges gives."""
+    bend, seen, inside = [[np.array([[0.0, 0.0], [90.0, 0.0], [90.0, 90.0]])]], [], buffer._inside
+    monkeypatch.setattr(buffer, "_inside", lambda *given: (cut := inside(*given), seen.append(cut[0].size))[0])
+    ((ring,),) = buffer.around(bend, np.array([2.0]))[0]
+    assert 2 < sum(seen) <= buffer.CORNERS + 8  # of 2 * CORNERS
+    monkeypatch.setattr(buffer, "_near", lambda low, high, start, length, i, j: (np.repeat(i, buffer.CORNERS) * buffer.CORNERS + np.tile(np.arange(buffer.CORNERS), len(i)), np.repeat(j, buffer.CORNERS)))
+    ((whole,),) = buffer.around(bend, np.array([2.0]))[0]
+    assert (ring == whole).all()

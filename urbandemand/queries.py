@@ -338,8 +338,8 @@ def _edges(ring):
 def runway_features(spark, sf):
     kinds = F.element_at(F.array(F.lit("runway"), F.lit("taxiway"), F.lit("apron"), F.lit("gate")), (F.col("id") % 4 + 1).cast("int"))
     rows = roads.runway_features(views.buildings(spark, sf).withColumn("tags", F.create_map(F.lit("aeroway"), kinds)))
-    ring = F.from_json("coordinates", "array<array<array<double>>>")[0]
-    return rows.select("id", "road_type", "z_order", "aeroway", "osm_way_id", F.round("area", 3).alias("area"), *_edges(ring))
+    rows = rows.withColumn("ring", F.from_json("coordinates", "array<array<array<double>>>")[0])  # read once, not for each edge
+    return rows.select("id", "road_type", "z_order", "aeroway", "osm_way_id", F.round("area", 3).alias("area"), *_edges(F.col("ring")))
 
 
 @query
