@@ -423,3 +423,42 @@ def test_cells_of_covers_are_made_by_many_tasks(spark, tmp_path, capsys):
 
 def test_pairs_of_sites_are_made_by_many_tasks(spark):
     assert queries.pair_distance(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _suppliers(spark, path, n):
+    spark.range(n).select(F.col("id").alias("s_suppkey"), F.lit("name").alias("s_name")).write.parquet(f"{path}/supplier.parquet")
+    return str(path)
+
+
+def test_pairs_of_sites_shuffle_in_proportion_to_the_sites(spark, tmp_path):
+    """Four times the sites are 16 times the pairs, but four times the rows in shuffles."""
+
+    def shuffled(n):
+        sc = spark.sparkContext._jsc.sc()
+        stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))}
+        before = set(stages())
+        assert queries.pair_distance(spark, _suppliers(spark, tmp_path / str(n), n)).count() == n * n
+        sc.listenerBus().waitUntilEmpty()
+        return sum(rows for k, rows in stages().items() if k not in before)
+
+    assert shuffled(8192) < 5 * shuffled(2048)
+
+
+def test_pairs_of_sites_write_ids_in_few_bytes(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    queries.pair_distance(spark, _suppliers(spark, tmp_path, 4096)).write.parquet(f"{tmp_path}/out")
+    groups = [m.row_group(g) for m in (pq.ParquetFile(p).metadata for p in (tmp_path / "out").glob("*.parquet")) for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 4096**2
+    ids = sum(c.total_compressed_size for g in groups for c in map(g.column, range(g.num_columns)) if c.path_in_schema in ("a", "b"))
+    assert ids < 0.3 * 4096**2
+
+
+def test_pairs_of_sites_of_several_cities(spark):
+    """Large, small and single cities, with places missing in their order."""
+    sizes = {"large": 1700, "middle": 513, "small": 3, "one": 1}
+    rows = [(c, k, k / 1e4, -k / 1e4, k) for c, n in sizes.items() for k in range(n) if k % 7 != 5]
+    got = demand.site_pairs(spark.createDataFrame(rows, "city string, place_id long, lon double, lat double, site_ord int"))
+    got = {r.city: (r.n, r.pairs, r.same) for r in got.groupBy("city").agg(F.count("*").alias("n"), F.count_distinct("a", "b").alias("pairs"), F.count_if((F.col("a") == F.col("b")) & (F.col("metres") == 0)).alias("same")).collect()}
+    n = {c: sum(r[0] == c for r in rows) for c in sizes}
+    assert got == {c: (k * k, k * k, k) for c, k in n.items()}
